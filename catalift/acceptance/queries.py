@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from catalift import operators as ops
 from catalift import plans, sources
 from catalift.functions import name_contains_any, name_glob, scratch_dir
+from catalift.functions.pool import on_pool
 
 TRAINING = ("1995-01-01", "1999-01-01")
 VALIDATION = ("1999-01-01", "2000-01-01")
@@ -78,8 +79,11 @@ def inventory_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _registered(spark: SparkSession, sf_dir: str) -> str:
     database = _new_database(spark)
-    for name in TABLES:
+
+    def register(name):
         sources.register_external(spark, f"{database}.{name}", f"{sf_dir}/{name}.parquet")
+
+    list(on_pool(register, TABLES, 8))
     return database
 
 
@@ -198,7 +202,10 @@ def sync_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources.save_table(_read(spark, sf_dir, "customer"), f"{source}.customer")
     spark.sql(f"CREATE VIEW {source}.names AS SELECT c_name FROM {source}.customer")
     plan = plans.plan_sync(
-        sources.table_inventory(spark, source), sources.table_inventory(spark, target), target
+        sources.table_inventory(spark, source),
+        sources.table_inventory(spark, target),
+        source,
+        target,
     )
     moved = plans.run_sync(spark, plan, scratch_dir(spark), allow_managed=True)
     pairs = [

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +22,17 @@ TREES = 300
 # Fixed value: share of the training rows held back while fitting.
 HELD_BACK = 0.2
 
+# Trees fitted in one go. While it fits, Spark keeps with every row one sample count per tree,
+# so a whole forest at once would hold far more counts than data.
+TREES_PER_FIT = 100
+
+# Columns that exist only while a model is applied.
 _FEATURES = "_features"
+_PREDICTION = "_prediction"
 
 
-def _fit(df: DataFrame, features: Sequence[str], label: str, regressor: Estimator):
-    assembler = VectorAssembler(inputCols=list(features), outputCol=_FEATURES)
-    return Pipeline(stages=[assembler, regressor]).fit(df.select(*features, label))
+def _assembler(features: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol=_FEATURES)
 
 
 def fit_forest(
@@ -39,13 +44,16 @@ def fit_forest(
     seed: int = 0,
     key: Sequence[str] = (),
     partitions: int | None = None,
-    max_memory_mb: int = 256,
+    trees_per_fit: int = TREES_PER_FIT,
 ) -> PipelineModel:
     """Random forest; every split of every tree looks at all features.
 
     A forest depends on how rows are spread over partitions and on their order. Naming a
     unique `key` fixes both, for one shuffle of the key, the features and the label:
     the same seed and number of partitions then give the same forest.
+
+    Trees are fitted in groups, each with a seed of its own. The forest predicts the mean
+    over all trees, as one of them would.
     """
     data = df.select(*dict.fromkeys([*key, *features, label]))
     if key:
@@ -53,27 +61,46 @@ def fit_forest(
         if partitions is None:
             partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         data = data.repartition(partitions, *by_key).sortWithinPartitions(*by_key)
-    regressor = RandomForestRegressor(
-        featuresCol=_FEATURES,
-        labelCol=label,
-        numTrees=trees,
-        maxDepth=max_depth,
-        featureSubsetStrategy="all",
-        seed=seed,
-        maxMemoryInMB=max_memory_mb,
-    )
-    return _fit(data, features, label, regressor)
+    assembler = _assembler(features)
+    data = assembler.transform(data).select(_FEATURES, label)
+
+    sizes = [min(trees_per_fit, trees - done) for done in range(0, trees, trees_per_fit)]
+    if len(sizes) > 1:
+        data = data.persist()
+    try:
+        groups = [
+            RandomForestRegressor(
+                featuresCol=_FEATURES,
+                labelCol=label,
+                predictionCol=f"{_PREDICTION}_{number}",
+                numTrees=size,
+                maxDepth=max_depth,
+                featureSubsetStrategy="all",
+                seed=seed + number,
+                cacheNodeIds=True,
+            ).fit(data)
+            for number, size in enumerate(sizes)
+        ]
+    finally:
+        if len(sizes) > 1:
+            data.unpersist()
+    total = " + ".join(f"{size} * {_PREDICTION}_{n}" for n, size in enumerate(sizes))
+    mean = SQLTransformer(statement=f"SELECT *, ({total}) / {trees} AS {_PREDICTION} FROM __THIS__")
+    return PipelineModel([assembler, *groups, mean])
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     """Least squares by the normal equations: one pass, nothing cached."""
-    regressor = LinearRegression(featuresCol=_FEATURES, labelCol=label, solver="normal")
-    return _fit(df, features, label, regressor)
+    regressor = LinearRegression(
+        featuresCol=_FEATURES, labelCol=label, predictionCol=_PREDICTION, solver="normal"
+    )
+    return Pipeline(stages=[_assembler(features), regressor]).fit(df.select(*features, label))
 
 
 def _with_prediction(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
-    output = model.stages[-1].getParam("predictionCol")
-    return model.transform(df, {output: name}).drop(_FEATURES)
+    applied = model.transform(df)
+    kept = (F.col(quoted_parts(column)) for column in df.columns)
+    return applied.select(*kept, F.col(_PREDICTION).alias(name))
 
 
 def score(
@@ -95,7 +122,7 @@ def score_by_alias(
     """Score every row with the version its model's alias points at.
 
     `aliases` has ``name, alias, version``; `models` maps (name, version) to a fitted model.
-    The alias is one text for all rows or, by default, a column of `df`. Rows whose alias
+    They are models of this module. The alias is one text for all rows or, by default, a column of `df`. Rows whose alias
     points at no version, or at one without a model, keep a NULL prediction. All versions
     are applied in one scan.
     """
@@ -115,7 +142,7 @@ def score_by_alias(
     )
     choices = []
     for number, ((name, version), model) in enumerate(models.items()):
-        column = f"_prediction_{number}"
+        column = f"_choice_{number}"
         rows = _with_prediction(model, rows, column)
         chosen = (F.col("_name") == name) & (F.col("version") == version)
         choices.append(F.when(chosen, F.col(column)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalift.functions.names import quoted, quoted_parts
 from catalift.functions.pool import on_pool
-from catalift.functions.predicates import is_root_storage
+from catalift.functions.predicates import any_of, is_root_storage
 from catalift.sources.inventory_csv import failed
 from catalift.sources.tables import create_database, register_external, write_path
 
@@ -77,14 +77,19 @@ def classify_copy(description: DataFrame) -> DataFrame:
 
 
 def plan_sync(
-    source: DataFrame, target: DataFrame, target_db: str, tables: Sequence[str] | None = None
+    source: DataFrame,
+    target: DataFrame,
+    source_db: str,
+    target_db: str,
+    tables: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Dry run of moving a schema, or the named tables of it: one row per source table.
+    """Dry run of moving a database, or the named tables of it: one row per source table.
 
     `source` and `target` are table inventories. Status: ERROR for a table that could not
     be described or has no files, VIEW_SKIPPED, EXISTS at the target, NEEDS_COPY, READY to
     be registered in place.
     """
+    source = source.where(F.col("db") == source_db)
     if tables is not None:
         source = source.where(F.col("table").isin(*tables))
     there = (
@@ -190,7 +195,7 @@ def content_hash(df: DataFrame) -> list[Column]:
     ``rows`` and a text of the schema and the summed row hashes as ``hash``.
 
     Sums, unlike XOR, also tell apart frames that differ in how often a row occurs. Which
-    values are NULL is hashed too, as a hash skips NULL.
+    values are NULL is hashed too, in rows that have any, as a hash skips NULL.
     """
     fields = sorted(df.schema.fields, key=lambda field: field.name.lower())
     schema = ",".join(f"{field.name.lower()}:{field.dataType.simpleString()}" for field in fields)
@@ -199,7 +204,8 @@ def content_hash(df: DataFrame) -> list[Column]:
         F.to_json(F.struct(value)) if "map<" in field.dataType.simpleString() else value
         for field, value in zip(fields, values)
     ]
-    row_hash = F.xxhash64(*hashable, *(value.isNull() for value in values))
+    nulls = [value.isNull() for value in values]
+    row_hash = F.xxhash64(*hashable, F.when(any_of(nulls), F.xxhash64(*nulls)))
     pieces = [
         F.sum(F.shiftrightunsigned(row_hash, shift).bitwiseAND(F.lit((1 << _PIECE) - 1)))
         for shift in range(0, 64, _PIECE)

@@ -8,15 +8,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    root = tmp_path_factory.mktemp("spark")
+def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("catalift-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", str(root / "warehouse"))
-        .config("spark.checkpoint.dir", str(root / "shared"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

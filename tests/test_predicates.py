@@ -1,0 +1,151 @@
+import pytest
+from pyspark.sql import functions as F
+
+from catalift.functions import (
+    complexity,
+    glob_match,
+    is_root_storage,
+    name_contains_any,
+    name_glob,
+    owned_by,
+    quoted,
+    scratch_dir,
+)
+from catalift.functions.names import literal, quoted_parts
+from catalift.functions.pool import on_pool
+from catalift.functions.sizes import broadcast_if_small
+
+
+@pytest.fixture(scope="module")
+def names(spark):
+    return spark.createDataFrame(
+        [("src",), ("SRC_2",), ("s.c",), ("a%b",), ("axb",), ("a_b",), ("a\\b",), ("",), (None,)],
+        "name STRING",
+    )
+
+
+def test_contains_any_is_case_sensitive(names, rows):
+    assert rows(name_contains_any(names, "name", ["rc", "%"])) == [("a%b",), ("src",)]
+
+
+def test_contains_any_of_nothing_is_false(names):
+    assert name_contains_any(names, "name", []).count() == 0
+
+
+@pytest.mark.parametrize(
+    "pattern, expected",
+    [
+        ("*SRC*", ["SRC_2", "src"]),
+        ("src", ["src"]),
+        ("s.c", ["s.c"]),
+        ("[s]rc", []),
+        ("a%b", ["a%b"]),
+        ("a_b", ["a_b"]),
+        ("a*b", ["a%b", "a\\b", "a_b", "axb"]),
+        ("a\\b", ["a\\b"]),
+        ("src|axb", ["axb", "src"]),
+        ("src*| s.*", ["SRC_2", "s.c", "src"]),
+        ("", [""]),
+        ("*", ["", "SRC_2", "a%b", "a\\b", "a_b", "axb", "s.c", "src"]),
+    ],
+)
+def test_glob(names, rows, pattern, expected):
+    assert rows(name_glob(names, "name", pattern)) == [(name,) for name in expected]
+
+
+def test_glob_agrees_with_the_catalogue(spark):
+    listed = ["glob_one", "glob_two", "other_glob"]
+    for name in listed:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+    every = spark.createDataFrame([(d.name,) for d in spark.catalog.listDatabases()], "name STRING")
+    for pattern in ["GLOB*", "*glob", "glob_one|other*", "*_t*"]:
+        ours = {r[0] for r in every.where(glob_match(F.col("name"), pattern)).collect()}
+        assert ours == {d.name for d in spark.catalog.listDatabases(pattern)}, pattern
+    for name in listed:
+        spark.sql(f"DROP DATABASE {name}")
+
+
+def test_owner_defaults_to_the_current_user(spark):
+    me = spark.range(1).select(F.current_user()).first()[0]
+    df = spark.createDataFrame([("a", me), ("b", "someone"), ("c", None)], "name STRING, owner STRING")
+    assert [r.name for r in owned_by(df, "owner").collect()] == ["a"]
+    assert [r.name for r in owned_by(df, "owner", "someone").collect()] == ["b"]
+
+
+def test_complexity(spark, rows):
+    df = spark.createDataFrame([("HIVE",), ("hive",), ("delta",), (None,)], "format STRING")
+    assert rows(complexity(df)) == [
+        (None, "null"),
+        ("HIVE", "difficult"),
+        ("delta", "null"),
+        ("hive", "difficult"),
+    ]
+
+
+@pytest.mark.parametrize(
+    "location, expected",
+    [
+        ("dbfs:/user/hive/warehouse/a.db/t", True),
+        ("dbfs:/mnt/a", False),
+        ("dbfs:/mntx/a", True),
+        ("wasbs://c@a/t", True),
+        ("wasb://c@a/t", True),
+        ("abfss://c@a/t", False),
+        ("DBFS:/user", False),
+        (None, False),
+    ],
+)
+def test_root_storage(spark, location, expected):
+    df = spark.createDataFrame([(location,)], "location STRING")
+    assert df.select(is_root_storage(F.col("location"))).first()[0] is expected
+
+
+def test_names():
+    assert quoted("a.b.c") == "`a`.`b`.`c`"
+    assert quoted("`a.b`.c") == "`a.b`.c"
+    assert quoted_parts("a.b", "c`d") == "`a.b`.`c``d`"
+    assert literal("it's a \\") == "'it\\'s a \\\\'"
+
+
+class _Conf(dict):
+    def get(self, key, default=None):
+        return dict.get(self, key, default)
+
+
+class _Session:
+    def __init__(self, **conf):
+        self.conf = _Conf({key.replace("_", "."): value for key, value in conf.items()})
+
+
+def test_scratch_is_in_the_shared_folder():
+    session = _Session(spark_checkpoint_dir="hdfs://shared/", spark_master="yarn")
+    first, second = scratch_dir(session), scratch_dir(session)
+    assert first.startswith("hdfs://shared/catalift-") and first != second
+
+
+def test_scratch_without_a_shared_folder():
+    with pytest.raises(ValueError):
+        scratch_dir(_Session(spark_master="yarn"))
+    assert scratch_dir(_Session(spark_master="local[2]"))
+
+
+def test_pool_keeps_order_and_draws_lazily():
+    drawn = []
+
+    def items():
+        for i in range(10_000):
+            drawn.append(i)
+            yield i
+
+    results = on_pool(lambda i: i * 2, items(), threads=2)
+    assert next(results) == 0
+    assert len(drawn) < 100
+    assert list(results) == [i * 2 for i in range(1, 10_000)]
+
+
+def test_broadcast_only_within_the_bound(spark):
+    def plan(df):
+        return df._jdf.queryExecution().logical().toString()
+
+    assert "broadcast" in plan(broadcast_if_small(spark.range(10), 10))
+    assert "broadcast" not in plan(broadcast_if_small(spark.range(11), 10))
