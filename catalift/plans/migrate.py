@@ -13,7 +13,12 @@ from catalift.functions.names import quoted, quoted_parts
 from catalift.functions.pool import on_pool
 from catalift.functions.predicates import any_of, is_root_storage
 from catalift.sources.inventory_csv import failed
-from catalift.sources.tables import create_database, register_external, write_path
+from catalift.sources.tables import (
+    create_database,
+    partition_columns,
+    register_external,
+    write_path,
+)
 
 # The row that ends the data columns of a description, and the keys after it
 # that matter here.
@@ -121,21 +126,23 @@ def plan_sync(
     )
 
 
-def _copied(spark: SparkSession, row: Row, location: str, fmt: str | None) -> None:
+def _register(spark: SparkSession, row: Row, path: str, fmt: str) -> None:
+    """Register with the columns of the source; a format with a log of its own brings them."""
+    source = row["source_name"]
+    schema, parts = None, []
+    if fmt != "delta":
+        schema, parts = spark.table(quoted(source)).schema, partition_columns(spark, source)
+    register_external(spark, row["target_name"], path, fmt, schema, parts)
+
+
+def _copy(spark: SparkSession, row: Row, location: str, fmt: str) -> None:
     """Copy into a folder of its own and register that last: a copy that died half way was
     never registered, and the next run starts a new folder."""
-    fmt = fmt or row["format"]
+    source = row["source_name"]
     path = f"{location.rstrip('/')}/{row['target_name']}/{uuid.uuid4().hex}"
-    columns = spark.catalog.listColumns(quoted(row["source_name"]))
-    partitions = [column.name for column in columns if column.isPartition]
-    write_path(spark.table(quoted(row["source_name"])), path, fmt, partition_by=partitions)
-    _registered(spark, row["target_name"], path, fmt)
-
-
-def _registered(spark: SparkSession, name: str, path: str, fmt: str) -> None:
-    register_external(spark, name, path, fmt)
-    if any(column.isPartition for column in spark.catalog.listColumns(quoted(name))):
-        spark.catalog.recoverPartitions(quoted(name))
+    parts = partition_columns(spark, source)
+    write_path(spark.table(quoted(source)), path, fmt, partition_by=parts)
+    _register(spark, row, path, fmt)
 
 
 def run_sync(
@@ -162,10 +169,10 @@ def run_sync(
             return row["source_name"], row["target_name"], None, status, "managed tables not allowed"
         try:
             if status == "READY":
-                _registered(spark, row["target_name"], row["location"], row["format"])
+                _register(spark, row, row["location"], row["format"])
                 status, action = "EXISTS", "REGISTERED"
             elif status == "NEEDS_COPY":
-                _copied(spark, row, location, fmt)
+                _copy(spark, row, location, fmt or row["format"])
                 status, action = "EXISTS", "COPIED"
         except Exception as error:  # whatever a table raises, the others count
             return row["source_name"], row["target_name"], None, "ERROR", str(error)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from catalift.functions.names import literal, quoted
+from catalift.functions.names import literal, quoted, quoted_parts
 
 
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -40,11 +42,52 @@ def write_path(
     writer.save(path)
 
 
-def register_external(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> None:
-    """Register an external table on existing files; a no-op if the table exists."""
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {quoted(name)} USING {fmt} LOCATION {literal(path)}"
-    )
+# File formats whose partitions Spark keeps in the catalogue, not in the files.
+_CATALOGUED = ("parquet", "orc", "csv", "json", "text", "avro")
+
+
+def register_external(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    fmt: str = "parquet",
+    schema: StructType | None = None,
+    partition_by: Sequence[str] = (),
+) -> None:
+    """Register an external table on existing files; a no-op if the table exists.
+
+    A given schema, with its partition columns, saves the inference step and keeps the type
+    of partition columns, which files do not tell.
+
+    A partitioned table shows no rows until its partitions are listed. That is done under
+    a name of its own, and the table takes its final name last, so that a registration
+    that died half way never looks finished.
+    """
+    final = quoted(name)
+    columns = f"({schema.toDDL()})" if schema is not None else ""
+    parts = f"PARTITIONED BY ({', '.join(map(quoted_parts, partition_by))})" if partition_by else ""
+    clauses = f"{columns} USING {fmt} {parts} LOCATION {literal(path)}"
+    if fmt.lower() not in _CATALOGUED:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {final} {clauses}")
+        return
+    if spark.catalog.tableExists(final):
+        return
+    staged = f"{final[:-1]}_{uuid.uuid4().hex}`"
+    spark.sql(f"CREATE TABLE {staged} {clauses}")
+    if partition_columns(spark, staged):
+        spark.catalog.recoverPartitions(staged)
+    try:
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {final}")
+    except AnalysisException:
+        spark.sql(f"DROP TABLE {staged}")  # external: the files stay
+        if not spark.catalog.tableExists(final):
+            raise
+
+
+def partition_columns(spark: SparkSession, name: str) -> list[str]:
+    """Names of the columns a table is partitioned by."""
+    columns = spark.catalog.listColumns(quoted(name))
+    return [column.name for column in columns if column.isPartition]
 
 
 def save_table(

@@ -1,0 +1,296 @@
+import random
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from catalift import plans, sources
+from catalift.plans import migrate
+
+DESCRIPTION = "table_id STRING, seq INT, col_name STRING, data_type STRING"
+MARKER = ("# Detailed Table Information", "")
+
+
+def classified(spark, *tables):
+    rows = [
+        (f"t{n}", seq, key, value)
+        for n, pairs in enumerate(tables)
+        for seq, (key, value) in enumerate(pairs)
+    ]
+    random.Random(1).shuffle(rows)
+    found = plans.classify_copy(spark.createDataFrame(rows, DESCRIPTION)).collect()
+    return [tuple(r)[1:] for r in sorted(found, key=lambda r: int(r.table_id[1:]))]
+
+
+def table(location, provider="delta", managed=None, kind=None):
+    pairs = [("id", "bigint"), ("", ""), MARKER]
+    if kind:
+        pairs.append(("Type", kind))
+    if provider:
+        pairs.append(("Provider", provider))
+    if location:
+        pairs.append(("Location", location))
+    if managed:
+        pairs.append(("Is_managed_location", managed))
+    return pairs
+
+
+def test_the_five_kinds_of_tables(spark):
+    warehouse, mount = "dbfs:/user/hive/warehouse/a.db/users", "dbfs:/mnt/enriched/a/b"
+    assert classified(
+        spark,
+        table(warehouse, managed="true"),
+        table(mount),
+        table(mount, managed="true"),
+        table("dbfs:/mnt/other/transactions"),
+        table(None, provider=None, kind="VIEW"),
+    ) == [
+        (warehouse, False, True, True),
+        (mount, False, True, False),
+        (mount, False, True, True),
+        ("dbfs:/mnt/other/transactions", False, True, False),
+        (None, True, False, False),
+    ]
+
+
+def test_managed_by_either_row(spark):
+    found = classified(
+        spark,
+        table("file:/a", kind="MANAGED"),
+        table("file:/a", kind="EXTERNAL"),
+        table("file:/a", managed="false"),
+        table("wasbs://c@a/t"),
+    )
+    assert [should_copy for *_, should_copy in found] == [True, False, False, True]
+
+
+def test_data_columns_named_like_keys(spark):
+    columns = [("Location", "string"), ("Type", "VIEW"), ("Provider", "delta"), ("Is_managed_location", "true")]
+    assert classified(
+        spark,
+        columns + table("dbfs:/mnt/a", provider="parquet"),
+        columns + [MARKER, ("Type", "VIEW")],
+    ) == [("dbfs:/mnt/a", False, False, False), (None, True, False, False)]
+
+
+def test_last_location_wins_and_a_marker_is_optional(spark):
+    assert classified(
+        spark,
+        [MARKER, ("Location", "dbfs:/b"), ("Location", "dbfs:/mnt/a")],
+        [("Location", "dbfs:/a"), ("Provider", "delta")],
+        [MARKER, ("Location", "dbfs:/a"), ("Location", None)],
+    ) == [
+        ("dbfs:/mnt/a", False, False, False),
+        ("dbfs:/a", False, True, True),
+        (None, False, False, False),
+    ]
+
+
+@pytest.fixture
+def databases(spark, tmp_path):
+    names = [f"{kind}_{uuid.uuid4().hex}" for kind in ("src", "dst")]
+    for name in names:
+        sources.create_database(spark, name, str(tmp_path / name))
+    yield names
+    for name in names:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+@pytest.fixture
+def populated(spark, databases, tmp_path):
+    source, _ = databases
+    numbers = spark.range(100).select("id", (F.col("id") % 3).alias("part"))
+    sources.save_table(numbers, f"{source}.managed")
+    numbers.write.partitionBy("part").saveAsTable(f"{source}.managed_parts")
+    sources.write_path(numbers, str(tmp_path / "ext"), partition_by=["part"])
+    sources.register_external(spark, f"{source}.ext", str(tmp_path / "ext"))
+    spark.sql(f"CREATE VIEW {source}.seen AS SELECT id FROM {source}.managed")
+    return databases
+
+
+def sync_plan(spark, source, target, **options):
+    return plans.plan_sync(
+        sources.table_inventory(spark, source),
+        sources.table_inventory(spark, target),
+        source,
+        target,
+        **options,
+    )
+
+
+def statuses(df):
+    return {r.target_name.rpartition(".")[2]: r.status for r in df.collect()}
+
+
+def test_plan_changes_nothing(spark, populated):
+    source, target = populated
+    plan = sync_plan(spark, source, target)
+    assert plan.columns == [
+        "source_name", "target_name", "type", "format", "location", "should_copy", "status",
+    ]
+    assert statuses(plan) == {
+        "managed": "NEEDS_COPY",
+        "managed_parts": "NEEDS_COPY",
+        "ext": "READY",
+        "seen": "VIEW_SKIPPED",
+    }
+    assert statuses(sync_plan(spark, source, target, tables=["ext"])) == {"ext": "READY"}
+    assert spark.catalog.listTables(target) == []
+
+
+def test_plan_statuses_from_an_inventory(spark):
+    def row(db, name, kind, fmt, location):
+        return (db, name, fmt, kind, location, "3.5", 0, -1, None, None, None)
+
+    source = spark.createDataFrame(
+        [
+            row("a", "broken", "Unknown", "Unknown", None),
+            row("a", "no_files", "EXTERNAL", "jdbc", None),
+            row("a", "root", "EXTERNAL", "delta", "dbfs:/x"),
+            row("a", "mount", "EXTERNAL", "delta", "dbfs:/mnt/x"),
+            row("a", "old", "EXTERNAL", "delta", "dbfs:/mnt/y"),
+            row("b", "elsewhere", "EXTERNAL", "delta", "dbfs:/mnt/z"),
+        ],
+        sources.INVENTORY_SCHEMA,
+    )
+    target = spark.createDataFrame(
+        [row("t", "old", "EXTERNAL", "delta", "x"), row("u", "mount", "EXTERNAL", "delta", "x")] * 2,
+        sources.INVENTORY_SCHEMA,
+    )
+    assert statuses(plans.plan_sync(source, target, "a", "t")) == {
+        "broken": "ERROR",
+        "no_files": "ERROR",
+        "root": "NEEDS_COPY",
+        "mount": "READY",
+        "old": "EXISTS",
+    }
+
+
+def test_sync_without_managed_tables(spark, populated, tmp_path):
+    source, target = populated
+    done = plans.run_sync(spark, sync_plan(spark, source, target), str(tmp_path / "copies"))
+    assert statuses(done) == {
+        "managed": "NEEDS_COPY",
+        "managed_parts": "NEEDS_COPY",
+        "ext": "EXISTS",
+        "seen": "VIEW_SKIPPED",
+    }
+    assert spark.table(f"{target}.ext").count() == 100
+    assert not (tmp_path / "copies").exists()
+
+
+def test_sync_copies_and_may_run_again(spark, populated, tmp_path):
+    source, target = populated
+    copies = tmp_path / "copies"
+    plan = sync_plan(spark, source, target)
+    done = plans.run_sync(spark, plan, str(copies), allow_managed=True)
+    actions = {r.source_name.rpartition(".")[2]: r.action for r in done.collect()}
+    assert actions == {"managed": "COPIED", "managed_parts": "COPIED", "ext": "REGISTERED", "seen": None}
+
+    moved = ["managed", "managed_parts", "ext"]
+    checked = plans.reconcile(spark, [(f"{source}.{t}", f"{target}.{t}") for t in moved])
+    assert [(r.source_rows, r.target_rows, r.matches) for r in checked.collect()] == [(100, 100, True)] * 3
+    assert spark.catalog.listColumns(f"{target}.managed_parts")[1].isPartition
+    kinds = {t.name: t.tableType for t in spark.catalog.listTables(target)}
+    assert kinds == {"managed": "EXTERNAL", "managed_parts": "EXTERNAL", "ext": "EXTERNAL"}
+
+    before = sorted(copies.rglob("*.parquet"))
+    again = sync_plan(spark, source, target)
+    assert statuses(again) == {
+        "managed": "EXISTS", "managed_parts": "EXISTS", "ext": "EXISTS", "seen": "VIEW_SKIPPED",
+    }
+    plans.run_sync(spark, again, str(copies), allow_managed=True)
+    assert sorted(copies.rglob("*.parquet")) == before
+
+
+def test_partition_values_keep_their_type(spark, databases, tmp_path):
+    source, target = databases
+    df = spark.createDataFrame([(1, "007"), (2, "7")], "id INT, code STRING")
+    df.write.partitionBy("code").saveAsTable(f"{source}.codes")
+    plan = sync_plan(spark, source, target)
+    plans.run_sync(spark, plan, str(tmp_path / "copies"), allow_managed=True)
+    assert [tuple(r) for r in spark.table(f"{target}.codes").orderBy("id").collect()] == [(1, "007"), (2, "7")]
+
+
+def test_copy_to_another_format(spark, populated, tmp_path):
+    source, target = populated
+    plan = sync_plan(spark, source, target, tables=["managed"])
+    plans.run_sync(spark, plan, str(tmp_path / "copies"), fmt="orc", allow_managed=True)
+    (found,) = sources.table_inventory(spark, target).collect()
+    assert (found.format, found.type) == ("orc", "EXTERNAL")
+    assert plans.reconcile(spark, [(f"{source}.managed", f"{target}.managed")]).first().matches
+
+
+def test_a_copy_that_died_is_not_registered(spark, populated, tmp_path, monkeypatch):
+    source, target = populated
+    plan = sync_plan(spark, source, target)
+
+    def dies_half_way(df, path, fmt="parquet", mode="errorifexists", partition_by=()):
+        sources.write_path(df.limit(3), path, fmt, mode, partition_by)
+        raise OSError("lost")
+
+    monkeypatch.setattr(migrate, "write_path", dies_half_way)
+    done = plans.run_sync(spark, plan, str(tmp_path / "copies"), allow_managed=True)
+    assert statuses(done) == {
+        "managed": "ERROR", "managed_parts": "ERROR", "ext": "EXISTS", "seen": "VIEW_SKIPPED",
+    }
+    assert {r.message for r in done.where("status = 'ERROR'").collect()} == {"lost"}
+    monkeypatch.undo()
+    again = plans.run_sync(
+        spark, sync_plan(spark, source, target), str(tmp_path / "copies"), allow_managed=True
+    )
+    assert statuses(again)["managed"] == "EXISTS"
+    assert plans.reconcile(spark, [(f"{source}.managed", f"{target}.managed")]).first().matches
+
+
+def saved(spark, database, name, data, schema):
+    sources.save_table(spark.createDataFrame(data, schema).coalesce(1), f"{database}.{name}")
+    return f"{database}.{name}"
+
+
+def test_reconcile_tells_contents_apart(spark, databases):
+    source, _ = databases
+    schema = "a INT, b STRING, c DOUBLE"
+    rows = [(1, "x", 1.0), (2, None, None), (None, "y", -0.5), (1, "x", 1.0)]
+    base = saved(spark, source, "base", rows, schema)
+    others = {
+        "reordered": (rows[::-1], schema, True),
+        "columns_moved": ([(r[2], r[0], r[1]) for r in rows], "c DOUBLE, a INT, b STRING", True),
+        "fewer_copies": (rows[:-1], schema, False),
+        "other_copy": (rows[:-1] + [(2, None, None)], schema, False),
+        "value": (rows[:-1] + [(1, "x", 1.5)], schema, False),
+        "renamed": (rows, "a INT, bb STRING, c DOUBLE", False),
+        "retyped": (rows, "a BIGINT, b STRING, c DOUBLE", False),
+        "empty": ([], schema, False),
+    }
+    pairs = [(base, saved(spark, source, n, data, s)) for n, (data, s, _) in others.items()]
+    found = {r.target_name.rpartition(".")[2]: r for r in plans.reconcile(spark, pairs).collect()}
+    assert {n: r.matches for n, r in found.items()} == {n: m for n, (*_, m) in others.items()}
+    assert found["fewer_copies"].source_rows == 4 and found["fewer_copies"].target_rows == 3
+
+
+def test_reconcile_sees_where_nulls_are(spark, databases):
+    source, _ = databases
+    schema = "a STRING, b STRING"
+    left = saved(spark, source, "l", [("x", None)], schema)
+    right = saved(spark, source, "r", [(None, "x")], schema)
+    assert not plans.reconcile(spark, [(left, right)]).first().matches
+    assert plans.reconcile(spark, [(left, left)]).first().matches
+
+
+def test_reconcile_empty_missing_and_nested(spark, databases):
+    source, _ = databases
+    empty = saved(spark, source, "e1", [], "a INT")
+    empty2 = saved(spark, source, "e2", [], "a INT")
+    nested = saved(spark, source, "n", [([1, 2], {"k": 1}, (1,))], "a ARRAY<INT>, m MAP<STRING, INT>, s STRUCT<x: INT>")
+    gone = f"{source}.gone"
+    found = plans.reconcile(spark, [(empty, empty2), (nested, nested), (empty, gone)])
+    got = {r.target_name: (r.source_rows, r.target_rows, r.matches) for r in found.collect()}
+    assert got == {empty2: (0, 0, True), nested: (1, 1, True), gone: (0, None, False)}
+
+
+def test_one_row_per_table_leaves_the_executors(spark, databases):
+    source, _ = databases
+    name = saved(spark, source, "t", [(1,)], "a INT")
+    plan = plans.reconcile(spark, [(name, name)])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan

@@ -72,6 +72,29 @@ def test_register_external_is_idempotent_and_leaves_files(spark, temps, rows, da
     assert sources.read_path(spark, path, fmt).count() == 9
 
 
+def test_register_external_finds_partitions(spark, temps, rows, database, tmp_path):
+    path, name = str(tmp_path / "parts"), f"{database}.parts"
+    sources.write_path(temps, path, partition_by=["AirportCode"])
+    sources.register_external(spark, name, path)
+    assert rows(spark.table(name).select(temps.columns)) == rows(temps)
+    assert [t.name for t in spark.catalog.listTables(database)] == ["parts"]
+
+
+def test_register_external_loses_a_race(spark, temps, rows, database, tmp_path, monkeypatch):
+    """Another registration finishes between the check and the rename."""
+    path, name = str(tmp_path / "t"), f"{database}.raced"
+    sources.write_path(temps, path)
+    sources.register_external(spark, name, path)
+    answers = iter([False])
+    exists = type(spark.catalog).tableExists
+    monkeypatch.setattr(
+        type(spark.catalog), "tableExists", lambda *a: next(answers, None) is not False and exists(*a)
+    )
+    sources.register_external(spark, name, path)
+    assert [t.name for t in spark.catalog.listTables(database)] == ["raced"]
+    assert spark.table(name).count() == 9
+
+
 def test_path_with_a_quote(spark, temps, database, tmp_path):
     path = str(tmp_path / "it's")
     sources.write_path(temps, path)
