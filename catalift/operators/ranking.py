@@ -7,9 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Integers of the order column that share a task's sort; with distinct integers in a group
-# this also bounds the rows of that sort.
-SPAN = 1_000_000
+# Integers of the order column that share a task's sort. As these are distinct within a
+# group, this also bounds the rows of that sort.
+SPAN = 1 << 20
+
+# Ranges whose row counts share a task's running sum.
+RANGES = 1 << 22
+
+# Distinct values of a BIGINT.
+_VALUES = 1 << 64
 
 
 def number_within(
@@ -18,13 +24,16 @@ def number_within(
     order: str,
     out: str = "number",
     span: int = SPAN,
+    ranges: int = RANGES,
+    values: int = _VALUES,
     after: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in ascending `order`, as BIGINT.
 
-    `order` is an integer column. `groups` and `order` hold no NULL; with no groups the
-    whole frame is numbered. `after` holds some of the group columns, unique, and a column
-    ``start``: numbers of such a group follow on its start.
+    `order` is an integer column, distinct within a group. `groups` and `order` hold no
+    NULL; with no groups the whole frame is numbered. `values` bounds how many integers the
+    order can take. `after` holds some of the group columns, unique, and a column ``start``:
+    numbers of such a group follow on its start.
 
     A plain window would sort each group in one task, however large. Here a group is cut
     into ranges of `span` integers that are numbered apart, and each range is moved up by
@@ -33,19 +42,8 @@ def number_within(
     """
     keys = [*groups, "_range"]
     ranged = df.withColumn("_range", F.expr(f"`{order}` div {span}"))
-
-    def earlier(*partition):
-        return (
-            Window.partitionBy(*partition)
-            .orderBy("_range")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-
-    starts = (
-        ranged.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .select(*keys, F.coalesce(F.sum("_rows").over(earlier(*groups)), F.lit(0)).alias("_start"))
-    )
+    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    starts = _starts(counts, groups, "_range", ranges, values // span)
     if after is not None:
         known = [name for name in after.columns if name != "start"]
         starts = starts.join(after, known, "left").select(
@@ -57,3 +55,30 @@ def number_within(
         .join(starts, keys)
         .select(*df.columns, (F.col("_start") + F.col("_within")).alias(out))
     )
+
+
+def _starts(
+    counts: DataFrame, groups: Sequence[str], position: str, ranges: int, values: int
+) -> DataFrame:
+    """Rows before each position of a group, as ``_start``. A sparse order has about as many
+    ranges as rows, so more than `ranges` positions are summed in blocks first."""
+    block = f"{position}_"
+    blocked = counts.withColumn(block, F.expr(f"{position} div {ranges}"))
+    deep = values > ranges
+    keys = [*groups, block] if deep else list(groups)
+    earlier = (
+        Window.partitionBy(*keys)
+        .orderBy(position)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    local = blocked.select(*groups, block, position, before.alias("_start"))
+    if not deep:
+        return local.drop(block)
+    totals = blocked.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
+    above = _starts(totals, groups, block, ranges, values // ranges)
+    return (
+        local.withColumnRenamed("_start", "_local")
+        .join(above, keys)
+        .select(*groups, position, (F.col("_start") + F.col("_local")).alias("_start"))
+    )

@@ -13,6 +13,9 @@ STAGE_ALIASES = {"Production": "Champion", "Staging": "Challenger"}
 # Fixed value: a model name that is a valid identifier at the destination.
 VALID_NAME = r"^[^./ \x00-\x1F\x7F]{1,255}$"
 
+# More than the integers an INT or a 32-bit checksum can take.
+_ORDERS = 1 << 33
+
 
 def _number(version: Column) -> Column:
     """Versions are text but compare as integers: '10' is later than '9'."""
@@ -102,7 +105,9 @@ def upgrade_plan(
         latest = there.groupBy(name.alias("name")).agg(
             F.max(F.col("latest_version").cast("bigint")).alias("start")
         )
-    plan = number_within(judged, ["name", "_ready"], "_order", "_number", span, latest).select(
+    plan = number_within(
+        judged, ["name", "_ready"], "_order", "_number", span, values=_ORDERS, after=latest
+    ).select(
         "name",
         "version",
         "dest_name",
