@@ -143,4 +143,23 @@ JOIN (SELECT DISTINCT table_name, column_name, CAST(ordinal_position AS INTEGER)
                             WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>'
                             ELSE lower(data_type) END AS data_type
       FROM information_schema.columns) AS c ON c.table_name = r.table_name""",
+    "owned_by": """
+SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'""",
+    "describe_tables": f"""
+SELECT table_name, false AS is_view, false AS is_delta, false AS should_copy, n_rows
+FROM ({_ROWS_OF_TABLES})""",
+    "read_series": """
+SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1""",
+    "conform": """
+SELECT c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_custkey, CAST(NULL AS VARCHAR) AS c_comment
+FROM customer""",
+    "upgrade_plan_again": """
+WITH v AS (SELECT 'm' || (o_custkey % 50) AS model,
+                  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INTEGER) AS version,
+                  o_orderpriority <> '5-LOW' OR o_custkey % 50 % 2 = 0 AS has_signature FROM orders),
+s AS (SELECT model, version, CASE WHEN version <= 10 THEN 'EXISTS' WHEN has_signature THEN 'READY' ELSE 'NO_SIGNATURE' END AS status
+      FROM v)
+SELECT model, version, 'main.migrated_models.' || model AS dest_name, status,
+       CASE WHEN status = 'READY' THEN 10 + row_number() OVER (PARTITION BY model, status ORDER BY version) END AS dest_version
+FROM s""",
 }

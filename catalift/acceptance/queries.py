@@ -13,10 +13,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from catalift import operators as ops
 from catalift import plans, sources
 from catalift.functions import name_contains_any, name_glob, scratch_dir
+from catalift.functions import owned_by as owned
 from catalift.functions.pool import on_pool
 
 TRAINING = ("1995-01-01", "1999-01-01")
@@ -144,9 +146,27 @@ def owned_not_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("c_custkey", "c_name")
 
 
+def owned_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return owned(customers, "c_mktsegment", "BUILDING")
+
+
 # Table migration
 
 
+def describe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables in place, and their classes from their own descriptions."""
+    database = _registered(spark, sf_dir)
+    described = sources.describe_tables(spark, [f"{database}.{name}" for name in TABLES])
+    classes = plans.classify_copy(described).select(
+        F.substring_index("table_id", ".", -1).alias("table_name"),
+        "is_view",
+        "is_delta",
+        "should_copy",
+    )
+    return classes.join(_rows_of(spark, database), "table_name")
+
+
 def classify_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_partkey") % 5
     view = kind == 4
@@ -233,6 +253,12 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").groupBy(day).agg(F.count("*").alias("n"))
 
 
+def read_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    _daily(spark, sf_dir).write.option("header", True).csv(path)
+    return sources.read_series(spark, path, "day DATE, n BIGINT")
+
+
 def forecast_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.forecast_window(_daily(spark, sf_dir), "day", ANCHOR)
 
@@ -313,6 +339,21 @@ def holdout_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.holdout_tail(orders, "o_orderkey")
 
 
+SIGNATURE = StructType(
+    [
+        StructField("c_acctbal", DoubleType(), False),
+        StructField("c_nationkey", LongType(), False),
+        StructField("c_custkey", LongType(), False),
+        StructField("c_comment", StringType(), True),
+    ]
+)
+
+
+def conform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column widens, one is optional and absent, two are not declared."""
+    return ops.conform(_read(spark, sf_dir, "customer"), SIGNATURE)
+
+
 # Registry
 
 
@@ -349,6 +390,26 @@ def upgrade_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.withColumnRenamed("name", "model")
 
 
+def upgrade_plan_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later run: ten versions of every model are there, and models with an even number
+    get a signature for what lacks one."""
+    versions = _versions(spark, sf_dir)
+    number = F.col("version").cast("int")
+    dest_name = F.concat(F.lit("main.migrated_models."), "name").alias("dest_name")
+    moved = versions.where(number <= 10).select(dest_name, F.col("version").alias("source_version"))
+    existing = moved.groupBy("dest_name").agg(F.lit(10).alias("latest_version"))
+    even = F.substring("name", 2, 10).cast("int") % 2 == 0
+    plan = plans.upgrade_plan(
+        versions,
+        "main",
+        "migrated_models",
+        existing=existing,
+        signatures=versions.where(even & ~F.col("has_signature")),
+        migrated=moved,
+    )
+    return plan.withColumnRenamed("name", "model")
+
+
 def preview_top_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_n(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name")
 
@@ -361,12 +422,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "name_contains_any": contains_any,
     "name_glob": glob,
     "cleanup_candidates": cleanup_candidates,
+    "owned_by": owned_by,
     "owned_not_marked": owned_not_marked,
     "classify_copy": classify_copy,
+    "describe_tables": describe_tables,
     "path_roundtrip": path_roundtrip,
     "table_overwrite": table_overwrite,
     "sync_reconcile": sync_reconcile,
     "slice_inclusive": time_split,
+    "read_series": read_series,
     "forecast_window": forecast_window,
     "forecast_window_fallback": forecast_window_fallback,
     "forecast_vs_actual": forecast_vs_actual,
@@ -375,8 +439,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_versions": compare_versions,
     "forest_score": forest_score,
     "holdout_tail": holdout_tail,
+    "conform": conform,
     "latest_version": latest_version,
     "stage_alias": stage_alias,
     "upgrade_plan": upgrade_plan,
+    "upgrade_plan_again": upgrade_plan_again,
     "preview_top_name": preview_top_name,
 }

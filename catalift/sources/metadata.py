@@ -2,7 +2,8 @@
 
 Spark has no distributed reader for a metastore: each listing or description is a call made
 by the driver. The calls run on a bounded pool of threads and only metadata passes through
-the driver; everything after that is a plan over the resulting frame.
+the driver; everything after that is a plan over the resulting frame. The answer of a SHOW
+or DESCRIBE command is on the driver already, so collecting it runs no job.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from catalift.sources.inventory_csv import MISSING
 # One local relation holds at most this many rows, so no single task description is large.
 _ROWS_PER_RELATION = 50_000
 
+# What is read of a description.
 _TABLE_JSON = """
     provider STRING, type STRING, location STRING, created_by STRING, created_time STRING,
     last_access STRING, serde_library STRING, input_format STRING, output_format STRING
@@ -37,7 +39,7 @@ def _frame(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame
 
 def list_catalogs(spark: SparkSession) -> list[str]:
     """Names of the catalogues this session has loaded."""
-    return [row["catalog"] for row in spark.sql("SHOW CATALOGS").toLocalIterator()]
+    return [row["catalog"] for row in spark.sql("SHOW CATALOGS").collect()]
 
 
 def _databases(
@@ -45,7 +47,7 @@ def _databases(
 ) -> Iterator[tuple[str, str]]:
     for catalog in catalogs or [spark.catalog.currentCatalog()]:
         listed = spark.sql(f"SHOW DATABASES IN {quoted_parts(catalog)} LIKE {literal(db_glob)}")
-        for row in listed.toLocalIterator():
+        for row in listed.collect():
             yield catalog, row["namespace"]
 
 
@@ -54,7 +56,7 @@ def _tables(
 ) -> Iterator[tuple[str, str, str]]:
     def of_database(place):
         listed = spark.sql(f"SHOW TABLES IN {quoted_parts(*place)}").where("NOT isTemporary")
-        return [(*place, row["tableName"]) for row in listed.toLocalIterator()]
+        return [(*place, row["tableName"]) for row in listed.collect()]
 
     databases = _databases(spark, db_glob, catalogs)
     for tables in on_pool(of_database, databases, threads):
@@ -146,7 +148,7 @@ def describe_tables(spark: SparkSession, names: Iterable[str], threads: int = 16
     `seq` giving the order of the rows of a table."""
 
     def rows_of(name):
-        told = spark.sql(f"DESCRIBE EXTENDED {quoted(name)}").toLocalIterator()
+        told = spark.sql(f"DESCRIBE EXTENDED {quoted(name)}").collect()
         return [(name, seq, r["col_name"], r["data_type"]) for seq, r in enumerate(told)]
 
     rows = (row for table in on_pool(rows_of, names, threads) for row in table)
@@ -161,7 +163,7 @@ def describe_databases(
     """Key/value rows of every named database: ``db, info_name, info_value``."""
 
     def rows_of(name):
-        told = spark.sql(f"DESCRIBE DATABASE EXTENDED {quoted(name)}").toLocalIterator()
+        told = spark.sql(f"DESCRIBE DATABASE EXTENDED {quoted(name)}").collect()
         return [(name, r["info_name"], r["info_value"]) for r in told]
 
     rows = (row for db in on_pool(rows_of, names, threads) for row in db)
