@@ -22,8 +22,11 @@ TREES = 300
 # Fixed value: share of the training rows held back while fitting.
 HELD_BACK = 0.2
 
-# Trees fitted in one go. While it fits, Spark keeps with every row one sample count per tree,
-# so a whole forest at once would hold far more counts than data.
+# While it fits, Spark keeps with every row one 4-byte sample count per tree. A forest whose
+# counts fit into the first bound is fitted in one go; a larger one in groups of so many
+# trees, as all counts at once would hold far more than the data.
+_COUNT_BYTES = 4
+ONE_FIT_BYTES = 256 << 20
 TREES_PER_FIT = 100
 
 # Columns that exist only while a model is applied.
@@ -44,7 +47,7 @@ def fit_forest(
     seed: int = 0,
     key: Sequence[str] = (),
     partitions: int | None = None,
-    trees_per_fit: int = TREES_PER_FIT,
+    trees_per_fit: int | None = None,
 ) -> PipelineModel:
     """Random forest; every split of every tree looks at all features.
 
@@ -52,8 +55,9 @@ def fit_forest(
     unique `key` fixes both, for one shuffle of the key, the features and the label:
     the same seed and number of partitions then give the same forest.
 
-    Trees are fitted in groups, each with a seed of its own. The forest predicts the mean
-    over all trees, as one of them would.
+    On large data the trees are fitted in groups, each with a seed of its own. The forest
+    predicts the mean over all trees, as one of them would. `trees_per_fit` sets the size of
+    a group by hand.
     """
     data = df.select(*dict.fromkeys([*key, *features, label]))
     if key:
@@ -64,10 +68,12 @@ def fit_forest(
     assembler = _assembler(features)
     data = assembler.transform(data).select(_FEATURES, label)
 
-    sizes = [min(trees_per_fit, trees - done) for done in range(0, trees, trees_per_fit)]
-    if len(sizes) > 1:
-        data = data.persist()
+    data = data.persist()
     try:
+        if trees_per_fit is None:
+            whole = data.count() * trees * _COUNT_BYTES <= ONE_FIT_BYTES
+            trees_per_fit = trees if whole else TREES_PER_FIT
+        sizes = [min(trees_per_fit, trees - done) for done in range(0, trees, trees_per_fit)]
         groups = [
             RandomForestRegressor(
                 featuresCol=_FEATURES,
@@ -82,8 +88,7 @@ def fit_forest(
             for number, size in enumerate(sizes)
         ]
     finally:
-        if len(sizes) > 1:
-            data.unpersist()
+        data.unpersist()
     total = " + ".join(f"{size} * {_PREDICTION}_{n}" for n, size in enumerate(sizes))
     mean = SQLTransformer(statement=f"SELECT *, ({total}) / {trees} AS {_PREDICTION} FROM __THIS__")
     return PipelineModel([assembler, *groups, mean])

@@ -36,7 +36,7 @@ def table(location, provider="delta", managed=None, kind=None):
 
 
 def test_the_five_kinds_of_tables(spark):
-    warehouse, mount = "dbfs:/user/hive/warehouse/a.db/users", "dbfs:/mnt/enriched/a/b"
+    warehouse, mount = "dbfs:/user/hive/warehouse/a.db/users", "dbfs:/mnt/lake/a/b"
     assert classified(
         spark,
         table(warehouse, managed="true"),
