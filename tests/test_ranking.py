@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalift.operators import number_within
+from catalift.operators import number_within, ranking
 
 
 @pytest.fixture(scope="module")
@@ -18,9 +18,12 @@ def skewed(spark):
     ).repartition(7)
 
 
-@pytest.mark.parametrize("span, ranges", [(1, 1 << 22), (10, 1 << 30), (997, 1 << 12), (1 << 20, 1 << 22)])
+@pytest.mark.parametrize("span, ranges", [(10, 1 << 30), (300, 1 << 12), (1 << 20, 1 << 22)])
 @pytest.mark.parametrize("groups", [["g"], []])
-def test_equals_a_window(skewed, rows, groups, span, ranges):
+@pytest.mark.parametrize("bound", [0, 5, 100_000])
+def test_equals_a_window(skewed, rows, monkeypatch, groups, span, ranges, bound):
+    """Whether no group, a few groups or more than the bound are large."""
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", bound)
     plain = F.row_number().over(Window.partitionBy(*groups).orderBy("k")).cast("bigint")
     expected = skewed.withColumn("n", plain)
     found = number_within(skewed, groups, "k", "n", span, ranges)
@@ -28,7 +31,7 @@ def test_equals_a_window(skewed, rows, groups, span, ranges):
     assert rows(found) == rows(expected)
 
 
-@pytest.mark.parametrize("span", [100, 1_000_000])
+@pytest.mark.parametrize("span", [10, 300, 1_000_000])
 def test_follows_on_a_start(skewed, span):
     after = skewed.sparkSession.createDataFrame([("hot", 500), ("none", 7)], "g STRING, start BIGINT")
     found = number_within(skewed, ["g"], "k", "n", span, after=after).groupBy("g").agg(
@@ -45,19 +48,31 @@ def test_sparse_order(spark, rows):
     low = -(1 << 63)
     keys = [low + rng.getrandbits(64) for _ in range(500)] + [low, -low - 1]
     df = spark.createDataFrame([(k,) for k in keys], "k BIGINT").repartition(4)
-    found = number_within(df, [], "k", "n")
+    found = number_within(df, [], "k", "n", span=100, ranges=1 << 22)
     assert rows(found) == [(k, i) for i, k in enumerate(sorted(keys), start=1)]
 
 
-def test_small_orders_need_no_blocks(skewed):
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_narrow_orders_need_no_blocks(skewed):
     def joins(**options):
-        return number_within(skewed, ["g"], "k", "n", **options)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+        return plan_of(number_within(skewed, [], "k", "n", 100, **options)).count("Join")
+
+    assert (joins(values=1 << 20), joins(values=1 << 50), joins()) == (1, 2, 3)
+
 
-    assert (joins(values=1 << 33), joins()) == (1, 2)
+def test_groups_in_one_piece_need_no_join(skewed):
+    plan = plan_of(number_within(skewed, ["g"], "k", "n"))
+    assert "Join" not in plan and "_range" not in plan
 
 
-def test_no_window_sees_a_whole_group(skewed):
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_no_window_sees_a_whole_large_group(skewed, monkeypatch, bound):
     """Rows are shuffled by group and range; only counts are shuffled by group."""
-    plan = number_within(skewed, ["g"], "k", "n", 100)._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", bound)
+    found = number_within(skewed, ["g"], "k", "n", 300)
+    windows = [line for line in plan_of(found).splitlines() if "Window [row_number()" in line]
     assert windows and all("_range" in line.split("windowspecdefinition")[1] for line in windows)
+    assert ("rightHint=(strategy=broadcast)" in plan_of(found)) == (bound > 0)
