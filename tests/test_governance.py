@@ -63,6 +63,8 @@ def test_equals_not_in_on_random_frames(spark, rows, broadcast):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.catalog.dropTempView("catalogs")
+        spark.catalog.dropTempView("catalog_tags")
 
 
 def test_hot_key_is_split(spark, tmp_path):

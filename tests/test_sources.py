@@ -72,12 +72,16 @@ def test_register_external_is_idempotent_and_leaves_files(spark, temps, rows, da
     assert sources.read_path(spark, path, fmt).count() == 9
 
 
+def tables_in(spark, database):
+    return [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
+
+
 def test_register_external_finds_partitions(spark, temps, rows, database, tmp_path):
     path, name = str(tmp_path / "parts"), f"{database}.parts"
     sources.write_path(temps, path, partition_by=["AirportCode"])
     sources.register_external(spark, name, path)
     assert rows(spark.table(name).select(temps.columns)) == rows(temps)
-    assert [t.name for t in spark.catalog.listTables(database)] == ["parts"]
+    assert tables_in(spark, database) == ["parts"]
 
 
 def test_register_external_loses_a_race(spark, temps, rows, database, tmp_path, monkeypatch):
@@ -91,7 +95,7 @@ def test_register_external_loses_a_race(spark, temps, rows, database, tmp_path,
         type(spark.catalog), "tableExists", lambda *a: next(answers, None) is not False and exists(*a)
     )
     sources.register_external(spark, name, path)
-    assert [t.name for t in spark.catalog.listTables(database)] == ["raced"]
+    assert tables_in(spark, database) == ["raced"]
     assert spark.table(name).count() == 9
 
 
@@ -125,7 +129,8 @@ def populated(spark, temps, database, tmp_path):
     spark.sql(f"CREATE TABLE {database}.odd (Location STRING, `a b` INT) USING csv")
     spark.sql(f"CREATE VIEW {database}.seen AS SELECT * FROM {database}.managed")
     temps.createOrReplaceTempView("temporary")
-    return database
+    yield database
+    spark.catalog.dropTempView("temporary")
 
 
 def test_table_inventory(spark, populated, tmp_path):
