@@ -30,28 +30,21 @@ def owned_not_marked(
     - with nothing marked every row stays.
 
     Spark can run a NOT IN subquery only by broadcasting all marked keys to every executor.
-    Here the rules are two one-row subqueries and the rest is an ordinary anti join, which
+    Here a one-row subquery decides the rules and the rest is an ordinary anti join, which
     Spark broadcasts when the marked keys turn out small and shuffles otherwise.
     """
-    mark_key = mark_key or key
-    marked = marks.where(F.lower(F.col(tag)).startswith(prefix)).select(
-        F.col(mark_key).alias("_marked")
-    )
-    # 2 if any marked key is NULL, 1 if there are marked keys, NULL if there are none
-    state = marked.agg(F.max(F.when(F.col("_marked").isNull(), 2).otherwise(1))).scalar()
-    allowed = state.isNull() | ((state == 1) & F.col(key).isNotNull())
-
-    # Grouping by the hash as well keeps one row per key, but makes the join shuffle both
-    # of its sides by the key alone. Adaptive execution can split a hot key of the left
-    # side only when a shuffle lies directly below the join.
-    keys = (
-        marked.where(F.col("_marked").isNotNull())
-        .select("_marked", F.xxhash64("_marked").alias("_hash"))
-        .distinct()
-        .select("_marked")
-    )
+    marked = F.col(mark_key or key).alias("_marked")
+    keys = marks.where(F.lower(F.col(tag)).startswith(prefix)).select(marked).distinct()
+    # NULL keys among the marked ones, and NULL if nothing is marked at all
+    nulls = keys.agg(F.sum(F.col("_marked").isNull().cast("int"))).scalar()
+    allowed = nulls.isNull() | ((nulls == 0) & F.col(key).isNotNull())
+
+    # The rules above leave no NULL where the join matters. A null-safe comparison adds no
+    # filter to the marked keys, so the join and the subquery share one scan and shuffle of
+    # them; and it shuffles both sides directly below the join, which is where adaptive
+    # execution can split a hot key.
     kept = owned_by(df, owner_col, owner).where(allowed)
-    return kept.join(keys, kept[key] == keys["_marked"], "left_anti")
+    return kept.join(keys, kept[key].eqNullSafe(keys["_marked"]), "left_anti")
 
 
 def cleanup_candidates(

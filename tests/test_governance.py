@@ -95,7 +95,9 @@ def test_hot_key_is_split(spark, tmp_path):
             owner="me",
         )
         assert len(kept.collect()) == n // 3 + n // 3
-        assert "SortMergeJoin(skew=true)" in kept._jdf.queryExecution().executedPlan().toString()
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan
+        assert "ReusedExchange" in plan
     finally:
         for key in settings:
             spark.conf.unset(key)
