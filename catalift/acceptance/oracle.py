@@ -151,7 +151,7 @@ FROM ({_ROWS_OF_TABLES})""",
     "read_series": """
 SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1""",
     "conform": """
-SELECT c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_custkey, CAST(NULL AS VARCHAR) AS c_comment
+SELECT c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_custkey, 'absent' AS c_comment
 FROM customer""",
     "upgrade_plan_again": """
 WITH v AS (SELECT 'm' || (o_custkey % 50) AS model,

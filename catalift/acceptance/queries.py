@@ -351,7 +351,8 @@ SIGNATURE = StructType(
 
 def conform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One column widens, one is optional and absent, two are not declared."""
-    return ops.conform(_read(spark, sf_dir, "customer"), SIGNATURE)
+    conformed = ops.conform(_read(spark, sf_dir, "customer"), SIGNATURE)
+    return conformed.fillna("absent", ["c_comment"])
 
 
 # Registry
