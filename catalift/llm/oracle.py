@@ -2,6 +2,77 @@
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+# kind, pattern, group, least length; keywords match in either case
+_KINDS = (
+    (
+        "assign",
+        "((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+        "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
+        2,
+        8,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]{32,}", 0, 32),
+    ("github", "ghp_[A-Za-z0-9]{36}", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    ("private", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+)
+
+
+def _spans(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""list_filter(list_transform(
+      list_zip(string_split_regex(t, '{pattern}'), regexp_extract_all(t, '{pattern}', 0), regexp_extract_all(t, '{pattern}', {group})),
+      lambda z, i: {{
+        's': list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda g: length(g)))
+          + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}', 0)[1:i - 1], lambda h: length(h))), 0),
+        'o': {order}, 'n': length(z[2]), 'k': '{kind}', 'p': length(z[3])}}), lambda x: x.n IS NOT NULL AND x.p >= {least})"""
+
+
+OP2 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_concat({", ".join(_spans(i, *k) for i, k in enumerate(_KINDS))})) AS spans FROM d
+)
+SELECT doc_id,
+  len(list_filter(spans, lambda x: x.k = 'assign')) AS n_assign,
+  len(list_filter(spans, lambda x: x.k = 'access')) AS n_access,
+  len(list_filter(spans, lambda x: x.k = 'hex')) AS n_hex,
+  sha256(array_to_string(list_transform(list_filter(spans, lambda x: x.o < 3),
+    lambda x: x.k || ':' || x.s::BIGINT || ':' || (x.s + x.n)::BIGINT), ',')) AS base_sha256,
+  array_to_string(list_transform(spans, lambda x: x.k || ':' || x.s::BIGINT || ':' || (x.s + x.n)::BIGINT), ',') AS spans
+FROM s
+"""
+
+OP6 = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+), m AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h,
+    length(line) >= 99 AND len(regexp_extract_all(line, '{WORD}')) >= 50 AS is_long
+  FROM l
+), e AS (
+  SELECT *, (lag(h, 1, 0) OVER w * 31 + h) % 3 = 0 OR is_long OR coalesce(lead(is_long) OVER w, true) AS stop
+  FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), n AS (
+  SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
+  FROM e
+), c AS (
+  SELECT doc_id, no, count(*) AS lines, bool_or(is_long) AS is_long, string_agg(line, chr(10) ORDER BY i) AS txt
+  FROM n GROUP BY doc_id, no
+), r AS (
+  SELECT *, (lines > 1 OR is_long) AND row_number() OVER (PARTITION BY (lines > 1 OR is_long), txt ORDER BY doc_id, no) > 1 AS gone
+  FROM c
+), g AS (
+  SELECT doc_id, string_agg(txt, chr(10) ORDER BY no) FILTER (NOT gone) AS kept, sum(lines)::BIGINT AS n_lines,
+    coalesce(sum(lines) FILTER (gone), 0)::BIGINT AS removed_lines, count(*) FILTER (gone) AS removed_chunks
+  FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.kept, '') END AS text,
+  coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_chunks, 0) AS removed_chunks
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
 OP9 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages
@@ -49,6 +120,8 @@ FROM c
 """
 
 ORACLE: dict[str, str] = {
+    "op2_trigram_secrets": OP2,
+    "op6_chunked_lines": OP6,
     "op9_warc_bundles": OP9,
     "op10_pareto_mix": OP10,
 }

@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .line_dedup import dedup_lines
 from .mixing import mix_plan
+from .secrets import secret_report
 from .sharding import shard_plan
 from .warc import roundtrip
 
 
+def op2_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(table(spark, sf_dir, "documents"))
 
 
+def op6_chunked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "pages"))
 
@@ -26,5 +36,5 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_vector_packing, op9_warc_bundles, op10_pareto_mix)
+    f.__name__: f for f in (op2_trigram_secrets, op3_vector_packing, op6_chunked_lines, op9_warc_bundles, op10_pareto_mix)
 }
