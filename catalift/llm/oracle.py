@@ -43,6 +43,29 @@ SELECT doc_id,
 FROM s
 """
 
+OP4 = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 'b', item_id, list_filter(string_split_regex(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')
+  FROM benchmark WHERE text IS NOT NULL
+), s AS (
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM w WHERE len(words) > 0
+), n AS (
+  SELECT id AS item_id, count(*) AS shingles FROM s WHERE side = 'b' GROUP BY id
+), m AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared
+  FROM s d JOIN s b ON d.shingle = b.shingle AND d.side = 'd' AND b.side = 'b' GROUP BY d.id, b.id
+)
+SELECT doc_id, item_id, shared, shingles, shared / shingles AS containment
+FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * shingles
+"""
+
 OP6 = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
@@ -121,6 +144,7 @@ FROM c
 
 ORACLE: dict[str, str] = {
     "op2_trigram_secrets": OP2,
+    "op4_minhash_containment": OP4,
     "op6_chunked_lines": OP6,
     "op9_warc_bundles": OP9,
     "op10_pareto_mix": OP10,

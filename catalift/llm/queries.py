@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .contamination import contaminated
+from .language import language_report
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .secrets import secret_report
 from .sharding import shard_plan
+from .simhash import simhash_report
 from .warc import roundtrip
 
 
@@ -22,10 +25,22 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op6_chunked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_report(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "pages"))
 
@@ -36,5 +51,15 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_trigram_secrets, op3_vector_packing, op6_chunked_lines, op9_warc_bundles, op10_pareto_mix)
+    f.__name__: f
+    for f in (
+        op2_trigram_secrets,
+        op3_vector_packing,
+        op4_minhash_containment,
+        op5_rank_profiles,
+        op6_chunked_lines,
+        op7_simhash_bktree,
+        op9_warc_bundles,
+        op10_pareto_mix,
+    )
 }
