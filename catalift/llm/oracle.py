@@ -2,6 +2,28 @@
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.ok AND b.ok AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS v, vec_id AS c FROM v
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.v
+), c AS (
+  SELECT v, min(c) AS c FROM r GROUP BY v
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.v = v.vec_id
+"""
+
 # kind, pattern, group, least length; keywords match in either case
 _KINDS = (
     (
@@ -143,6 +165,7 @@ FROM c
 """
 
 ORACLE: dict[str, str] = {
+    "op1_lattice_neardup": OP1,
     "op2_trigram_secrets": OP2,
     "op4_minhash_containment": OP4,
     "op6_chunked_lines": OP6,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .contamination import contaminated
 from .language import language_report
+from .lattice import near_vectors
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .secrets import secret_report
@@ -17,6 +18,10 @@ from .simhash import simhash_report
 from .warc import roundtrip
 
 
+def op1_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lattice_neardup,
         op2_trigram_secrets,
         op3_vector_packing,
         op4_minhash_containment,
