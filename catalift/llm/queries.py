@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .contamination import contaminated
 from .language import language_report
+from .katz import katz_scores
 from .lattice import near_vectors
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
@@ -46,6 +47,10 @@ def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "pages"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_rank_profiles,
         op6_chunked_lines,
         op7_simhash_bktree,
+        op8_katz_backoff,
         op9_warc_bundles,
         op10_pareto_mix,
     )
