@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import table
 from .contamination import contaminated
 from .language import language_report
@@ -74,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc_bundles,
         op10_pareto_mix,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
