@@ -17,7 +17,7 @@ MAX_LANGUAGES = 1000
 PIECE = 1 << 20
 
 _BITS = 21  # of a code point
-_UNSEEN, _BREAK = 0xFFFFFFFF, 0
+_UNSEEN, _BREAK = 0xFFFFFFFF, 1  # no letter is 1, and no gram begins with 0: lengths differ
 
 
 class Letters:
