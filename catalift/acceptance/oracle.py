@@ -20,8 +20,86 @@ GROUP BY 1, 2
     "inventory_csv": """
 SELECT 'db' || (p_partkey % 10) AS db, 't' || p_partkey AS table_name,
        CASE WHEN p_partkey % 7 = 0 THEN 'Unknown' ELSE p_brand END AS format,
-       CASE WHEN p_partkey % 7 <> 0 THEN p_partkey * 1000 END AS created_time
-FROM part
+       CASE WHEN p_partkey % 7 = 0 THEN 'Unknown' ELSE 'EXTERNAL' END AS type,
+       CASE WHEN p_partkey % 7 = 0 THEN 'NONE' ELSE 'file:/a,b/' || p_partkey END AS table_location,
+       CASE WHEN p_partkey % 7 <> 0 THEN '4.1' END AS created_version,
+       CASE WHEN p_partkey % 7 <> 0 THEN p_partkey * 1000 END AS created_time,
+       CASE WHEN p_partkey % 7 <> 0 THEN CAST(-1 AS BIGINT) END AS last_access,
+       CASE WHEN p_partkey % 7 = 0 THEN 'absent' ELSE 'Unknown' END AS lib,
+       CASE WHEN p_partkey % 7 = 0 THEN 'absent' ELSE 'Unknown' END AS inputformat,
+       CASE WHEN p_partkey % 7 = 0 THEN 'absent' ELSE 'Unknown' END AS outputformat,
+       inferred
+FROM part, (VALUES (false), (true)) AS modes(inferred)
+""",
+    "database_inventory": """
+SELECT DISTINCT c_mktsegment AS segment, 'spark_catalog' AS catalog FROM customer
+""",
+    "describe_databases": """
+SELECT r_name AS region, CAST(3 AS BIGINT) AS facts, CAST(0 AS BIGINT) AS errors FROM region
+UNION ALL SELECT 'none', 0, 1
+""",
+    "catalog_cleanup": """
+SELECT DISTINCT p_type AS db FROM part WHERE contains(p_type, 'ECO') UNION ALL SELECT 'spark_catalog'
+""",
+    "owned_by_me": """
+SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0
+""",
+    "sync_options": """
+SELECT t AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS matches
+FROM nation, (VALUES ('placed'), ('kept')) AS v(t) GROUP BY t
+""",
+    "plan_catalogs": """
+WITH p AS (
+  SELECT c AS catalog, 't' || p_partkey AS t, p_partkey % 11 = 0 AS is_view, p_partkey % 5 = 0 AS root,
+         p_partkey % 7 AS known, p_partkey % 3 = 0 AS both_have
+  FROM part JOIN (VALUES ('a'), ('b')) AS v(c) ON c = 'a' OR p_partkey % 3 = 0),
+s AS (
+  SELECT source, p.*, CASE WHEN source = 'd' THEN '' ELSE catalog || '.' END || 'd.' || t AS source_name
+  FROM p JOIN (VALUES ('a.d'), ('b.d'), ('d')) AS v(source) ON source = 'd' OR source[1] = catalog)
+SELECT source, source_name, 'main.s.' || t AS target_name,
+       CASE WHEN is_view THEN 'VIEW_SKIPPED'
+            WHEN source = 'd' AND both_have THEN 'ERROR'
+            WHEN known = 1 AND NOT root THEN 'ERROR'
+            WHEN known IN (0, 1) THEN 'EXISTS'
+            WHEN root THEN 'NEEDS_COPY' ELSE 'READY' END AS status
+FROM s
+""",
+    "champion_challenger": """
+WITH tr AS (SELECT * FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-01-01'),
+va AS (SELECT * FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-01-01'),
+f AS (SELECT regr_slope(l_extendedprice, l_discount) AS a1, regr_intercept(l_extendedprice, l_discount) AS b1,
+             regr_slope(l_extendedprice, l_quantity) AS a2, regr_intercept(l_extendedprice, l_quantity) AS b2 FROM tr),
+m AS (SELECT CAST(1 AS BIGINT) AS version, avg(power(l_extendedprice - (a1 * l_discount + b1), 2)) AS mse FROM va, f
+      UNION ALL SELECT 2, avg(power(l_extendedprice - (a2 * l_quantity + b2), 2)) FROM va, f)
+SELECT 'compared' AS stage, version, round(mse, 2) AS mse, CAST(0 AS BIGINT) AS unscored FROM m
+UNION ALL SELECT 'promoted', version, round(mse, 2), 0 FROM m WHERE mse = (SELECT min(mse) FROM m)
+""",
+    "forest_exact": """
+SELECT l_orderkey, l_linenumber, CAST(3 * l_linenumber * l_linenumber + 1 AS DOUBLE) AS prediction
+FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-01-01'
+""",
+    "label_split": """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+""",
+    "holdout": """
+SELECT CAST(count(*) AS BIGINT) AS lines, CAST(1 AS BIGINT) AS sides, true AS about_a_fifth FROM lineitem
+""",
+    "upgrade_carried": """
+WITH o AS (SELECT *, o_custkey % 50 AS k, CASE WHEN o_custkey % 50 = 7 THEN 'in.valid' WHEN o_custkey % 50 <> 8 THEN 'm' || (o_custkey % 50) END AS name
+           FROM orders),
+v AS (SELECT *, CASE WHEN k IN (7, 8) THEN 'INVALID_NAME' WHEN o_orderpriority <> '5-LOW' THEN 'READY' ELSE 'NO_SIGNATURE' END AS status FROM o),
+n AS (SELECT *, CASE WHEN status = 'READY' THEN row_number() OVER (PARTITION BY name, status ORDER BY o_orderkey) END AS dest_version FROM v),
+m AS (SELECT DISTINCT name FROM o UNION SELECT DISTINCT 'bare' || k FROM o)
+SELECT 'versions' AS run, name AS model, o_orderkey AS version, 'main.migrated_models.' || name AS dest_name, status, dest_version,
+       's3://runs/' || o_orderkey AS source, 'r' || o_custkey AS run_id, o_orderpriority AS description, 'about ' || name AS model_description
+FROM n
+UNION ALL
+SELECT 'versions', name, NULL, 'main.migrated_models.' || name, 'NO_VERSIONS', NULL, NULL, NULL, NULL, 'about ' || name
+FROM m WHERE name LIKE 'bare%'
+UNION ALL
+SELECT 'models', name, NULL, 'main.migrated_models.' || name, CASE WHEN name IS NULL OR name = 'in.valid' THEN 'INVALID_NAME' ELSE 'READY' END,
+       NULL, NULL, NULL, NULL, 'about ' || name
+FROM m
 """,
     "name_contains_any": """
 SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'small')
@@ -42,7 +120,8 @@ WITH d AS (
   FROM part)
 SELECT table_id, location, is_view, is_delta,
        coalesce((starts_with(location, 'dbfs:/') OR starts_with(location, 'wasb')) AND NOT starts_with(location, 'dbfs:/mnt/'), false) OR managed AS should_copy
-FROM d
+FROM d WHERE table_id % 7 <> 3
+UNION ALL SELECT table_id, NULL, false, false, false FROM d WHERE table_id % 7 = 3
 """,
     "slice_inclusive": """
 SELECT 'train' AS split, o_orderkey, o_orderdate FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-01-01'
@@ -66,18 +145,18 @@ WHERE rn <= 10
     "latest_version": """
 WITH v AS (SELECT 'm' || (o_custkey % 50) AS model,
                   CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS VARCHAR) AS version, o_orderstatus FROM orders)
-SELECT model, max(CAST(version AS INTEGER)) AS latest_version FROM v GROUP BY 1
+SELECT model, max(CAST(version AS BIGINT)) AS latest_version FROM v GROUP BY 1
 """,
     "stage_alias": """
 WITH v AS (SELECT 'm' || (o_custkey % 50) AS model,
-                  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INTEGER) AS version, o_orderstatus AS st FROM orders),
+                  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS BIGINT) AS version, o_orderstatus AS st FROM orders),
 s AS (SELECT model, version, CASE st WHEN 'P' THEN 'Production' WHEN 'O' THEN 'Staging' ELSE 'Archived' END AS stage FROM v)
 SELECT model, CASE stage WHEN 'Production' THEN 'Champion' ELSE 'Challenger' END AS alias, max(version) AS version
 FROM s WHERE stage IN ('Production', 'Staging') GROUP BY 1, 2
 """,
     "upgrade_plan": """
 WITH v AS (SELECT 'm' || (o_custkey % 50) AS model,
-                  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INTEGER) AS version,
+                  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS BIGINT) AS version,
                   o_orderpriority <> '5-LOW' AS has_signature FROM orders)
 SELECT model, version, 'main.migrated_models.' || model AS dest_name,
        CASE WHEN has_signature THEN 'READY' ELSE 'NO_SIGNATURE' END AS status,
@@ -87,7 +166,8 @@ FROM v
     "validation_mse": """
 WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b
            FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-01-01')
-SELECT CAST(round(avg(power(l_extendedprice - (a * l_quantity + b), 2))) AS BIGINT) AS mse
+SELECT CAST(round(avg(power(l_extendedprice - (a * l_quantity + b), 2))) AS BIGINT) AS mse,
+       round(avg(power(l_extendedprice - (a * l_quantity + b), 2)), 2) AS exact, CAST(0 AS BIGINT) AS unscored
 FROM lineitem, f WHERE l_shipdate BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-01-01'
 """,
     "score_rows": """
@@ -113,9 +193,8 @@ SELECT * FROM nation ORDER BY n_nationkey LIMIT 10
     "table_overwrite": """
 SELECT * FROM customer
 """,
-    "sync_reconcile": """
-SELECT 'orders' AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS matches FROM orders
-UNION ALL SELECT 'customer', count(*), count(*), true FROM customer
+    "sync_reconcile": f"""
+SELECT table_name, n_rows AS source_rows, n_rows AS target_rows, true AS matches FROM ({_ROWS_OF_TABLES})
 """,
     "cleanup_candidates": """
 SELECT DISTINCT p_type AS db FROM part WHERE contains(p_type, 'AN') OR contains(p_type, 'ECO')""",
@@ -155,7 +234,7 @@ SELECT c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_custkey, 'absent
 FROM customer""",
     "upgrade_plan_again": """
 WITH v AS (SELECT 'm' || (o_custkey % 50) AS model,
-                  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INTEGER) AS version,
+                  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS BIGINT) AS version,
                   o_orderpriority <> '5-LOW' OR o_custkey % 50 % 2 = 0 AS has_signature FROM orders),
 s AS (SELECT model, version, CASE WHEN version <= 10 THEN 'EXISTS' WHEN has_signature THEN 'READY' ELSE 'NO_SIGNATURE' END AS status
       FROM v)

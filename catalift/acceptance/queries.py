@@ -74,8 +74,18 @@ def inventory_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = scratch_dir(spark)
     sources.write_inventory(inventory, path)
-    return sources.read_inventory(spark, path).select(
-        "db", F.col("table").alias("table_name"), "format", "created_time"
+    return reduce(
+        DataFrame.unionAll,
+        (
+            sources.read_inventory(spark, path, infer=infer)
+            .withColumn("last_access", F.col("last_access").cast("bigint"))
+            .withColumn("created_time", F.col("created_time").cast("bigint"))
+            .withColumn("created_version", F.col("created_version").cast("string"))
+            .withColumnRenamed("table", "table_name")
+            .withColumn("inferred", F.lit(infer))
+            .withColumns({c: F.coalesce(c, F.lit("absent")) for c in ("lib", "inputformat", "outputformat")})
+            for infer in (False, True)
+        ),
     )
 
 
@@ -118,6 +128,40 @@ def column_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.join(_rows_of(spark, database), "table_name")
 
 
+def database_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases named after the segments of customers, found again by a glob."""
+    prefix = f"catalift_{uuid.uuid4().hex}"
+    segments = _read(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    for row in segments.toLocalIterator():
+        sources.create_database(spark, f"{prefix}_{row[0].lower()}", scratch_dir(spark))
+    found = sources.database_inventory(spark, f"{prefix}_*")
+    return found.select(F.upper(F.substring_index("db", "_", -1)).alias("segment"), "catalog")
+
+
+def describe_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A described database for each region, and one that is not there."""
+    regions = [r[0] for r in _read(spark, sf_dir, "region").select("r_name").collect()]
+    names = {f"catalift_{uuid.uuid4().hex}": region for region in regions}
+    for name in names:
+        sources.create_database(spark, name, scratch_dir(spark))
+    told = sources.describe_databases(spark, [*names, f"catalift_{uuid.uuid4().hex}"])
+    known = spark.createDataFrame(list(names.items()), "db STRING, region STRING")
+    facts = F.count_if(F.col("info_name").isin("Catalog Name", "Namespace Name", "Location"))
+    return (
+        told.join(known, "db", "left")
+        .groupBy(F.coalesce("region", F.lit("none")).alias("region"))
+        .agg(facts.alias("facts"), F.count_if(F.col("info_name") == "# Error").alias("errors"))
+    )
+
+
+def catalog_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogues as rows fit the clean-up filter; those of the session, marked by name,
+    against the parts of a type."""
+    catalogs = sources.catalog_inventory(spark).select(F.col("catalog").alias("db"))
+    types = _read(spark, sf_dir, "part").select(F.col("p_type").alias("db"))
+    return ops.cleanup_candidates(catalogs.union(types), ["spark_cat", "ECO"])
+
+
 def contains_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
     return name_contains_any(parts, "p_name", ["ring", "small"])
@@ -146,6 +190,13 @@ def owned_not_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("c_custkey", "c_name")
 
 
+def owned_by_me(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default owner is the user of the session."""
+    mine = F.when(F.col("c_custkey") % 3 == 0, F.current_user()).otherwise("someone else")
+    customers = _read(spark, sf_dir, "customer").select("c_custkey", mine.alias("owner"))
+    return owned(customers, "owner").select("c_custkey")
+
+
 def owned_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return owned(customers, "c_mktsegment", "BUILDING")
@@ -169,6 +220,7 @@ def describe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_partkey") % 5
+    bare = F.col("p_partkey") % 7 == 3
     view = kind == 4
     location = (
         F.when(kind == 0, "dbfs:/user/hive/warehouse/a")
@@ -179,11 +231,12 @@ def classify_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     managed = F.when(kind.isin(0, 2), "MANAGED").otherwise("EXTERNAL")
     # a data column named like a key, the marker, then the keys
     described = F.array(
-        _pair("Location", F.lit("string")),
-        _pair("# Detailed Table Information", F.lit("")),
-        _pair("Type", F.when(view, "VIEW").otherwise(managed)),
-        F.when(~view, _pair("Provider", F.lit("delta"))),
-        F.when(~view, _pair("Location", location)),
+        _pair("id", F.lit("bigint")),
+        F.when(~bare, _pair("Location", F.lit("string"))),
+        F.when(~bare, _pair("# Detailed Table Information", F.lit(""))),
+        F.when(~bare, _pair("Type", F.when(view, "VIEW").otherwise(managed))),
+        F.when(~bare & ~view, _pair("Provider", F.lit("delta"))),
+        F.when(~bare & ~view, _pair("Location", location)),
     )
     description = (
         _read(spark, sf_dir, "part")
@@ -214,13 +267,9 @@ def table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-def sync_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk, dry-run, move and check: orders is registered in place, customer is managed
-    and copied, the view is left."""
-    source, target = _new_database(spark), _new_database(spark)
-    sources.register_external(spark, f"{source}.orders", f"{sf_dir}/orders.parquet")
-    sources.save_table(_read(spark, sf_dir, "customer"), f"{source}.customer")
-    spark.sql(f"CREATE VIEW {source}.names AS SELECT c_name FROM {source}.customer")
+def _moved(spark: SparkSession, source: str) -> DataFrame:
+    """Walk, dry-run, move and check a database."""
+    target = _new_database(spark)
     plan = plans.plan_sync(
         sources.table_inventory(spark, source),
         sources.table_inventory(spark, target),
@@ -228,10 +277,10 @@ def sync_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
         target,
     )
     moved = plans.run_sync(spark, plan, scratch_dir(spark), allow_managed=True)
-    pairs = [
+    pairs = (
         (row["source_name"], row["target_name"])
         for row in moved.where("status = 'EXISTS'").toLocalIterator()
-    ]
+    )
     return plans.reconcile(spark, pairs).select(
         F.substring_index("source_name", ".", -1).alias("table_name"),
         "source_rows",
@@ -240,6 +289,59 @@ def sync_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sync_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All given tables: customer is managed and copied, the others are registered in place,
+    a view is left."""
+    source = _registered(spark, sf_dir)
+    spark.sql(f"DROP TABLE {source}.customer")  # external: the files stay
+    sources.save_table(_read(spark, sf_dir, "customer"), f"{source}.customer")
+    spark.sql(f"CREATE VIEW {source}.names AS SELECT c_name FROM {source}.customer")
+    return _moved(spark, source)
+
+
+def sync_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV tables with options and declared types: one in place, one managed and copied."""
+    source, path = _new_database(spark), scratch_dir(spark)
+    nations = _read(spark, sf_dir, "nation")
+    sources.write_path(nations, path, "csv", options={"header": "true", "sep": "|"})
+    columns = "(n_nationkey INT, n_name VARCHAR(25) COMMENT 'name', n_regionkey INT)"
+    form = "USING csv OPTIONS (header 'true', sep '|')"
+    spark.sql(f"CREATE TABLE {source}.placed {columns} {form} LOCATION '{path}' TBLPROPERTIES ('k' = 'v')")
+    spark.sql(f"CREATE TABLE {source}.kept {columns} {form}")
+    nations.write.insertInto(f"{source}.kept")
+    return _moved(spark, source)
+
+
+def plan_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two catalogues with tables of one name: planned one by one, and without naming one."""
+    key = F.col("p_partkey")
+    parts = _read(spark, sf_dir, "part").select(
+        F.explode(F.when(key % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("catalog"),
+        F.lit("d").alias("db"),
+        F.concat(F.lit("t"), key).alias("table"),
+        F.lit("delta").alias("format"),
+        F.when(key % 11 == 0, "VIEW").otherwise("EXTERNAL").alias("type"),
+        F.concat(F.lit("dbfs:"), F.when(key % 5 > 0, "/mnt/").otherwise("/"), key).alias("table_location"),
+        (key % 7).alias("_known"),
+    )
+    there = F.concat("table_location", F.when(F.col("_known") == 1, "x").otherwise(""))
+    target = (
+        parts.where("_known IN (0, 1) AND catalog = 'a'")
+        .withColumn("table_location", there)
+        .withColumn("catalog", F.lit("main"))
+        .withColumn("db", F.lit("s"))
+    )
+    return reduce(
+        DataFrame.unionAll,
+        (
+            plans.plan_sync(parts, target, source, "main.s").select(
+                F.lit(source).alias("source"), "source_name", "target_name", "status"
+            )
+            for source in ("a.d", "b.d", "d")
+        ),
+    )
+
+
 # Series
 
 
@@ -267,6 +369,23 @@ def forecast_window_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.forecast_window(_daily(spark, sf_dir), "day", LATE_ANCHOR)
 
 
+def label_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and label apart, joined again by their key."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    features, label = ops.label_split(orders, "o_totalprice", ["o_orderkey"])
+    return features.join(label, "o_orderkey")
+
+
+def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the orders within a hundredth, and all lines of an order on one side."""
+    held = ops.holdout(_read(spark, sf_dir, "lineitem"), ["l_orderkey"])
+    share = F.abs(F.avg(F.col("held_back").cast("int")) - 0.2) < 0.05
+    sides = held.groupBy("l_orderkey").agg(
+        F.count("*").alias("lines"), F.count_distinct("held_back").alias("sides"), F.max("held_back").alias("held_back")
+    )
+    return sides.agg(F.sum("lines").alias("lines"), F.max("sides").alias("sides"), share.alias("about_a_fifth"))
+
+
 def forecast_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = ops.forecast_window(_daily(spark, sf_dir), "day", ANCHOR)
     predictions = window.select("day", (F.col("n") * 2).alias("prediction"))
@@ -289,7 +408,9 @@ def _linear(spark: SparkSession, sf_dir: str):
 def validation_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     validation = _lineitem(spark, sf_dir, VALIDATION)
     scored = ops.score(_linear(spark, sf_dir), validation, ["l_extendedprice"])
-    return ops.mse(scored, "l_extendedprice").select(F.round("mse").cast("bigint").alias("mse"))
+    return ops.mse(scored, "l_extendedprice").select(
+        F.round("mse").cast("bigint").alias("mse"), F.round("mse", 2).alias("exact"), "unscored"
+    )
 
 
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +448,30 @@ def compare_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fitted models behind two aliases score the same rows and are compared; then the
+    better one is promoted and scores as Champion."""
+    label, keys = "l_extendedprice", ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    training = _lineitem(spark, sf_dir, TRAINING)
+    validation = _lineitem(spark, sf_dir, VALIDATION).withColumn("model", F.lit(MODEL))
+    models = {
+        (MODEL, version): ops.fit_linear(training, [feature], label)
+        for version, feature in ((1, "l_discount"), (2, "l_quantity"))
+    }
+    kind = "name STRING, alias STRING, version INT"
+    aliases = spark.createDataFrame([(MODEL, "Champion", 1), (MODEL, "Challenger", 2)], kind)
+    both = reduce(
+        DataFrame.unionAll,
+        (ops.score_by_alias(validation, aliases, models, keys, alias) for alias in ("Champion", "Challenger")),
+    )
+    compared = ops.compare_versions(both, label)
+    best = compared.orderBy("mse").limit(1).select(F.lit(MODEL).alias("name"), F.lit("Champion").alias("alias"), "version")
+    promoted = ops.score_by_alias(validation, best, models, keys, "Champion")
+    after = ops.compare_versions(promoted, label)
+    stages = [compared.withColumn("stage", F.lit("compared")), after.withColumn("stage", F.lit("promoted"))]
+    return reduce(DataFrame.unionAll, stages).select("stage", "version", F.round("mse", 2).alias("mse"), "unscored")
+
+
 def forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     features, label = ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
     keys = ["l_orderkey", "l_linenumber"]
@@ -334,6 +479,17 @@ def forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.score(forest, _lineitem(spark, sf_dir, VALIDATION), keys)
 
 
+def forest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest of `forest_score` on a label that a feature of few values decides: every leaf
+    is pure, whatever sample a tree saw, so the prediction of every row is known."""
+    features, label = ["l_linenumber", "l_discount"], "label"
+    keys = ["l_orderkey", "l_linenumber"]
+    line = F.col("l_linenumber")
+    training = _lineitem(spark, sf_dir, TRAINING).withColumn(label, 3.0 * line * line + 1)
+    forest = ops.fit_forest(training, features, label, key=keys)
+    return ops.score(forest, _lineitem(spark, sf_dir, VALIDATION), keys)
+
+
 def holdout_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return ops.holdout_tail(orders, "o_orderkey")
@@ -388,7 +544,41 @@ def stage_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upgrade_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plans.upgrade_plan(_versions(spark, sf_dir), "main", "migrated_models")
-    return plan.withColumnRenamed("name", "model")
+    return _planned(plan)
+
+
+def _planned(plan: DataFrame) -> DataFrame:
+    return plan.select(F.col("name").alias("model"), "version", "dest_name", "status", "dest_version")
+
+
+def upgrade_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid and missing names, models without versions, and what versions carry; then the
+    models alone."""
+    key = F.col("o_custkey") % 50
+    name = F.when(key == 7, "in.valid").when(key != 8, F.concat(F.lit("m"), key))
+    orders = _read(spark, sf_dir, "orders")
+    versions = orders.select(
+        name.alias("name"),
+        F.col("o_orderkey").cast("string").alias("version"),
+        (F.col("o_orderpriority") != "5-LOW").alias("has_signature"),
+        F.concat(F.lit("s3://runs/"), "o_orderkey").alias("source"),
+        F.concat(F.lit("r"), "o_custkey").alias("run_id"),
+        F.col("o_orderpriority").alias("description"),
+    )
+    models = orders.select(F.explode(F.array(name, F.concat(F.lit("bare"), key))).alias("name")).distinct()
+    models = models.select("name", F.concat(F.lit("about "), "name").alias("description"))
+    whole = plans.upgrade_plan(versions, "main", "migrated_models", models=models)
+    alone = plans.upgrade_plan(versions, "main", "migrated_models", models=models, upgrade_versions=False)
+    return reduce(
+        DataFrame.unionAll,
+        (
+            plan.withColumnRenamed("name", "model").select(
+                F.lit(run).alias("run"), "model", "version", "dest_name", "status", "dest_version",
+                "source", "run_id", "description", "model_description",
+            )
+            for run, plan in (("versions", whole), ("models", alone))
+        ),
+    )
 
 
 def upgrade_plan_again(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +598,7 @@ def upgrade_plan_again(spark: SparkSession, sf_dir: str) -> DataFrame:
         signatures=versions.where(even & ~F.col("has_signature")),
         migrated=moved,
     )
-    return plan.withColumnRenamed("name", "model")
+    return _planned(plan)
 
 
 def preview_top_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,16 +610,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inventory_csv": inventory_csv,
     "table_inventory": table_inventory,
     "column_inventory": column_inventory,
+    "database_inventory": database_inventory,
+    "describe_databases": describe_databases,
+    "catalog_cleanup": catalog_cleanup,
     "name_contains_any": contains_any,
     "name_glob": glob,
     "cleanup_candidates": cleanup_candidates,
     "owned_by": owned_by,
+    "owned_by_me": owned_by_me,
     "owned_not_marked": owned_not_marked,
     "classify_copy": classify_copy,
     "describe_tables": describe_tables,
     "path_roundtrip": path_roundtrip,
     "table_overwrite": table_overwrite,
     "sync_reconcile": sync_reconcile,
+    "sync_options": sync_options,
+    "plan_catalogs": plan_catalogs,
     "slice_inclusive": time_split,
     "read_series": read_series,
     "forecast_window": forecast_window,
@@ -438,12 +634,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validation_mse": validation_mse,
     "score_rows": score_rows,
     "compare_versions": compare_versions,
+    "champion_challenger": champion_challenger,
     "forest_score": forest_score,
+    "forest_exact": forest_exact,
+    "label_split": label_split,
+    "holdout": holdout,
     "holdout_tail": holdout_tail,
     "conform": conform,
     "latest_version": latest_version,
     "stage_alias": stage_alias,
     "upgrade_plan": upgrade_plan,
     "upgrade_plan_again": upgrade_plan_again,
+    "upgrade_carried": upgrade_carried,
     "preview_top_name": preview_top_name,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -22,13 +23,13 @@ TREES = 300
 # Fixed value: share of the training rows held back while fitting.
 HELD_BACK = 0.2
 
-# While it fits, Spark keeps with every row one 4-byte sample count per tree. A forest whose
-# counts fit into the first bound is fitted in one go; a larger one in groups of so many
-# trees, as all counts at once would hold far more than the data.
-_COUNT_BYTES = 4
-ONE_FIT_BYTES = 256 << 20
+# While it fits, Spark keeps with every row one 4-byte sample count per tree: 400 bytes a row
+# for a group of so many trees, against 1.2 kB for a forest at once.
 TREES_PER_FIT = 100
 
+# Partitions that rows are dealt to by their key before a fit.
+FIT_PARTITIONS = 64
+
 # Columns that exist only while a model is applied.
 _FEATURES = "_features"
 _PREDICTION = "_prediction"
@@ -46,33 +47,28 @@ def fit_forest(
     max_depth: int = 5,
     seed: int = 0,
     key: Sequence[str] = (),
-    partitions: int | None = None,
-    trees_per_fit: int | None = None,
+    partitions: int = FIT_PARTITIONS,
+    trees_per_fit: int = TREES_PER_FIT,
 ) -> PipelineModel:
     """Random forest; every split of every tree looks at all features.
 
     A forest depends on how rows are spread over partitions and on their order. Naming a
-    unique `key` fixes both, for one shuffle of the key, the features and the label:
-    the same seed and number of partitions then give the same forest.
+    unique `key` fixes both, for one shuffle of the key, the features and the label: the
+    same seed, key and `partitions` then give the same forest, whatever the session's
+    settings. Take more partitions for more rows: about a million rows each.
 
-    On large data the trees are fitted in groups, each with a seed of its own. The forest
-    predicts the mean over all trees, as one of them would. `trees_per_fit` sets the size of
-    a group by hand.
+    The trees are always fitted in groups of `trees_per_fit`, each with a seed of its own. The
+    forest predicts the mean over all trees.
     """
     data = df.select(*dict.fromkeys([*key, *features, label]))
     if key:
         by_key = [F.col(name) for name in key]
-        if partitions is None:
-            partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         data = data.repartition(partitions, *by_key).sortWithinPartitions(*by_key)
     assembler = _assembler(features)
     data = assembler.transform(data).select(_FEATURES, label)
 
     data = data.persist()
     try:
-        if trees_per_fit is None:
-            whole = data.count() * trees * _COUNT_BYTES <= ONE_FIT_BYTES
-            trees_per_fit = trees if whole else TREES_PER_FIT
         sizes = [min(trees_per_fit, trees - done) for done in range(0, trees, trees_per_fit)]
         groups = [
             RandomForestRegressor(
@@ -126,10 +122,12 @@ def score_by_alias(
 ) -> DataFrame:
     """Score every row with the version its model's alias points at.
 
-    `aliases` has ``name, alias, version``; `models` maps (name, version) to a fitted model.
-    They are models of this module. The alias is one text for all rows or, by default, a column of `df`. Rows whose alias
-    points at no version, or at one without a model, keep a NULL prediction. All versions
-    are applied in one scan.
+    `aliases` has ``name, alias, version``; `models` maps (name, version) to a fitted model of
+    this module. The alias is one text for all rows or, by default, a column of `df`. Rows
+    whose alias points at no version, or at one without a model, keep a NULL prediction.
+
+    Versions share no row, so each model is applied to the rows of its own version only, and
+    models that no alias points at are left out.
     """
     wanted = F.col(alias_col) if alias is None else F.lit(alias)
     at_hand = any_of(
@@ -137,22 +135,24 @@ def score_by_alias(
     )
     targets = (
         aliases.groupBy(F.col("name").alias("_name"), F.col("alias").alias("_alias"))
-        .agg(F.max(F.col("version").cast("int")).alias("version"))
+        .agg(F.max(F.col("version").cast("bigint")).alias("version"))
         .where(at_hand)
     )
+    # at most one row per model
+    pointed = {(r["_name"], r["version"]) for r in targets.select("_name", "version").distinct().collect()}
     rows = df.join(
         broadcast_if_small(targets),
         (F.col(name_col) == F.col("_name")) & (wanted == F.col("_alias")),
         "left",
     )
-    choices = []
-    for number, ((name, version), model) in enumerate(models.items()):
-        column = f"_choice_{number}"
-        rows = _with_prediction(model, rows, column)
-        chosen = (F.col("_name") == name) & (F.col("version") == version)
-        choices.append(F.when(chosen, F.col(column)))
-    prediction = F.coalesce(*choices, F.lit(None).cast("double"))
-    return rows.select(*keys, "version", prediction.alias("prediction"))
+    unscored = rows.where(F.col("_name").isNull())
+    parts = [unscored.select(*keys, "version", F.lit(None).cast("double").alias("prediction"))]
+    for (name, version), model in models.items():
+        if (name, version) in pointed:
+            own = rows.where((F.col("_name") == name) & (F.col("version") == version))
+            scored = _with_prediction(model, own, "_scored")
+            parts.append(scored.select(*keys, "version", F.col("_scored").alias("prediction")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def mse(
@@ -161,9 +161,12 @@ def mse(
     prediction: str = "prediction",
     by: Sequence[str | Column] = (),
 ) -> DataFrame:
-    """Mean squared error, per group if any are named, as ``mse``."""
+    """Mean squared error, per group if any are named, as ``mse``, over the rows that have a label
+    and a prediction; ``unscored`` counts the others."""
     error = F.col(label) - F.col(prediction)
-    return df.groupBy(*by).agg(F.avg(error * error).alias("mse"))
+    return df.groupBy(*by).agg(
+        F.avg(error * error).alias("mse"), F.count_if(error.isNull()).alias("unscored")
+    )
 
 
 def compare_versions(

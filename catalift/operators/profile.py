@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalift.functions.names import quoted_parts
 from catalift.functions.predicates import complexity
 
 
@@ -25,6 +26,13 @@ def sample_head(df: DataFrame, n: int, order_by: Sequence[str | Column] = ()) ->
     return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
-def top_n(df: DataFrame, order_by: str, n: int = 1) -> DataFrame:
-    """The n largest rows by one column."""
-    return df.orderBy(F.col(order_by).desc()).limit(n)
+def top_n(df: DataFrame, order_by: str, n: int = 1, ties: Sequence[str | Column] | None = None) -> DataFrame:
+    """The n largest rows by one column; ties go by `ties`, by default all other columns that
+    can be sorted, in their order, so that the same rows come out in every run."""
+    if ties is None:
+        ties = [
+            F.col(quoted_parts(f.name))
+            for f in df.schema
+            if f.name != order_by and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))
+        ]
+    return df.orderBy(F.col(order_by).desc(), *ties).limit(n)

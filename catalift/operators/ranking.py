@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalift.functions.sizes import BROADCAST_ROWS
-
-# Rows of a group that one task may sort, and integers of the order column in a range of a
-# larger group. As these are distinct within a group, a range has no more rows than that.
+# Integers of the order column in a range. As these are distinct within a group, a range has
+# no more rows than that, and one task sorts a range.
 SPAN = 1 << 20
 
 # Ranges whose row counts share a task's running sum.
@@ -37,46 +35,25 @@ def number_within(
     order can take. `after` holds some of the group columns, unique, and a column ``start``:
     numbers of such a group follow on its start.
 
-    A window sorts each group in one task, however large. So the rows per group are counted
-    first, by a job that stops at the bound on broadcasts, and only groups of more than
-    `span` rows are cut: into ranges of `span` integers that are numbered apart, each range
-    moved up by the rows of the ranges before it. Those are counted before the shuffle, so
-    that the numbering across ranges sees one row per range.
+    A window sorts each group in one task, however large. So every group is cut into ranges
+    of `span` integers that are numbered apart, each moved up by the rows of the ranges before
+    it. Those are counted before the shuffle, so that the numbering across ranges sees one
+    row per range. It is one lazy plan: nothing runs while it is built.
     """
     columns = df.columns
-    large = df.groupBy(*groups).agg(F.count("*").alias("_rows")).where(F.col("_rows") > span)
-    found = large.limit(BROADCAST_ROWS + 1).count()
-    if not found:
-        whole = F.row_number().over(Window.partitionBy(*groups).orderBy(order)).cast("bigint")
-        numbered = df.withColumn("_within", whole)
-        if after is None:
-            return numbered.select(*columns, F.col("_within").alias(out))
-        start = F.coalesce("start", F.lit(0))
-        return numbered.join(after, _known(after), "left").select(
-            *columns, (start + F.col("_within")).alias(out)
-        )
-
-    position, counted = F.expr(f"`{order}` div {span}"), F.lit(True)
-    if groups and found <= BROADCAST_ROWS:
-        cut = F.broadcast(large.select(*groups, F.lit(True).alias("_cut")))
-        df = df.join(cut, list(groups), "left")
-        position = F.when(F.col("_cut"), position).otherwise(F.lit(0))
-        # a group in one piece starts at 0, unless it follows on a start
-        counted = F.col("_cut") if after is None else counted
     keys = [*groups, "_range"]
-    ranged = df.withColumn("_range", position)
-    counts = ranged.where(counted).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    ranged = df.withColumn("_range", F.expr(f"`{order}` div {span}"))
+    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_rows"))
     starts = _starts(counts, groups, "_range", ranges, values // span)
     if after is not None:
         starts = starts.join(after, _known(after), "left").select(
             *keys, (F.col("_start") + F.coalesce("start", F.lit(0))).alias("_start")
         )
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    number = F.coalesce("_start", F.lit(0)) + F.col("_within")
     return (
         ranged.withColumn("_within", within)
         .join(starts, keys, "left")
-        .select(*columns, number.alias(out))
+        .select(*columns, (F.coalesce("_start", F.lit(0)) + F.col("_within")).alias(out))
     )
 
 

@@ -15,6 +15,9 @@ from catalift.functions.predicates import any_of
 WINDOW_DAYS = 5
 MIN_ROWS = 10
 
+# Days after and before all days of a series.
+NEVER, ALWAYS = "9999-12-31", "0001-01-01"
+
 
 def slice_inclusive(df: DataFrame, ts: str, low, high) -> DataFrame:
     """Rows from `low` to `high`, both included. A bound without a time of day is midnight,
@@ -49,6 +52,9 @@ def forecast_window(
     """Rows within `days` of the anchor day (default today), with ``has_actual`` true up to
     the anchor.
 
+    The tail of the series is bounded by a day that a subquery finds: beyond all days when
+    the window suffices, so that files and row groups can be skipped.
+
     With fewer than `min_rows` such rows the last `min_rows` of the series come out
     instead, and ``has_actual`` is true for all but the last `days` of them. The choice is
     a one-row subquery that stops counting at `min_rows`.
@@ -62,10 +68,14 @@ def forecast_window(
     around = df.where(F.col(ts).between(F.date_sub(anchor, days), F.date_add(anchor, days)))
     enough = around.limit(min_rows).agg(F.count("*")).scalar() >= min_rows
 
+    # the first day to look at: none if the window is enough
+    seen = df.where(F.col(ts).between(F.date_sub(anchor, days), F.date_add(anchor, days))).limit(min_rows)
+    first = F.when(F.count("*") >= min_rows, F.lit(NEVER)).otherwise(F.lit(ALWAYS)).cast("date")
+    since = seen.agg(first.alias("since")).scalar()
     # At most min_rows rows reach the window: the limit is a top-k on every partition.
     from_end = F.row_number().over(Window.orderBy(F.col(ts).desc()))
     tail = (
-        df.where(~enough)
+        df.where((F.col(ts) >= since) & ~enough)
         .orderBy(F.col(ts).desc())
         .limit(min_rows)
         .withColumn("has_actual", from_end > days)

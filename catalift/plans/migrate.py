@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from catalift.functions.frames import frame_of
 from catalift.functions.names import quoted, quoted_parts
 from catalift.functions.pool import on_pool
-from catalift.functions.predicates import any_of, is_root_storage
+from catalift.functions.predicates import is_root_storage
 from catalift.sources.inventory_csv import failed
 from catalift.sources.tables import (
     create_database,
     partition_columns,
     register_external,
+    register_like,
+    table_details,
     write_path,
 )
 
@@ -39,9 +42,9 @@ def pivot_description(description: DataFrame) -> DataFrame:
     def last(condition: Column) -> Column:
         return F.max(F.when(condition, seq))
 
+    # tables with none of the keys are in the result too, so the keys are no filter
     facts = (
-        description.where(key.isin(DETAIL_MARKER, PROVIDER, KIND, MANAGED_FLAG, LOCATION))
-        .groupBy("table_id")
+        description.groupBy("table_id")
         .agg(
             last(key == DETAIL_MARKER).alias("_marker"),
             last((key == PROVIDER) & (value == "delta")).alias("_delta"),
@@ -81,6 +84,17 @@ def classify_copy(description: DataFrame) -> DataFrame:
     )
 
 
+def _place(inventory: DataFrame, database: str) -> DataFrame:
+    """Rows of one database, ``db`` or ``catalog.db``, with their full ``_name``."""
+    catalog, _, db = database.rpartition(".")
+    rows = inventory.where(F.col("db") == db)
+    parts = ["db", "table"]
+    if catalog:
+        rows = rows.where(F.col("catalog") == catalog)
+        parts = ["catalog", *parts]
+    return rows.withColumn("_name", F.concat_ws(".", *parts))
+
+
 def plan_sync(
     source: DataFrame,
     target: DataFrame,
@@ -90,58 +104,79 @@ def plan_sync(
 ) -> DataFrame:
     """Dry run of moving a database, or the named tables of it: one row per source table.
 
-    `source` and `target` are table inventories. Status: ERROR for a table that could not
-    be described or has no files, VIEW_SKIPPED, EXISTS at the target, NEEDS_COPY, READY to
-    be registered in place.
+    `source` and `target` are table inventories; databases are named ``db`` or
+    ``catalog.db``, the second if the inventory has a column ``catalog``. Status: ERROR for a
+    table that could not be described or has no files, for two sources that would share a
+    target, and where the target's name is taken by something else (a view, or for tables
+    registered in place files elsewhere or of another format); VIEW_SKIPPED; EXISTS at the
+    target; NEEDS_COPY; READY to be registered in place. ``message`` tells the error.
     """
-    source = source.where(F.col("db") == source_db)
+    source = _place(source, source_db)
     if tables is not None:
         source = source.where(F.col("table").isin(*tables))
-    there = (
-        target.where(F.col("db") == target_db)
-        .select("table", F.lit(True).alias("_there"))
-        .distinct()
+    there = _place(target, target_db).groupBy("table").agg(
+        F.max(F.rtrim(F.col("table_location"), F.lit("/"))).alias("_location"),
+        F.max(F.lower("format")).alias("_format"),
+        F.max("type").alias("_type"),
     )
     copy = should_copy(F.col("table_location"), F.col("type") == "MANAGED")
+    elsewhere = ~F.col("_location").eqNullSafe(F.rtrim(F.col("table_location"), F.lit("/"))) | ~F.col(
+        "_format"
+    ).eqNullSafe(F.lower("format"))
+    taken = (F.col("_type") == "VIEW") | (~F.col("should_copy") & elsewhere)
+    message = (
+        F.when(failed(source), "not described")
+        .when(F.col("type") == "VIEW", None)
+        .when(F.col("_sources") > 1, "two sources have this target")
+        .when(F.col("_type").isNotNull() & F.coalesce(taken, F.lit(False)), "the target is another table")
+        .when(F.col("_type").isNull() & F.col("table_location").isNull(), "no files")
+    )
     status = (
-        F.when(failed(source), "ERROR")
+        F.when(F.col("message").isNotNull(), "ERROR")
         .when(F.col("type") == "VIEW", "VIEW_SKIPPED")
-        .when(F.col("_there").isNotNull(), "EXISTS")
-        .when(F.col("table_location").isNull(), "ERROR")
+        .when(F.col("_type").isNotNull(), "EXISTS")
         .when(F.col("should_copy"), "NEEDS_COPY")
         .otherwise("READY")
     )
+    # one table of each name, but for inventories of several catalogues
+    sources = source.groupBy("table").agg(F.count("*").alias("_sources"))
     return (
         source.withColumn("should_copy", copy)
+        .join(sources, "table")
         .join(there, "table", "left")
+        .withColumn("message", message)
         .select(
-            F.concat_ws(".", "db", "table").alias("source_name"),
+            F.col("_name").alias("source_name"),
             F.concat_ws(".", F.lit(target_db), F.col("table")).alias("target_name"),
             "type",
             "format",
             F.col("table_location").alias("location"),
             "should_copy",
             status.alias("status"),
+            "message",
         )
     )
 
 
 def _register(spark: SparkSession, row: Row, path: str, fmt: str) -> None:
-    """Register with the columns of the source; a format with a log of its own brings them."""
-    source = row["source_name"]
-    schema, parts = None, []
-    if fmt != "delta":
-        schema, parts = spark.table(quoted(source)).schema, partition_columns(spark, source)
-    register_external(spark, row["target_name"], path, fmt, schema, parts)
+    """Register as the source is defined; a format with a log of its own brings its columns."""
+    if fmt.lower() == "delta":
+        register_external(spark, row["target_name"], path, fmt)
+    else:
+        register_like(spark, row["source_name"], row["target_name"], path, fmt)
 
 
 def _copy(spark: SparkSession, row: Row, location: str, fmt: str) -> None:
     """Copy into a folder of its own and register that last: a copy that died half way was
-    never registered, and the next run starts a new folder."""
+    never registered, and the next run starts a new folder. Files of the same format are
+    written with the table's options, as they will be read with them."""
     source = row["source_name"]
     path = f"{location.rstrip('/')}/{row['target_name']}/{uuid.uuid4().hex}"
     parts = partition_columns(spark, source)
-    write_path(spark.table(quoted(source)), path, fmt, partition_by=parts)
+    same = fmt.lower() == (row["format"] or "").lower()
+    options = table_details(spark, source).get("storage_properties") or {} if same else {}
+    options = {k: v for k, v in options.items() if k.lower() not in ("path", "serialization.format")}
+    write_path(spark.table(quoted(source)), path, fmt, partition_by=parts, options=options)
     _register(spark, row, path, fmt)
 
 
@@ -186,8 +221,9 @@ def run_sync(
                 made.add(database)
             yield row
 
-    return spark.createDataFrame(
-        list(on_pool(moved, rows(), threads)),
+    return frame_of(
+        spark,
+        on_pool(moved, rows(), threads),
         "source_name STRING, target_name STRING, action STRING, status STRING, message STRING",
     )
 
@@ -197,22 +233,40 @@ def run_sync(
 _PIECE = 16
 
 
+def _parts(value: Column, kind: DataType) -> list[Column]:
+    """Columns that tell values of a type apart, NULL at any depth included, none of them NULL
+    but where the flag before it says so. Arrays are hashed with their size and in order, maps
+    by their sorted entries."""
+    null = value.isNull()
+    if isinstance(kind, StructType):
+        inner = (part for f in kind for part in _parts(value.getField(f.name), f.dataType))
+        return [null, *inner]
+    if isinstance(kind, ArrayType):
+        items = F.transform(value, lambda x: F.xxhash64(*_parts(x, kind.elementType)))
+        return [null, F.size(value), items]
+    if isinstance(kind, MapType):
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(
+                F.xxhash64(*_parts(e["key"], kind.keyType)).alias("k"),
+                F.xxhash64(*_parts(e["value"], kind.valueType)).alias("v"),
+            ),
+        )
+        return [null, F.size(value), F.array_sort(entries)]
+    return [null, value]
+
+
 def content_hash(df: DataFrame) -> list[Column]:
     """Aggregates that identify the rows of a frame whatever their order: the row count as
     ``rows`` and a text of the schema and the summed row hashes as ``hash``.
 
-    Sums, unlike XOR, also tell apart frames that differ in how often a row occurs. Which
-    values are NULL is hashed too, in rows that have any, as a hash skips NULL.
+    Sums, unlike XOR, also tell apart frames that differ in how often a row occurs. NULL is
+    hashed by its place, in structs, arrays and maps too; the order of map entries is not.
     """
     fields = sorted(df.schema.fields, key=lambda field: field.name.lower())
     schema = ",".join(f"{field.name.lower()}:{field.dataType.simpleString()}" for field in fields)
-    values = [F.col(quoted_parts(field.name)) for field in fields]
-    hashable = [
-        F.to_json(F.struct(value)) if "map<" in field.dataType.simpleString() else value
-        for field, value in zip(fields, values)
-    ]
-    nulls = [value.isNull() for value in values]
-    row_hash = F.xxhash64(*hashable, F.when(any_of(nulls), F.xxhash64(*nulls)))
+    parts = [p for f in fields for p in _parts(F.col(quoted_parts(f.name)), f.dataType)]
+    row_hash = F.xxhash64(*parts)
     pieces = [
         F.sum(F.shiftrightunsigned(row_hash, shift).bitwiseAND(F.lit((1 << _PIECE) - 1)))
         for shift in range(0, 64, _PIECE)
@@ -225,45 +279,34 @@ def content_hash(df: DataFrame) -> list[Column]:
     ]
 
 
-def reconcile(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
+def reconcile(
+    spark: SparkSession, pairs: Iterable[tuple[str, str]], threads: int = 4
+) -> DataFrame:
     """Compare every source table with its target: ``source_name, target_name, source_rows,
-    target_rows, source_hash, target_hash, matches``.
+    target_rows, source_hash, target_hash, matches, message``.
 
-    Each table is one scan into one row, and all tables are scanned by one job. Nothing is
-    joined. A table that is not there has NULL rows and does not match.
+    Each table is one scan into one row, a job of its own on a bounded pool, so that any
+    number of pairs is planned one by one. Nothing is joined. A table that is not there or
+    cannot be read has NULL rows, does not match, and is named in the message.
     """
 
-    def side(pair, which):
-        name = quoted(pair[which])
-        if spark.catalog.tableExists(name):
-            df = spark.table(name)
-            facts = df.agg(*content_hash(df))
-        else:
-            facts = spark.range(1).select(
-                F.lit(None).cast("bigint").alias("rows"), F.lit(None).cast("string").alias("hash")
-            )
-        names = (F.lit(pair[0]).alias("source_name"), F.lit(pair[1]).alias("target_name"))
-        return facts.select(*names, F.lit(which).alias("_side"), "rows", "hash")
-
-    sides = reduce(DataFrame.unionAll, (side(pair, n) for pair in pairs for n in (0, 1)))
-
-    def of(which, column):
-        return F.max(F.when(F.col("_side") == which, F.col(column)))
-
-    return (
-        sides.groupBy("source_name", "target_name")
-        .agg(
-            of(0, "rows").alias("source_rows"),
-            of(1, "rows").alias("target_rows"),
-            of(0, "hash").alias("source_hash"),
-            of(1, "hash").alias("target_hash"),
-        )
-        .withColumn(
-            "matches",
-            F.coalesce(
-                (F.col("source_rows") == F.col("target_rows"))
-                & (F.col("source_hash") == F.col("target_hash")),
-                F.lit(False),
-            ),
-        )
+    def side(name):
+        try:
+            df = spark.table(quoted(name))
+            row = df.agg(*content_hash(df)).first()
+            return row["rows"], row["hash"], None
+        except Exception as error:  # whatever a table raises, the others count
+            return None, None, f"{name}: {error}"
+
+    def compared(pair):
+        (rows, digest, wrong), (other_rows, other_digest, other_wrong) = map(side, pair)
+        matches = wrong is None and other_wrong is None and (rows, digest) == (other_rows, other_digest)
+        message = "; ".join(filter(None, (wrong, other_wrong))) or None
+        return (*pair, rows, other_rows, digest, other_digest, matches, message)
+
+    return frame_of(
+        spark,
+        on_pool(compared, pairs, threads),
+        "source_name STRING, target_name STRING, source_rows BIGINT, target_rows BIGINT, "
+        "source_hash STRING, target_hash STRING, matches BOOLEAN, message STRING",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,13 @@ STAGE_ALIASES = {"Production": "Champion", "Staging": "Challenger"}
 # Fixed value: a model name that is a valid identifier at the destination.
 VALID_NAME = r"^[^./ \x00-\x1F\x7F]{1,255}$"
 
-# More than the integers an INT or a 32-bit checksum can take.
-_ORDERS = 1 << 33
+# Columns of a version that the move carries to the destination, where `versions` has them.
+_CARRIED = {"source": "string", "run_id": "string", "description": "string"}
 
 
 def _number(version: Column) -> Column:
     """Versions are text but compare as integers: '10' is later than '9'."""
-    return version.try_cast("int")
+    return version.try_cast("bigint")
 
 
 def latest_version(versions: DataFrame, name: str = "name") -> DataFrame:
@@ -51,27 +53,64 @@ def upgrade_plan(
     signatures: DataFrame | None = None,
     migrated: DataFrame | None = None,
     span: int = SPAN,
+    upgrade_versions: bool = True,
 ) -> DataFrame:
-    """What happens to every version: ``name, version, dest_name, status, dest_version``.
+    """What happens to every version: ``name, version, dest_name, status, dest_version`` and
+    what a version carries, ``source, run_id, description, model_description``.
 
-    versions    ``name, version, has_signature``; (name, version) is unique
-    models      ``name``; adds a row with no version for a model that has none
+    versions    ``name, version, has_signature`` and, if known, ``source, run_id,
+                description``; (name, version) is unique
+    models      ``name`` and, if known, ``description``; adds a row with no version for a
+                model that has none
     existing    ``dest_name, latest_version`` of models at the destination; they are kept,
                 and new versions follow on their latest
     signatures  ``name, version`` of versions whose signature is supplied
     migrated    ``dest_name, source_version`` of versions moved before
 
-    Status, the first that applies: INVALID_NAME, INVALID_VERSION, EXISTS (moved before),
-    NO_SIGNATURE, READY; NO_VERSIONS for a model without any. Versions that are READY take
-    the next destination versions of their model in numeric order. The others do not stop
-    them.
+    Status, the first that applies: INVALID_NAME (a NULL name too, or a destination that is no
+    name), INVALID_VERSION, EXISTS (moved before), NO_SIGNATURE, READY; NO_VERSIONS for a model
+    without any. Versions that are READY take the next destination versions of their model in
+    numeric order. The others do not stop them.
+
+    With `upgrade_versions` off only the models move: one row for each, of `models` and
+    `versions` together, with status READY, EXISTS or INVALID_NAME and no version.
     """
     prefix = f"{dest_catalog}.{dest_schema}."
+    valid = F.coalesce(F.col("name").rlike(VALID_NAME), F.lit(False)) & F.lit(
+        _is_name(dest_catalog) and _is_name(dest_schema)
+    )
+    dest_name = F.concat(F.lit(prefix), "name").alias("dest_name")
+    told = None
+    if models is not None:
+        text = F.max("description") if "description" in models.columns else F.max(F.lit(None).cast("string"))
+        told = models.groupBy("name").agg(text.alias("model_description"))
+    latest = None
+    if existing is not None:
+        there, name = _at(existing, prefix)
+        latest = there.groupBy(name.alias("name")).agg(
+            F.max(F.col("latest_version").cast("bigint")).alias("start")
+        )
+    if not upgrade_versions:
+        names = versions.select("name") if told is None else versions.select("name").union(told.select("name"))
+        plan = names.distinct()
+        if latest is not None:
+            plan = plan.join(latest, "name", "left")
+        else:
+            plan = plan.withColumn("start", F.lit(None).cast("bigint"))
+        status = F.when(~valid, "INVALID_NAME").when(F.col("start").isNotNull(), "EXISTS").otherwise("READY")
+        plan = plan.select("name", *_nulls(("version", "bigint")), dest_name, status.alias("status"),
+                           *_nulls(("dest_version", "bigint"), *_CARRIED.items()))
+        return _described(plan, told)
+
     base = versions.select(
         "name",
         _number(F.col("version")).alias("version"),
         F.col("version").cast("string").alias("_text"),
         F.coalesce("has_signature", F.lit(False)).alias("_signed"),
+        *(
+            F.col(c).cast(kind).alias(c) if c in versions.columns else F.lit(None).cast(kind).alias(c)
+            for c, kind in _CARRIED.items()
+        ),
     )
     signed, moved = F.col("_signed"), F.lit(False)
     if signatures is not None:
@@ -84,7 +123,7 @@ def upgrade_plan(
         moved = F.col("_moved").isNotNull()
 
     status = (
-        F.when(~F.col("name").rlike(VALID_NAME), "INVALID_NAME")
+        F.when(~valid, "INVALID_NAME")
         .when(F.col("version").isNull(), "INVALID_VERSION")
         .when(moved, "EXISTS")
         .when(~signed, "NO_SIGNATURE")
@@ -93,39 +132,46 @@ def upgrade_plan(
     judged = base.select(
         "name",
         "version",
-        F.concat(F.lit(prefix), "name").alias("dest_name"),
+        dest_name,
         status.alias("status"),
+        *_CARRIED,
         (status == "READY").alias("_ready"),
         # text that is no number is spread by its hash; such rows take no number
         F.coalesce("version", F.crc32("_text"), F.lit(0)).cast("bigint").alias("_order"),
     )
-    latest = None
-    if existing is not None:
-        there, name = _at(existing, prefix)
-        latest = there.groupBy(name.alias("name")).agg(
-            F.max(F.col("latest_version").cast("bigint")).alias("start")
-        )
-    plan = number_within(
-        judged, ["name", "_ready"], "_order", "_number", span, values=_ORDERS, after=latest
-    ).select(
+    plan = number_within(judged, ["name", "_ready"], "_order", "_number", span, after=latest).select(
         "name",
         "version",
         "dest_name",
         "status",
         F.when(F.col("_ready"), F.col("_number")).alias("dest_version"),
+        *_CARRIED,
     )
-    if models is None:
-        return plan
-    empty = models.join(versions.select("name").distinct(), "name", "left_anti").select(
+    if told is None:
+        return _described(plan, None)
+    named = versions.select(F.col("name").alias("_has")).distinct()
+    without = told.join(named, F.col("name").eqNullSafe(F.col("_has")), "left_anti").select(
         "name",
-        F.lit(None).cast("int").alias("version"),
-        F.concat(F.lit(prefix), "name").alias("dest_name"),
-        F.when(F.col("name").rlike(VALID_NAME), "NO_VERSIONS")
-        .otherwise("INVALID_NAME")
-        .alias("status"),
-        F.lit(None).cast("bigint").alias("dest_version"),
+        *_nulls(("version", "bigint")),
+        dest_name,
+        F.when(valid, "NO_VERSIONS").otherwise("INVALID_NAME").alias("status"),
+        *_nulls(("dest_version", "bigint"), *_CARRIED.items()),
     )
-    return plan.unionByName(empty)
+    return _described(plan.unionByName(without), told)
+
+
+def _is_name(part: str) -> bool:
+    return re.fullmatch(VALID_NAME[1:-1], part or "") is not None
+
+
+def _nulls(*columns: tuple[str, str]) -> list[Column]:
+    return [F.lit(None).cast(kind).alias(name) for name, kind in columns]
+
+
+def _described(plan: DataFrame, told: DataFrame | None) -> DataFrame:
+    if told is None:
+        return plan.withColumn("model_description", F.lit(None).cast("string"))
+    return plan.join(told, "name", "left")
 
 
 def _at(df: DataFrame, prefix: str) -> tuple[DataFrame, Column]:

@@ -1,6 +1,7 @@
 """Metadata sources, and table and file input and output."""
 
 from catalift.sources.metadata import (
+    catalog_inventory,
     column_inventory,
     database_inventory,
     describe_databases,
@@ -14,12 +15,14 @@ from catalift.sources.tables import (
     read_path,
     read_series,
     register_external,
+    register_like,
     save_table,
     write_path,
 )
 
 __all__ = [
     "INVENTORY_SCHEMA",
+    "catalog_inventory",
     "column_inventory",
     "create_database",
     "database_inventory",
@@ -30,6 +33,7 @@ __all__ = [
     "read_path",
     "read_series",
     "register_external",
+    "register_like",
     "save_table",
     "table_inventory",
     "write_inventory",

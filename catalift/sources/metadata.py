@@ -9,18 +9,17 @@ or DESCRIBE command is on the driver already, so collecting it runs no job.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalift.functions.frames import frame_of
 from catalift.functions.names import literal, quoted, quoted_parts
 from catalift.functions.pool import on_pool
 from catalift.sources.inventory_csv import MISSING
 
-# One local relation holds at most this many rows, so no single task description is large.
-_ROWS_PER_RELATION = 50_000
+# Key of the row that stands for a description that failed.
+FAILED_KEY = "# Error"
 
 # What is read of a description.
 _TABLE_JSON = """
@@ -29,19 +28,16 @@ _TABLE_JSON = """
 """
 
 
-def _frame(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
-    rows = iter(rows)
-    parts = []
-    while chunk := list(islice(rows, _ROWS_PER_RELATION)):
-        parts.append(spark.createDataFrame(chunk, schema))
-    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
-
-
 def list_catalogs(spark: SparkSession) -> list[str]:
     """Names of the catalogues this session has loaded."""
     return [row["catalog"] for row in spark.sql("SHOW CATALOGS").collect()]
 
 
+def catalog_inventory(spark: SparkSession) -> DataFrame:
+    """``catalog`` of every catalogue this session has loaded, as rows for the filters."""
+    return frame_of(spark, ((name,) for name in list_catalogs(spark)), "catalog STRING")
+
+
 def _databases(
     spark: SparkSession, db_glob: str, catalogs: Sequence[str] | None
 ) -> Iterator[tuple[str, str]]:
@@ -67,7 +63,7 @@ def database_inventory(
     spark: SparkSession, db_glob: str = "*", catalogs: Sequence[str] | None = None
 ) -> DataFrame:
     """``catalog, db`` of every database that matches the glob, tables or not."""
-    return _frame(spark, _databases(spark, db_glob, catalogs), "catalog STRING, db STRING")
+    return frame_of(spark, _databases(spark, db_glob, catalogs), "catalog STRING, db STRING")
 
 
 def table_inventory(
@@ -90,7 +86,7 @@ def table_inventory(
             return (*place, None)
 
     places = _tables(spark, db_glob, catalogs, threads)
-    raw = _frame(
+    raw = frame_of(
         spark,
         on_pool(described, places, threads),
         "catalog STRING, db STRING, `table` STRING, meta STRING",
@@ -121,13 +117,14 @@ def column_inventory(
     threads: int = 16,
 ) -> DataFrame:
     """One row per column of every table; `position` counts from 1. A table whose columns
-    cannot be listed gives no rows."""
+    cannot be listed is one row with position 0, no column and type ``Unknown``; a table without
+    columns gives none."""
 
     def columns_of(place):
         try:
             listed = spark.catalog.listColumns(quoted_parts(*place))
         except Exception:  # as in table_inventory
-            return []
+            return [(*place, 0, None, MISSING, None, None)]
         return [
             (*place, position, c.name, c.dataType, c.nullable, c.isPartition)
             for position, c in enumerate(listed, start=1)
@@ -135,7 +132,7 @@ def column_inventory(
 
     places = _tables(spark, db_glob, catalogs, threads)
     rows = (row for table in on_pool(columns_of, places, threads) for row in table)
-    return _frame(
+    return frame_of(
         spark,
         rows,
         "catalog STRING, db STRING, `table` STRING, position INT, `column` STRING, "
@@ -145,14 +142,18 @@ def column_inventory(
 
 def describe_tables(spark: SparkSession, names: Iterable[str], threads: int = 16) -> DataFrame:
     """Key/value rows of every named table: ``table_id, seq, col_name, data_type``, with
-    `seq` giving the order of the rows of a table."""
+    `seq` giving the order of the rows of a table. A table that cannot be described is one
+    row with seq -1 and key ``# Error``."""
 
     def rows_of(name):
-        told = spark.sql(f"DESCRIBE EXTENDED {quoted(name)}").collect()
+        try:
+            told = spark.sql(f"DESCRIBE EXTENDED {quoted(name)}").collect()
+        except Exception as error:  # as in table_inventory
+            return [(name, -1, FAILED_KEY, str(error))]
         return [(name, seq, r["col_name"], r["data_type"]) for seq, r in enumerate(told)]
 
     rows = (row for table in on_pool(rows_of, names, threads) for row in table)
-    return _frame(
+    return frame_of(
         spark, rows, "table_id STRING, seq INT, col_name STRING, data_type STRING"
     )
 
@@ -160,11 +161,15 @@ def describe_tables(spark: SparkSession, names: Iterable[str], threads: int = 16
 def describe_databases(
     spark: SparkSession, names: Iterable[str], threads: int = 16
 ) -> DataFrame:
-    """Key/value rows of every named database: ``db, info_name, info_value``."""
+    """Key/value rows of every named database: ``db, info_name, info_value``. A database that
+    cannot be described is one row with name ``# Error``."""
 
     def rows_of(name):
-        told = spark.sql(f"DESCRIBE DATABASE EXTENDED {quoted(name)}").collect()
+        try:
+            told = spark.sql(f"DESCRIBE DATABASE EXTENDED {quoted(name)}").collect()
+        except Exception as error:  # as in table_inventory
+            return [(name, FAILED_KEY, str(error))]
         return [(name, r["info_name"], r["info_value"]) for r in told]
 
     rows = (row for db in on_pool(rows_of, names, threads) for row in db)
-    return _frame(spark, rows, "db STRING, info_name STRING, info_value STRING")
+    return frame_of(spark, rows, "db STRING, info_name STRING, info_value STRING")

@@ -126,7 +126,7 @@ def test_plan_changes_nothing(spark, populated):
     source, target = populated
     plan = sync_plan(spark, source, target)
     assert plan.columns == [
-        "source_name", "target_name", "type", "format", "location", "should_copy", "status",
+        "source_name", "target_name", "type", "format", "location", "should_copy", "status", "message",
     ]
     assert statuses(plan) == {
         "managed": "NEEDS_COPY",
@@ -149,12 +149,22 @@ def test_plan_statuses_from_an_inventory(spark):
             row("a", "root", "EXTERNAL", "delta", "dbfs:/x"),
             row("a", "mount", "EXTERNAL", "delta", "dbfs:/mnt/x"),
             row("a", "old", "EXTERNAL", "delta", "dbfs:/mnt/y"),
+            row("a", "other", "EXTERNAL", "delta", "dbfs:/mnt/y"),
+            row("a", "format", "EXTERNAL", "delta", "dbfs:/mnt/y"),
+            row("a", "view", "MANAGED", "delta", "dbfs:/mnt/y"),
             row("b", "elsewhere", "EXTERNAL", "delta", "dbfs:/mnt/z"),
         ],
         sources.INVENTORY_SCHEMA,
     )
     target = spark.createDataFrame(
-        [row("t", "old", "EXTERNAL", "delta", "x"), row("u", "mount", "EXTERNAL", "delta", "x")] * 2,
+        [
+            row("t", "old", "EXTERNAL", "delta", "dbfs:/mnt/y/"),
+            row("t", "other", "EXTERNAL", "delta", "x"),
+            row("t", "format", "EXTERNAL", "csv", "dbfs:/mnt/y"),
+            row("t", "view", "VIEW", "Unknown", None),
+            row("u", "mount", "EXTERNAL", "delta", "x"),
+        ]
+        * 2,
         sources.INVENTORY_SCHEMA,
     )
     assert statuses(plans.plan_sync(source, target, "a", "t")) == {
@@ -163,9 +173,55 @@ def test_plan_statuses_from_an_inventory(spark):
         "root": "NEEDS_COPY",
         "mount": "READY",
         "old": "EXISTS",
+        "other": "ERROR",
+        "format": "ERROR",
+        "view": "ERROR",
     }
 
 
+def test_names_of_three_parts(spark):
+    def frame(rows):
+        return spark.createDataFrame(
+            [(*r, "parquet", "EXTERNAL", f"dbfs:/mnt/{'/'.join(r)}") for r in rows],
+            "catalog STRING, db STRING, `table` STRING, format STRING, type STRING, table_location STRING",
+        )
+
+    source = frame([("c1", "d", "t"), ("c2", "d", "t"), ("c2", "d", "u"), ("c2", "e", "t")])
+    target = frame([("c3", "x", "t"), ("c4", "s", "u")])
+    both = plans.plan_sync(source, target, "d", "c3.s").collect()
+    assert sorted((r.source_name, r.status) for r in both) == [("d.t", "ERROR"), ("d.t", "ERROR"), ("d.u", "READY")]
+    one = plans.plan_sync(source, target, "c2.d", "c3.s").collect()
+    assert sorted((r.source_name, r.target_name, r.status) for r in one) == [
+        ("c2.d.t", "c3.s.t", "READY"),
+        ("c2.d.u", "c3.s.u", "READY"),
+    ]
+    other = plans.plan_sync(source, target, "c2.d", "c4.s").collect()
+    assert sorted((r.target_name, r.status) for r in other) == [("c4.s.t", "READY"), ("c4.s.u", "ERROR")]
+
+
+def test_registration_keeps_the_table(spark, databases, tmp_path):
+    """Options, declared types, comments and properties; the same for a copy."""
+    source, target = databases
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text("code|n\nab|1\ncd|2\nef|3\n")
+    spark.sql(
+        f"CREATE TABLE {source}.t (code CHAR(5) COMMENT 'the code', n INT) USING csv "
+        f"OPTIONS (header 'true', sep '|') LOCATION '{tmp_path}/csv' COMMENT 'it''s one' TBLPROPERTIES ('k' = 'v')"
+    )
+    spark.sql(f"CREATE TABLE {source}.m (v VARCHAR(3), n INT) USING csv OPTIONS (header 'true', sep '|') PARTITIONED BY (n)")
+    spark.sql(f"INSERT INTO {source}.m VALUES ('a|b', 1), ('c', 2)")
+    plan = sync_plan(spark, source, target)
+    done = plans.run_sync(spark, plan, str(tmp_path / "copies"), allow_managed=True)
+    assert {r.action for r in done.collect()} == {"REGISTERED", "COPIED"}
+    pairs = [(f"{source}.{t}", f"{target}.{t}") for t in ("t", "m")]
+    checked = plans.reconcile(spark, pairs).collect()
+    assert [(r.source_rows, r.target_rows, r.matches) for r in checked] == [(3, 3, True), (2, 2, True)]
+    made = spark.sql(f"SHOW CREATE TABLE {target}.t").first()[0]
+    for part in ("CHAR(5) COMMENT 'the code'", "'header' = 'true'", "'sep' = '|'", "it\\'s one", "'k' = 'v'"):
+        assert part in made
+    assert "VARCHAR(3)" in spark.sql(f"SHOW CREATE TABLE {target}.m").first()[0]
+
+
 def test_sync_without_managed_tables(spark, populated, tmp_path):
     source, target = populated
     done = plans.run_sync(spark, sync_plan(spark, source, target), str(tmp_path / "copies"))
@@ -225,7 +281,7 @@ def test_a_copy_that_died_is_not_registered(spark, populated, tmp_path, monkeypa
     source, target = populated
     plan = sync_plan(spark, source, target)
 
-    def dies_half_way(df, path, fmt="parquet", mode="errorifexists", partition_by=()):
+    def dies_half_way(df, path, fmt="parquet", mode="errorifexists", partition_by=(), options=None):
         sources.write_path(df.limit(3), path, fmt, mode, partition_by)
         raise OSError("lost")
 
@@ -289,8 +345,34 @@ def test_reconcile_empty_missing_and_nested(spark, databases):
     assert got == {empty2: (0, 0, True), nested: (1, 1, True), gone: (0, None, False)}
 
 
-def test_one_row_per_table_leaves_the_executors(spark, databases):
+def test_reconcile_sees_nulls_at_any_depth(spark, databases):
+    source, _ = databases
+    schema = "s STRUCT<x: INT, y: INT>, a ARRAY<INT>, m MAP<STRING, ARRAY<INT>>"
+    base = saved(spark, source, "deep", [((None, 1), [1, None], {"p": [1], "q": [None]})], schema)
+    others = {
+        "struct": ([((1, None), [1, None], {"p": [1], "q": [None]})], False),
+        "array": ([((None, 1), [None, 1], {"p": [1], "q": [None]})], False),
+        "shorter": ([((None, 1), [1], {"p": [1], "q": [None]})], False),
+        "value": ([((None, 1), [1, None], {"p": [1], "q": []})], False),
+        "entries": ([((None, 1), [1, None], {"q": [None], "p": [1]})], True),
+        "absent": ([(None, [1, None], {"p": [1], "q": [None]})], False),
+    }
+    pairs = [(base, saved(spark, source, n, data, schema)) for n, (data, _) in others.items()]
+    found = {r.target_name.rpartition(".")[2]: r.matches for r in plans.reconcile(spark, pairs).collect()}
+    assert found == {n: m for n, (_, m) in others.items()}
+
+
+def test_reconcile_many_pairs_and_names_what_fails(spark, databases):
     source, _ = databases
     name = saved(spark, source, "t", [(1,)], "a INT")
-    plan = plans.reconcile(spark, [(name, name)])._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "CartesianProduct" not in plan
+    found = plans.reconcile(spark, [(name, name)] * 60 + [(name, f"{source}.gone")]).collect()
+    assert [r.matches for r in found] == [True] * 60 + [False]
+    assert found[-1].message.startswith(f"{source}.gone: ") and found[0].message is None
+
+
+def test_tables_without_any_key_are_classified(spark):
+    assert classified(spark, [("a", "int")], [MARKER], table("dbfs:/mnt/a")) == [
+        (None, False, False, False),
+        (None, False, False, False),
+        ("dbfs:/mnt/a", False, True, False),
+    ]

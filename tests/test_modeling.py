@@ -29,7 +29,9 @@ def test_linear_fit_is_exact(data):
 
 def test_mse_per_group(spark, rows):
     df = spark.createDataFrame([("a", 1.0, 3.0), ("a", 1.0, 1.0), ("b", 2.0, 5.0)], "g STRING, y DOUBLE, prediction DOUBLE")
-    assert rows(ops.mse(df, "y", by=["g"])) == [("a", 2.0), ("b", 9.0)]
+    assert rows(ops.mse(df, "y", by=["g"])) == [("a", 2.0, 0), ("b", 9.0, 0)]
+    more = df.unionAll(df.sparkSession.createDataFrame([("b", 1.0, None)], df.schema))
+    assert rows(ops.mse(more, "y", by=["g"])) == [("a", 2.0, 0), ("b", 9.0, 1)]
     assert ops.mse(df, "y").first().mse == pytest.approx(13 / 3)
 
 
@@ -109,7 +111,10 @@ def test_score_by_alias_per_row(data, aliases, models):
         "alias", F.when(F.col("id") == 5, "Champion").otherwise("Challenger")
     )
     found = ops.score_by_alias(rows, aliases, models, ["id"])
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 2000") == 1
+    # a model meets the rows of its version only, and models without an alias none
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") == 4  # to assemble and to predict, for two models of three
+    assert plan.count("Range (0, 2000") == 3
     assert scored_by_name(found) == {5: (1, 20.0), 6: (2, 1.0)}
 
 

@@ -41,7 +41,9 @@ def test_stage_alias(versions, rows):
 
 def test_plan_numbers_signed_versions_in_numeric_order(versions):
     plan = plans.upgrade_plan(versions, "main", "models")
-    assert plan.columns == ["name", "version", "dest_name", "status", "dest_version"]
+    assert plan.columns == [
+        "name", "version", "dest_name", "status", "dest_version", "source", "run_id", "description", "model_description",
+    ]
     assert {r.dest_name for r in plan.collect()} == {"main.models.m", "main.models.n"}
     found = planned(plan)
     assert [found["m", v] for v in range(1, 13)] == [("READY", v) for v in range(1, 10)] + [
@@ -115,3 +117,31 @@ def test_models_without_versions(spark, versions):
     found = planned(plan)
     assert found["bare", None] == ("NO_VERSIONS", None)
     assert found["b.re", None] == ("INVALID_NAME", None)
+
+
+def test_what_a_version_carries(spark):
+    versions = spark.createDataFrame(
+        [("m", "1", True, "s3://a", "r1", "first"), (None, "1", True, "s3://b", "r2", None), ("m", "9000000000", True, None, None, None)],
+        "name STRING, version STRING, has_signature BOOLEAN, source STRING, run_id STRING, description STRING",
+    )
+    models = spark.createDataFrame([("m", "the model"), ("n", "none yet"), (None, "?")], "name STRING, description STRING")
+    plan = plans.upgrade_plan(versions, "main", "models", models=models)
+    found = {(r.name, r.version): r for r in plan.collect()}
+    first = found["m", 1]
+    assert (first.status, first.source, first.run_id, first.description, first.model_description) == (
+        "READY", "s3://a", "r1", "first", "the model",
+    )
+    assert (found["m", 9000000000].status, found["m", 9000000000].dest_version) == ("READY", 2)
+    assert (found[None, 1].status, found[None, 1].dest_version) == ("INVALID_NAME", None)
+    assert (found["n", None].status, found["n", None].model_description) == ("NO_VERSIONS", "none yet")
+    assert {r.status for r in plans.upgrade_plan(versions, "ma in", "models").collect()} == {"INVALID_NAME"}
+
+
+def test_models_without_their_versions(spark, versions):
+    models = spark.createDataFrame([("new", "d"), ("m", "e"), ("a b", "f")], "name STRING, description STRING")
+    existing = spark.createDataFrame([("main.models.n", 3)], "dest_name STRING, latest_version INT")
+    plan = plans.upgrade_plan(versions, "main", "models", models, existing, upgrade_versions=False)
+    found = {r.name: (r.status, r.version, r.model_description) for r in plan.collect()}
+    assert found == {
+        "m": ("READY", None, "e"), "n": ("EXISTS", None, None), "new": ("READY", None, "d"), "a b": ("INVALID_NAME", None, "f"),
+    }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
-from catalift import sources
+from catalift import plans, sources
 from catalift.operators import inventory_profile
 
 TEMPS = StructType(
@@ -168,7 +168,8 @@ def test_a_table_that_cannot_be_described_is_unknown(spark, populated, monkeypat
     found = {r.table: r for r in metadata.table_inventory(spark).collect()}
     assert found["managed"].type == "MANAGED"
     assert tuple(found["gone"])[3:] == ("Unknown", "Unknown") + (None,) * 7
-    assert {r.table for r in metadata.column_inventory(spark).collect()} == {"managed"}
+    columns = [tuple(r)[2:] for r in metadata.column_inventory(spark).where("position = 0").collect()]
+    assert columns == [("gone", 0, None, "Unknown", None, None)]
 
 
 def test_inventory_of_nothing(spark):
@@ -177,10 +178,10 @@ def test_inventory_of_nothing(spark):
 
 
 def test_inventory_is_made_of_bounded_relations(spark, populated, rows, monkeypatch):
-    from catalift.sources import metadata
+    from catalift.functions import frames
 
     whole = rows(sources.column_inventory(spark, populated))
-    monkeypatch.setattr(metadata, "_ROWS_PER_RELATION", 3)
+    monkeypatch.setattr(frames, "ROWS_IN_PLAN", 3)
     assert rows(sources.column_inventory(spark, populated)) == whole
 
 
@@ -202,8 +203,43 @@ def test_describe_tables(spark, populated):
     assert of_odd[0] == (0, "Location", "string")
     assert ("Type", "MANAGED") in [r[1:] for r in of_odd]
     assert [r[0] for r in of_odd] == list(range(len(of_odd)))
-    with pytest.raises(AnalysisException):
-        sources.describe_tables(spark, [f"{populated}.gone"])
+    gone = sources.describe_tables(spark, [*names, f"{populated}.gone"]).where("seq = -1").collect()
+    assert [(r.table_id, r.col_name) for r in gone] == [(f"{populated}.gone", "# Error")]
+    found = plans.classify_copy(sources.describe_tables(spark, [f"{populated}.gone"])).collect()
+    assert [tuple(r) for r in found] == [(f"{populated}.gone", None, False, False, False)]
+
+
+def test_describe_databases_goes_on(spark, populated):
+    told = sources.describe_databases(spark, [populated, "no_such_database"]).collect()
+    assert {r.db for r in told} == {populated, "no_such_database"}
+    assert [r.info_name for r in told if r.db == "no_such_database"] == ["# Error"]
+
+
+def test_catalogues_as_rows(spark):
+    assert "spark_catalog" in [r.catalog for r in sources.catalog_inventory(spark).collect()]
+
+
+def test_series_are_read_strictly(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.csv").write_text("n,day\n1,2020-01-01\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        sources.read_series(spark, str(tmp_path / "s"), "day DATE, n INT").collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sources.read_series(spark, str(tmp_path / "s"), "n INT, day INT").collect()
+
+
+@pytest.mark.parametrize("infer", [False, True])
+def test_failed_tables_hide_no_columns(spark, tmp_path, infer):
+    """However many files hold failed tables only."""
+    broken = [("d", f"x{i}") + ("Unknown",) * 2 + (None,) * 7 for i in range(200)]
+    good = ("d", "z", "csv", "EXTERNAL", "file:/a", "3.5", 1700000000000, -1, "serde", "in", "out")
+    df = spark.createDataFrame([*broken, good], sources.INVENTORY_SCHEMA).repartition(20)
+    sources.write_inventory(df, str(tmp_path / "csv"))
+    back = sources.read_inventory(spark, str(tmp_path / "csv"), infer=infer)
+    assert back.columns == sources.INVENTORY_SCHEMA.names and back.count() == 201
+    assert tuple(back.where("`table` = 'z'").first()) == good
+    types = dict(back.dtypes)
+    assert (types["created_time"], types["last_access"]) == ("bigint", "int" if infer else "bigint")
 
 
 @pytest.fixture
