@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import block_pairs, runs, store
 from .components import components
+from .simhash import Forest
 
 COSINE = 0.93
 #: Tables, cells asked in each (the own one and the nearest of its 240 neighbours), and the
@@ -160,8 +161,6 @@ def _verify(batches):
     import numpy as np
     import pyarrow as pa
 
-    from catalift.llm.simhash import Forest
-
     def out(a, b, n):
         columns = [pa.array(v, pa.int64()) for v in (a, b, n)]
         return pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
