@@ -28,7 +28,7 @@ HELD_BACK = 0.2
 TREES_PER_FIT = 100
 
 # Partitions that rows are dealt to by their key before a fit.
-FIT_PARTITIONS = 64
+FIT_PARTITIONS = 32
 
 # Columns that exist only while a model is applied.
 _FEATURES = "_features"
