@@ -67,7 +67,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     chunks the first by (doc_id, a hash of the text, place) stays. Hashes of chunks find
     those that may repeat; their bytes are compared before anything goes, and chunks of one
     hash but other bytes are told apart by their bytes. Three passes over the texts, which
-    travel twice, joined by document; hot chunks are combined before each shuffle.
+    travel twice, joined by document; both joins are by sort and merge at every size, as what
+    they join grows with the texts. Hot chunks are combined before each shuffle.
 
     A null text stays null and has no lines; an empty text is one empty line and stays.
     Null doc_ids sort as 0; repeated rows are one document: they keep and lose the same
@@ -89,7 +90,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # bytes of the chunks whose hash repeats
     part = F.transform(_chunks(F.col("text")), lambda c, i: F.struct(i.alias("no"), c["text"].alias("bytes")))
     part = F.filter(part, lambda c: F.array_contains(F.col("nos"), c["no"]))
-    part = full.join(wanted, on).select(*on, F.explode(part).alias("c")).select(*on, "c.no", "c.bytes")
+    part = full.join(wanted.hint("merge"), on).select(*on, F.explode(part).alias("c")).select(*on, "c.no", "c.bytes")
     part = store(part.withColumn("key", F.xxhash64("bytes")))
     place = F.min(F.struct("k_doc", "k_text", "no")).alias("first")
     ends = part.groupBy("key").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"), place)
@@ -102,7 +103,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     drop = store(gone.groupBy(*on).agg(F.collect_set("no").alias("drop")))
 
     # the texts again, without what goes
-    marked = texts.join(drop, on, "left")
+    marked = texts.join(drop.hint("merge"), on, "left")
     chunks = F.when(F.col("drop").isNotNull(), _chunks(F.col("text")))
     rows = marked.select("doc_id", "text", "drop", chunks.alias("chunks"))
     kept = F.filter("chunks", lambda c, i: ~F.array_contains("drop", i))
