@@ -8,11 +8,14 @@ vocabulary, a frequent key is one entry of each chunk, and all that travels is a
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalift.functions.names import scratch_dir
+
 from .common import store
 
 #: Counts above are trusted as they are.
@@ -32,6 +35,26 @@ _CHUNK = (
 )
 
 
+def _bucketed(chunks: DataFrame) -> DataFrame:
+    """Chunks as a table in the shared scratch folder, bucketed by chunk: what the buckets send
+    back is joined to it twice, and only that travels. The name is needed to read the table
+    as bucketed and is dropped again; the files stay."""
+    spark = chunks.sparkSession
+    name = f"catalift_chunks_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.bucketBy(parts, "chunk").option("path", scratch_dir(spark)).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _rows(batches):
+    """Rows of Arrow batches one by one: a row holds a whole chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _pack(array) -> bytes:
     import numpy as np
     import zstandard
@@ -102,8 +125,6 @@ class Unigrams:
 
 def _chunker(batches):
     """Documents to chunks: tokens as numbers of a local vocabulary, number 0 is the edge."""
-    import uuid
-
     import numpy as np
     import pyarrow as pa
     from xxhash import xxh64_intdigest
@@ -186,17 +207,16 @@ def _word_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                ids, _, train = _tokens(row)
-                vocab = np.frombuffer(row["vocab"], dtype=np.uint64)
-                own = np.bincount(ids[train], minlength=len(vocab)).astype(np.int32)
-                for b, part in _slices(_bucket(vocab, buckets)):
-                    rows.append((b, row["chunk"], vocab[part].tobytes(), _pack(own[part])))
-            columns = list(zip(*rows)) or [()] * 4
-            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "chunk", "keys", "own"])
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for row in _rows(batches):
+            ids, _, train = _tokens(row)
+            vocab = np.frombuffer(row["vocab"], dtype=np.uint64)
+            own = np.bincount(ids[train], minlength=len(vocab)).astype(np.int32)
+            rows = [
+                (b, row["chunk"], vocab[part].tobytes(), _pack(own[part])) for b, part in _slices(_bucket(vocab, buckets))
+            ]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "keys", "own"])
 
     def total(table):
         import numpy as np
@@ -285,16 +305,15 @@ def _bigram_counts(chunks: DataFrame, words: DataFrame, unigrams: Unigrams, buck
 
         types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
         names = ["bucket", "chunk", "h", "w", "own", "count", "hot"]
-        for batch in batches:
-            for row in batch.to_pylist():
-                vocab, counts = _totals(row, word_buckets)
-                ids, _, train, h, w, back, hot, bucket = _pairs(row, vocab, counts, buckets, hot_from)
-                own = np.bincount(back, train, len(h)).astype(np.int32)
-                rows = [
-                    (b, row["chunk"], _pack(vocab[h[p]]), vocab[w[p]].tobytes(), _pack(own[p]), _pack(counts[w[p]]), _pack(hot[p]))
-                    for b, p in _slices(bucket)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        for row in _rows(batches):
+            vocab, counts = _totals(row, word_buckets)
+            ids, _, train, h, w, back, hot, bucket = _pairs(row, vocab, counts, buckets, hot_from)
+            own = np.bincount(back, train, len(h)).astype(np.int32)
+            rows = [
+                (b, row["chunk"], _pack(vocab[h[p]]), vocab[w[p]].tobytes(), _pack(own[p]), _pack(counts[w[p]]), _pack(hot[p]))
+                for b, p in _slices(bucket)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def total(table):
         import numpy as np
@@ -392,7 +411,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         held_out_of(F.col("doc_id")).alias("held"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    chunks = store(rows.mapInArrow(_chunker, _CHUNK))
+    chunks = _bucketed(rows.mapInArrow(_chunker, _CHUNK))
     size = chunks.agg(F.sum("n_keys"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     word_buckets = max(LEAST_BUCKETS, -(-(size[0] or 0) // BUCKET_KEYS))
     buckets = max(LEAST_BUCKETS, -(-(size[1] or 0) // BUCKET_KEYS))
@@ -410,42 +429,41 @@ def katz_scores(docs: DataFrame) -> DataFrame:
 
         shared = hot_rows.value
         scale = np.array([0.0, *d])
-        for batch in batches:
-            for row in batch.to_pylist():
-                vocab, counts = _totals(row, word_buckets)
-                ids, doc, _, h, w, back, hot, bucket = _pairs(row, vocab, counts, buckets, hot_from)
-                came = {p["bucket"]: p for p in row["pairs"]}
-                seen = np.zeros(len(h), dtype=np.int64)
-                few = np.zeros((len(vocab), TRUSTED))
-                few[:, 0] = 1  # where only the divisor matters: some follower is not trusted
-                mass = np.zeros(len(vocab))
-                for b, part in _slices(bucket):
-                    got = came[b]
-                    seen[part] = _unpack(got["seen"], np.int32)
-                    starts = _starts(h[part])
-                    at = h[part][starts]
-                    few[at[_unpack(got["none"], bool)]] = 0
-                    wants = (np.minimum.reduceat(seen[part], starts) == 0) & (counts[at] > 0) & ~hot[part][starts]
-                    few[at[wants]] = _unpack(got["few"], np.int64).reshape(-1, TRUSTED)
-                    mass[at[wants]] = _unpack(got["mass"], float)
-                for i in np.unique(h[hot]):
-                    few[i], mass[i] = shared[int(vocab[i : i + 1].view(np.int64)[0])]
-                divisor, weight = backoff(counts, few, mass, d)
-                unigram = unigrams.p(counts)
-                known = np.where(seen <= TRUSTED, scale[np.minimum(seen, TRUSTED)], 1.0) * seen
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    lower = np.where(counts[h] > 0, weight[h], 1.0) * unigram[w]
-                    p = np.log10(np.where(seen > 0, known / divisor[h], lower))
-                n = len(row["sizes"])
-                columns = [
-                    pa.array(row["doc_id"], pa.int64()),
-                    pa.array(row["held"], pa.bool_()),
-                    pa.array(row["sizes"], pa.int64()),
-                    pa.array(np.bincount(doc, counts[ids] > 0, n).astype(np.int64)),
-                    pa.array(np.bincount(doc, unigrams.base(counts)[ids], n)),
-                    pa.array(np.bincount(doc, p[back], n)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SCORES.split(", ")])
+        for row in _rows(batches):
+            vocab, counts = _totals(row, word_buckets)
+            ids, doc, _, h, w, back, hot, bucket = _pairs(row, vocab, counts, buckets, hot_from)
+            came = {p["bucket"]: p for p in row["pairs"]}
+            seen = np.zeros(len(h), dtype=np.int64)
+            few = np.zeros((len(vocab), TRUSTED))
+            few[:, 0] = 1  # where only the divisor matters: some follower is not trusted
+            mass = np.zeros(len(vocab))
+            for b, part in _slices(bucket):
+                got = came[b]
+                seen[part] = _unpack(got["seen"], np.int32)
+                starts = _starts(h[part])
+                at = h[part][starts]
+                few[at[_unpack(got["none"], bool)]] = 0
+                wants = (np.minimum.reduceat(seen[part], starts) == 0) & (counts[at] > 0) & ~hot[part][starts]
+                few[at[wants]] = _unpack(got["few"], np.int64).reshape(-1, TRUSTED)
+                mass[at[wants]] = _unpack(got["mass"], float)
+            for i in np.unique(h[hot]):
+                few[i], mass[i] = shared[int(vocab[i : i + 1].view(np.int64)[0])]
+            divisor, weight = backoff(counts, few, mass, d)
+            unigram = unigrams.p(counts)
+            known = np.where(seen <= TRUSTED, scale[np.minimum(seen, TRUSTED)], 1.0) * seen
+            with np.errstate(divide="ignore", invalid="ignore"):
+                lower = np.where(counts[h] > 0, weight[h], 1.0) * unigram[w]
+                p = np.log10(np.where(seen > 0, known / divisor[h], lower))
+            n = len(row["sizes"])
+            columns = [
+                pa.array(row["doc_id"], pa.int64()),
+                pa.array(row["held"], pa.bool_()),
+                pa.array(row["sizes"], pa.int64()),
+                pa.array(np.bincount(doc, counts[ids] > 0, n).astype(np.int64)),
+                pa.array(np.bincount(doc, unigrams.base(counts)[ids], n)),
+                pa.array(np.bincount(doc, p[back], n)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SCORES.split(", ")])
 
     full = _gather(chunks, (words, "words", ["totals"]), (bigrams, "pairs", ["seen", "few", "mass", "none"]))
     scores = full.mapInArrow(score, _SCORES)
