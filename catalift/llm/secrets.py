@@ -85,9 +85,10 @@ def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, text_key) of the given trigrams over whole texts, in lower case,
     stored sorted by trigram so that a query reads only its own. The key is a hash of the
     text: equal texts share postings, and a clash only makes a candidate too many."""
-    folded = F.lower(whole(F.col("text")))
-    there = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in trigrams]))
-    rows = docs.select(F.xxhash64("text").alias("text_key"), F.explode(there).alias("trigram"))
+    # a step of its own: otherwise each trigram would fold the text anew
+    folded = docs.select(F.xxhash64("text").alias("text_key"), F.lower(whole(F.col("text"))).alias("folded"))
+    there = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams]))
+    rows = folded.select("text_key", F.explode(there).alias("trigram"))
     return store(rows.sortWithinPartitions("trigram"))
 
 
