@@ -20,7 +20,7 @@ TABLES, PROBES, WIDTH = 6, 8, 1.25
 #: threshold 15.4 of 128 differ on average, with a spread of 3.7; unrelated vectors differ in 64.
 BITS, DIFFER = 128, 36
 #: Vectors of one cell that a task compares with each other.
-CELL = 4096
+CELL = 512
 SEED = 20_240
 
 
