@@ -14,7 +14,7 @@ RANKS = 300
 #: Languages are a label set, held by the driver: more of them are an error.
 MAX_LANGUAGES = 1000
 #: Characters worked on at a time; a longer document is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 16
 
 _BITS = 21  # of a code point
 _UNSEEN, _BREAK = 0xFFFFFFFF, 1  # no letter is 1, and no gram begins with 0: lengths differ
@@ -193,13 +193,12 @@ def predict(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -> DataFra
 
         letters = Letters()
         for batch in batches:
-            best, score = judge(batch.column("text").to_pylist(), letters)
+            best, score = judge(batch.column("row").field(text_at).to_pylist(), letters)
             columns = [batch.column("row"), pa.array(best, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
 
-    columns = [c for c in docs.columns]
-    row = F.struct(*[docs[c] for c in columns]).alias("row")
-    inner = docs.select(row, docs["text"].alias("text"))
+    text_at = docs.columns.index("text")
+    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     schema = f"row {inner.schema['row'].dataType.simpleString()}, lang_pred string, score double"
     return inner.mapInArrow(label, schema)
 
