@@ -197,13 +197,12 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group, all columns kept: that of the smallest (doc_id, text), rows
-    without doc_id last; of repeated rows any one."""
-    rows = simhash_groups(docs)
+    """One row of each group of ``jaccard_groups``, all columns kept: that of the smallest
+    (doc_id, text), rows without doc_id last; of repeated rows any one."""
+    from .jaccard import jaccard_groups
+
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    # groups without any doc_id are told apart by their fingerprints
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = rows.groupBy("component_id", group.alias("alone")).agg(F.min(key).alias("k")).select(
+    best = jaccard_groups(docs).groupBy("group").agg(F.min(key).alias("k")).select(
         F.coalesce("k.doc_id", F.lit(0)).alias("_doc"), "k.no_id", F.col("k.text_key").alias("_text")
     )
     best = store(best.withColumnRenamed("no_id", "_no_id"))
