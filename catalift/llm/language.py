@@ -218,6 +218,8 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that a language is found for, unchanged. Rejected: ``und``, that is
-    null texts and texts without a letter."""
+    null texts and texts without a letter. If no language was learned, texts with a letter stay."""
     profiles = store(train(docs, F.lit(False)))
+    if profiles.isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return predict(docs, profiles).where("lang_pred <> 'und'").select("row.*")

@@ -55,3 +55,9 @@ def test_documents_with_letters_stay_whole(spark):
     kept = language.keep_known(_frame(spark, docs))
     assert kept.columns == ["doc_id", "text", "lang", "row", "score"]
     assert sorted(map(tuple, kept.collect())) == [(1, "the house", "en", "a", 1)] * 2
+
+
+def test_documents_with_letters_stay_if_nothing_was_learned(spark):
+    docs = [(1, "the house", None), (2, "123 !!", None), (3, None, None), (4, "über", None)]
+    kept = language.keep_known(_frame(spark, docs)).collect()
+    assert sorted(map(tuple, kept)) == [(1, "the house", None, "a", 1), (4, "über", None, "a", 1)]
