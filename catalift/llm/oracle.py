@@ -164,6 +164,129 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
+# a reflected CRC by bits: each byte is mixed in, then eight steps
+_CRC = """xor(list_reduce(flatten(list_transform(range(1, length(k) + 1), lambda i:
+    list_prepend(ascii(k[i])::BIGINT, list_transform(range(8), lambda j: -1::BIGINT)))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(f) for f in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS other, doc_id::VARCHAR AS k, n_chars FROM documents
+), n AS (
+  SELECT doc_id, lang, leaf, CASE WHEN n_chars IS NOT NULL AND {_CRC} % 7 = 0 THEN other ELSE leaf END AS now,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM d
+), t AS (
+  SELECT lang, 0 AS lvl, list(leaf ORDER BY pos) AS nodes FROM n GROUP BY lang
+  UNION ALL
+  SELECT lang, lvl + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(array_to_string(nodes[2 * i + 1:2 * i + 2], '')))
+  FROM t WHERE len(nodes) > 1
+), s AS (
+  SELECT lang, nodes[1] AS subroot, lvl AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM t WHERE len(nodes) = 1
+), u AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY g) AS nodes FROM s
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(array_to_string(nodes[2 * i + 1:2 * i + 2], '')))
+  FROM u WHERE len(nodes) > 1
+), e AS (
+  -- the nodes of a level and the place in it, from the leaf to the root
+  SELECT n.doc_id, n.lang, n.pos, n.leaf, n.now, s.subroot, t.lvl, t.nodes, n.pos >> t.lvl AS i
+  FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang JOIN t ON n.lang IS NOT DISTINCT FROM t.lang WHERE len(t.nodes) > 1
+  UNION ALL
+  SELECT n.doc_id, n.lang, n.pos, n.leaf, n.now, s.subroot, s.height + u.lvl, u.nodes, s.g >> u.lvl
+  FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang, u WHERE len(u.nodes) > 1
+), p AS (
+  SELECT doc_id, lang, pos, list(struct_pack(side := i % 2, node := CASE WHEN i % 2 = 1 THEN nodes[i] ELSE coalesce(nodes[i + 2], '') END) ORDER BY lvl) AS path
+  FROM e GROUP BY ALL
+), f AS (
+  SELECT n.doc_id, n.leaf, s.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root,
+    sha256(coalesce(array_to_string(list_transform(p.path, lambda x: x.node), ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(struct_pack(side := 0::BIGINT, node := n.now), coalesce(p.path, [])),
+      lambda a, x: struct_pack(side := 0::BIGINT, node := CASE WHEN x.side = 1 THEN sha256(x.node || a.node) ELSE sha256(a.node || x.node) END)).node AS folded_root
+  FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN p ON n.lang IS NOT DISTINCT FROM p.lang AND n.pos = p.pos
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+def _edit(way: str, cost: str, letter: str, line: str | None = None) -> str:
+    lines = f"list_append({way}.t, {line})" if line else f"{way}.t"
+    return f"struct_pack(c := {way}.c + {cost}, a := {way}.a || '{letter}', t := {lines})"
+
+
+def _stay(way: str, initial: str, to: str) -> str:
+    """Keep the row if its role begins so, else give it the role `to`, unless it must go."""
+    more = "(CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END)"
+    kept, reroled = _edit(way, more, "K", "f.role || ':' || f.text"), _edit(way, f"1 + {more}", "R", f"'{to}:' || f.text")
+    none = f"struct_pack(c := {_NEVER}, a := '', t := []::VARCHAR[])"
+    return f"CASE WHEN f.fault IN ('blank', 'duplicate') THEN {none} WHEN left(f.role, 1) = '{initial}' THEN {kept} ELSE {reroled} END"
+
+
+_NEVER = "1000000000::BIGINT"
+_KEEP_SYSTEM = _stay("r.s0", "s", "user")
+
+OP11 = rf"""
+WITH RECURSIVE k AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), z AS (
+  SELECT *, {_CRC} % 20 AS kind FROM k
+), w AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, copy,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM z, (VALUES (1), (2)) v(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen
+  FROM w
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1), '') || coalesce(left(role, 1), '') AS pair
+  FROM o
+), r AS (
+  -- the least way to each of four states: nothing, a system row, a user row, an assistant row kept last
+  SELECT conv_id, 0::BIGINT AS i, struct_pack(c := 0::BIGINT, a := '', t := []::VARCHAR[]) AS s0,
+    struct_pack(c := {_NEVER}, a := '', t := []::VARCHAR[]) AS s1, struct_pack(c := 5::BIGINT, a := 'I', t := ['user:']) AS s2,
+    struct_pack(c := 10::BIGINT, a := 'II', t := ['user:', 'assistant:']) AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, least(s3, {_edit("s2", "5", "I", "'assistant:'")})
+  FROM (
+    SELECT conv_id, i, s0, s1, s3,
+      least(s2, {_edit("s0", "5", "I", "'user:'")}, {_edit("s1", "5", "I", "'user:'")}, {_edit("s3", "5", "I", "'user:'")}) AS s2
+    FROM (
+      SELECT r.conv_id, f.i, {_edit("r.s0", "2", "D")} AS s0,
+        least({_edit("r.s1", "2", "D")}, CASE WHEN left(f.role, 1) = 's' THEN {_KEEP_SYSTEM}
+          ELSE struct_pack(c := {_NEVER}, a := '', t := []::VARCHAR[]) END) AS s1,
+        least({_edit("r.s2", "2", "D")}, {_stay("r.s0", "u", "user")}, {_stay("r.s1", "u", "user")}, {_stay("r.s3", "u", "user")}) AS s2,
+        least({_edit("r.s3", "2", "D")}, {_stay("r.s2", "a", "assistant")}) AS s3
+      FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = r.i + 1
+    )
+  )
+), e AS (
+  SELECT conv_id, least(s0, s3) AS way FROM r
+  QUALIFY i = max(i) OVER (PARTITION BY conv_id)
+), n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, way.c AS cost, way.a AS audit,
+  sha256(array_to_string(way.t, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN n ON e.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_lattice_neardup": OP1,
     "op2_trigram_secrets": OP2,
@@ -171,4 +294,6 @@ ORACLE: dict[str, str] = {
     "op6_chunked_lines": OP6,
     "op9_warc_bundles": OP9,
     "op10_pareto_mix": OP10,
+    "op11_audit_repair": OP11,
+    "op12_merkle_manifest": OP12,
 }

@@ -14,7 +14,9 @@ from .language import language_report
 from .katz import katz_scores
 from .lattice import near_vectors
 from .line_dedup import dedup_lines
+from .merkle import manifest
 from .mixing import mix_plan
+from .repair import repair_report
 from .secrets import secret_report
 from .sharding import shard_plan
 from .simhash import simhash_report
@@ -62,6 +64,16 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for every conversation; see `repair_report` for nulls, ties and empty tables."""
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf and its proof for every document; see `manifest` for nulls, ties and empty tables."""
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,5 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_katz_backoff,
         op9_warc_bundles,
         op10_pareto_mix,
+        op11_audit_repair,
+        op12_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}
