@@ -287,6 +287,26 @@ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM e LEFT JOIN n ON e.conv_id IS NOT DISTINCT FROM n.conv_id
 """
 
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), e AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: struct_pack(i := i, h := md5(array_to_string(w[i:i + 49], ' '))))) AS e
+  FROM d WHERE len(w) >= 50
+), m AS (
+  SELECT e.h AS h, min(doc_id) AS least FROM e GROUP BY e.h
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(e.i, e.i + 50)) AS i FROM e JOIN m ON e.h = m.h WHERE doc_id > least
+), w AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), k AS (
+  SELECT w.doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (c.i IS NULL) AS kept
+  FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.i = c.i GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_lattice_neardup": OP1,
     "op2_trigram_secrets": OP2,
@@ -296,4 +316,5 @@ ORACLE: dict[str, str] = {
     "op10_pareto_mix": OP10,
     "op11_audit_repair": OP11,
     "op12_merkle_manifest": OP12,
+    "op13_debruijn_spans": OP13,
 }

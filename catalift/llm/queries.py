@@ -10,6 +10,7 @@ import corpus_pipeline
 
 from .common import table
 from .contamination import contaminated
+from .debruijn import dedup_substrings
 from .language import language_report
 from .katz import katz_scores
 from .lattice import near_vectors
@@ -74,6 +75,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated runs of words leave of every document; see `dedup_substrings` for nulls, ties and empty tables."""
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,5 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pareto_mix,
         op11_audit_repair,
         op12_merkle_manifest,
+        op13_debruijn_spans,
     )
 } | {"pipeline": corpus_pipeline.run}

@@ -216,3 +216,22 @@ def manifest(rows, fanout=2):
             proof = _digest(*(part for pair in way for part in pair))
             out.append((doc, leaf, trees[lang][-1][0], top[-1][0], proof, node, node == top[-1][0]))
     return out
+
+
+def without_repeats(rows, edge=50):
+    """(doc_id, n_words, n_removed, kept_sha256) of (doc_id, text), window by window."""
+    texts = [(doc, re.findall(r"[^\x20\x09-\x0D]+", text or "")) for doc, text in rows]
+    least = {}
+    for doc, w in texts:
+        for i in range(len(w) - edge + 1 if doc is not None else 0):
+            window = tuple(w[i : i + edge])
+            least[window] = min(least.get(window, doc), doc)
+    out = []
+    for doc, w in texts:
+        gone = [False] * len(w)
+        for i in range(len(w) - edge + 1 if doc is not None else 0):
+            if least[tuple(w[i : i + edge])] < doc:
+                gone[i : i + edge] = [True] * edge
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((doc, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_one_query_for_each_operator():
     numbers = [int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline"]
-    assert sorted(numbers) == list(range(1, 13)) and "pipeline" in QUERIES
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in QUERIES
     assert set(QUERIES) - set(ORACLE) == {
         "op3_vector_packing",
         "op5_rank_profiles",
