@@ -162,19 +162,21 @@ def repeated(docs: DataFrame, edge: int = EDGE, seed: int = SEED) -> DataFrame:
     """
     texts = _documents(docs).where("doc IS NOT NULL")
     rows = store(stretches(texts, edge, seed))
+    # what rows are joined with is stored first: both sides then come from a shuffle, and a hot key is split
     shared = rows.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("seed")
-    rows = store(rows.join(shared, "seed"))
+    rows = store(rows.join(store(shared), "seed"))
     source = F.min(F.struct("doc", "part", "lo")).alias("source")
     kinds = store(rows.groupBy("seed", "key", "n").agg(source))
-    several = kinds.groupBy("seed").agg(F.count("*").alias("kinds"))
-    known = store(rows.join(kinds, ["seed", "key", "n"]).join(several, "seed").select(*rows.columns, "source", "kinds"))
+    several = store(kinds.groupBy("seed").agg(F.count("*").alias("kinds")))
+    kinds = store(kinds.join(several, "seed"))
+    known = store(rows.join(kinds, ["seed", "key", "n"]).select(*rows.columns, "source", "kinds"))
     whole = known.where("doc > source.doc").select("doc", "part", "lo", "n", "source")
 
     asked = known.where("doc = source.doc AND kinds > 1")
     asked = store(asked.groupBy("doc", "part").agg(F.collect_set(F.struct("lo", "n")).alias("spans")))
     single = store(_single(texts.join(asked, ["doc", "part"]).select("doc", "part", "text", "spans"), edge))
     sources = single.groupBy("h", "g").agg(source, F.max("doc").alias("last")).where("source.doc < last")
-    ends = single.join(sources, ["h", "g"]).where("doc > source.doc").select("doc", "part", "lo", F.lit(1).alias("n"), "source")
+    ends = single.join(store(sources), ["h", "g"]).where("doc > source.doc").select("doc", "part", "lo", F.lit(1).alias("n"), "source")
 
     # rows of a text that follow each other, in the source too, are one path
     rows = whole.union(ends).distinct()
