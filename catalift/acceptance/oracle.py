@@ -175,6 +175,13 @@ WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l
            FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-01-01')
 SELECT l_orderkey, l_linenumber, round(a * l_quantity + b, 4) AS prediction
 FROM lineitem, f WHERE l_shipdate BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-01-01'
+""",
+    "score_segments": """
+WITH f AS (SELECT l_linenumber, regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b
+           FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-01-01' GROUP BY l_linenumber)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN CAST(1 AS BIGINT) END AS version,
+       CASE WHEN l_linenumber <> 3 THEN round(a * l_quantity + b, 4) END AS prediction
+FROM lineitem JOIN f USING (l_linenumber) WHERE l_shipdate BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-01-01'
 """,
     "compare_versions": """
 WITH tr AS (SELECT * FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-01-01'),

@@ -19,6 +19,7 @@ from catalift import operators as ops
 from catalift import plans, sources
 from catalift.functions import name_contains_any, name_glob, scratch_dir
 from catalift.functions import owned_by as owned
+from catalift.functions.frames import stored
 from catalift.functions.pool import on_pool
 
 TRAINING = ("1995-01-01", "1999-01-01")
@@ -460,11 +461,9 @@ def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     kind = "name STRING, alias STRING, version INT"
     aliases = spark.createDataFrame([(MODEL, "Champion", 1), (MODEL, "Challenger", 2)], kind)
-    both = reduce(
-        DataFrame.unionAll,
-        (ops.score_by_alias(validation, aliases, models, keys, alias) for alias in ("Champion", "Challenger")),
-    )
-    compared = ops.compare_versions(both, label)
+    names = F.explode(F.array(F.lit("Champion"), F.lit("Challenger"))).alias("alias")
+    both = ops.score_by_alias(validation.select("*", names), aliases, models, keys)
+    compared = stored(ops.compare_versions(both, label))
     best = compared.orderBy("mse").limit(1).select(F.lit(MODEL).alias("name"), F.lit("Champion").alias("alias"), "version")
     promoted = ops.score_by_alias(validation, best, models, keys, "Champion")
     after = ops.compare_versions(promoted, label)
@@ -472,6 +471,23 @@ def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, stages).select("stage", "version", F.round("mse", 2).alias("mse"), "unscored")
 
 
+def score_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each line number, fitted on its lines; all lines are scored at once, but for
+    those of a number whose alias points at a version that is not there."""
+    label, keys = "l_extendedprice", ["l_orderkey", "l_linenumber"]
+    training = stored(_lineitem(spark, sf_dir, TRAINING).select("l_linenumber", "l_quantity", label))
+    numbers = [row[0] for row in training.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
+    models = {
+        (f"line{n}", 1): ops.fit_linear(training.where(F.col("l_linenumber") == n), ["l_quantity"], label) for n in numbers
+    }
+    aliases = spark.createDataFrame(
+        [(name, "Champion", 1 if name != "line3" else 9) for name, _ in models], "name STRING, alias STRING, version INT"
+    )
+    rows = _lineitem(spark, sf_dir, VALIDATION).withColumn("model", F.concat(F.lit("line"), "l_linenumber"))
+    scored = ops.score_by_alias(rows, aliases, models, keys, alias="Champion")
+    return scored.select(*keys, "version", F.round("prediction", 4).alias("prediction"))
+
+
 def forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     features, label = ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
     keys = ["l_orderkey", "l_linenumber"]
@@ -584,7 +600,7 @@ def upgrade_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upgrade_plan_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later run: ten versions of every model are there, and models with an even number
     get a signature for what lacks one."""
-    versions = _versions(spark, sf_dir)
+    versions = stored(_versions(spark, sf_dir))
     number = F.col("version").cast("int")
     dest_name = F.concat(F.lit("main.migrated_models."), "name").alias("dest_name")
     moved = versions.where(number <= 10).select(dest_name, F.col("version").alias("source_version"))
@@ -635,6 +651,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_rows": score_rows,
     "compare_versions": compare_versions,
     "champion_challenger": champion_challenger,
+    "score_segments": score_segments,
     "forest_score": forest_score,
     "forest_exact": forest_exact,
     "label_split": label_split,

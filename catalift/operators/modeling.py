@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from catalift.functions.frames import stored
 from catalift.functions.names import quoted_parts
-from catalift.functions.predicates import any_of
 from catalift.functions.sizes import broadcast_if_small
-from catalift.operators.ranking import SPAN, number_within
+from catalift.operators.ranking import SPAN, number_stored
 
 # Fixed value: trees of the forest.
 TREES = 300
@@ -30,6 +30,9 @@ TREES_PER_FIT = 100
 # Partitions that rows are dealt to by their key before a fit.
 FIT_PARTITIONS = 32
 
+# Number of the rows that no model scores.
+UNSCORED = -1
+
 # Columns that exist only while a model is applied.
 _FEATURES = "_features"
 _PREDICTION = "_prediction"
@@ -126,32 +129,46 @@ def score_by_alias(
     this module. The alias is one text for all rows or, by default, a column of `df`. Rows
     whose alias points at no version, or at one without a model, keep a NULL prediction.
 
-    Versions share no row, so each model is applied to the rows of its own version only, and
-    models that no alias points at are left out.
+    The rows are read once, when this is called: their keys and the features of the models go to
+    the scratch folder, a folder for each version. A model then reads the rows of its own
+    version only, and models that no alias points at are left out, so that any number of
+    versions costs one pass over the rows and one over what was stored.
     """
     wanted = F.col(alias_col) if alias is None else F.lit(alias)
-    at_hand = any_of(
-        (F.col("_name") == name) & (F.col("version") == version) for name, version in models
+    spark = df.sparkSession
+    numbers = {pair: number for number, pair in enumerate(models)}
+    known = spark.createDataFrame(
+        [(*pair, number) for pair, number in numbers.items()], "_name STRING, _version BIGINT, _model INT"
     )
-    targets = (
-        aliases.groupBy(F.col("name").alias("_name"), F.col("alias").alias("_alias"))
-        .agg(F.max(F.col("version").cast("bigint")).alias("version"))
-        .where(at_hand)
+    targets = aliases.groupBy(F.col("name").alias("_name"), F.col("alias").alias("_alias")).agg(
+        F.max(F.col("version").cast("bigint")).alias("_version")
     )
-    # at most one row per model
-    pointed = {(r["_name"], r["version"]) for r in targets.select("_name", "version").distinct().collect()}
+    targets = stored(targets.join(F.broadcast(known), ["_name", "_version"]))
+    used = {row["_model"] for row in targets.select("_model").distinct().collect()}  # one per model at most
+    own = {number: models[pair] for pair, number in numbers.items() if number in used}
+
     rows = df.join(
         broadcast_if_small(targets),
         (F.col(name_col) == F.col("_name")) & (wanted == F.col("_alias")),
         "left",
     )
-    unscored = rows.where(F.col("_name").isNull())
-    parts = [unscored.select(*keys, "version", F.lit(None).cast("double").alias("prediction"))]
-    for (name, version), model in models.items():
-        if (name, version) in pointed:
-            own = rows.where((F.col("_name") == name) & (F.col("version") == version))
-            scored = _with_prediction(model, own, "_scored")
-            parts.append(scored.select(*keys, "version", F.col("_scored").alias("prediction")))
+    features = dict.fromkeys(name for model in own.values() for name in model.stages[0].getInputCols())
+    # a feature may be a key too
+    named = [F.col(quoted_parts(name)).alias(f"_feature{n}") for n, name in enumerate(features)]
+    rows = rows.select(
+        F.struct(*keys, F.col("_version").alias("version")).alias("_kept"),
+        *named,
+        F.coalesce("_model", F.lit(UNSCORED)).alias("_model"),
+    )
+    # rows of a version lie together, those of a frequent one in several files
+    rows = stored(rows.hint("rebalance", F.col("_model")), partition_by=["_model"])
+
+    nothing = F.lit(None).cast("double").alias("prediction")
+    parts = [rows.where(F.col("_model") == UNSCORED).select("_kept.*", nothing)]
+    for number, model in own.items():
+        named = [F.col(f"_feature{n}").alias(name) for n, name in enumerate(features)]
+        scored = model.transform(rows.where(F.col("_model") == number).select("_kept", *named))
+        parts.append(scored.select("_kept.*", F.col(_PREDICTION).alias("prediction")))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -230,7 +247,7 @@ def holdout_tail(
     df: DataFrame, order: str, fraction: float = HELD_BACK, span: int = SPAN
 ) -> DataFrame:
     """Add ``held_back``, true for the last share of the rows by an integer column."""
-    rows = df.agg(F.count("*")).scalar()
-    numbered = number_within(df, [], order, "_number", span)
-    fitted = F.floor(rows * F.lit(1.0 - fraction))
+    rows = stored(df)
+    numbered = number_stored(rows, [], order, "_number", span)
+    fitted = F.floor(F.lit(rows.count()) * F.lit(1.0 - fraction))
     return numbered.select(*df.columns, (F.col("_number") > fitted).alias("held_back"))

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Integers of the order column in a range. As these are distinct within a group, a range has
-# no more rows than that, and one task sorts a range.
+from catalift.functions.frames import stored
+from catalift.functions.sizes import broadcast_if_small
+
+# Rows of a group that one task sorts; a larger group is cut.
 SPAN = 1 << 20
 
-# Ranges whose row counts share a task's running sum.
-RANGES = 1 << 22
+# Groups are cut into so many pieces at most, all together: what the cuts need stays small
+# whatever the number of rows, and a piece is never more than this part of them.
+PIECES = 10_000
+
+# Rows looked at for each piece to find where to cut.
+SAMPLES = 64
 
-# Distinct values of a BIGINT.
-_VALUES = 1 << 64
+# The group of a frame that is numbered as a whole.
+_ALL = "_all"
 
 
 def number_within(
@@ -24,65 +30,99 @@ def number_within(
     order: str,
     out: str = "number",
     span: int = SPAN,
-    ranges: int = RANGES,
-    values: int = _VALUES,
     after: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in ascending `order`, as BIGINT.
 
-    `order` is an integer column, distinct within a group. `groups` and `order` hold no
-    NULL; with no groups the whole frame is numbered. `values` bounds how many integers the
-    order can take. `after` holds some of the group columns, unique, and a column ``start``:
-    numbers of such a group follow on its start.
+    `order` is distinct within a group and holds no NULL; with no groups the whole frame is
+    numbered, and NULL is a group like any other. `after` holds some of the group columns,
+    unique, and a column ``start``: numbers of such a group follow on its start.
 
-    A window sorts each group in one task, however large. So every group is cut into ranges
-    of `span` integers that are numbered apart, each moved up by the rows of the ranges before
-    it. Those are counted before the shuffle, so that the numbering across ranges sees one
-    row per range. It is one lazy plan: nothing runs while it is built.
+    The frame is evaluated once, into the scratch folder, when this is called. A window sorts
+    each group in one task, so groups of over `span` rows are cut into ranges of the order
+    that are numbered apart, each moved up by the rows of the ranges before it. The whole rows
+    are shuffled once, by group and range.
     """
-    columns = df.columns
-    keys = [*groups, "_range"]
-    ranged = df.withColumn("_range", F.expr(f"`{order}` div {span}"))
-    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    starts = _starts(counts, groups, "_range", ranges, values // span)
-    if after is not None:
-        starts = starts.join(after, _known(after), "left").select(
-            *keys, (F.col("_start") + F.coalesce("start", F.lit(0))).alias("_start")
-        )
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return (
-        ranged.withColumn("_within", within)
-        .join(starts, keys, "left")
-        .select(*columns, (F.coalesce("_start", F.lit(0)) + F.col("_within")).alias(out))
+    return number_stored(stored(df), groups, order, out, span, after)
+
+
+def number_stored(
+    rows: DataFrame,
+    groups: Sequence[str],
+    order: str,
+    out: str = "number",
+    span: int = SPAN,
+    after: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`number_within` of a frame that lies in files, which is read several times: its
+    keys to find and cut large groups, if it has more than `span` rows, and then whole."""
+    columns = rows.columns
+    if not groups:
+        rows, groups = rows.withColumn(_ALL, F.lit(0)), [_ALL]
+    total = rows.count()
+    limit = max(span, -(-total // PIECES))
+    cuts = _cuts(rows, groups, order, limit) if total > limit else None
+    number = F.row_number().over(Window.partitionBy(*groups, *(["_piece"] if cuts else [])).orderBy(order))
+    number = number.cast("bigint")
+    if cuts:
+        rows = _joined(rows, cuts, groups, "_cuts").withColumn("_piece", _piece(F.col("_cuts"), F.col(order)))
+        starts = _starts(rows.where(F.col("_cuts").isNotNull()), groups)
+        numbered = _joined(rows.withColumn("_number", number), starts, [*groups, "_piece"], "_start")
+        number = F.col("_number") + F.coalesce("_start", F.lit(0))
+    else:
+        numbered = rows
+    numbered = numbered.select(*columns, number.alias(out))
+    if after is None:
+        return numbered
+    known = [name for name in after.columns if name != "start"]
+    # the name of the number may be that of a column of the frame
+    begun = broadcast_if_small(stored(after.withColumnRenamed("start", "_begin")))
+    return numbered.join(begun, known, "left").select(
+        *columns, (F.col(out) + F.coalesce("_begin", F.lit(0))).alias(out)
     )
 
 
-def _known(after: DataFrame) -> list[str]:
-    return [name for name in after.columns if name != "start"]
+def _joined(rows: DataFrame, few: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add a value of the keys from a frame whose rows number :data:`PIECES` twice at most."""
+    renamed = few.select(*(F.col(k).alias(f"_few_{k}") for k in keys), value)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_few_{k}"))
+    return rows.join(F.broadcast(renamed), same, "left").drop(*(f"_few_{k}" for k in keys))
 
 
-def _starts(
-    counts: DataFrame, groups: Sequence[str], position: str, ranges: int, values: int
-) -> DataFrame:
-    """Rows before each position of a group, as ``_start``. A sparse order has about as many
-    ranges as rows, so more than `ranges` positions are summed in blocks first."""
-    block = f"{position}_"
-    blocked = counts.withColumn(block, F.expr(f"{position} div {ranges}"))
-    deep = values > ranges
-    keys = [*groups, block] if deep else list(groups)
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(position)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    local = blocked.select(*groups, block, position, before.alias("_start"))
-    if not deep:
-        return local.drop(block)
-    totals = blocked.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
-    above = _starts(totals, groups, block, ranges, values // ranges)
-    return (
-        local.withColumnRenamed("_start", "_local")
-        .join(above, keys)
-        .select(*groups, position, (F.col("_start") + F.col("_local")).alias("_start"))
-    )
+def _cuts(rows: DataFrame, groups: Sequence[str], order: str, limit: int) -> DataFrame | None:
+    """The group columns and ``_cuts``, the last orders of all ranges but one, of each group of
+    over `limit` rows; None if there is no such group.
+
+    At most :data:`PIECES` groups are so large. The cuts are found in a sample, as they decide
+    nothing but how the work is spread.
+    """
+    large = stored(rows.groupBy(*groups).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit))
+    if not large.head(1):
+        return None
+    share = min(1.0, SAMPLES / limit)
+    every = max(1, round(share * limit))
+    seen = _joined(rows.select(*groups, order).sample(share, seed=1), large, groups, "_rows")
+    seen = seen.where(F.col("_rows").isNotNull()).groupBy(*groups)
+    seen = seen.agg(F.sort_array(F.collect_list(order)).alias("_seen"))
+    cuts = F.filter("_seen", lambda value, place: (place + 1) % every == 0)
+    return stored(seen.select(*groups, cuts.alias("_cuts")))
+
+
+def _piece(cuts: Column, order: Column) -> Column:
+    """Number of cuts below a value, found by halving; 0 without cuts."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range((2 * PIECES).bit_length()))))
+
+    def step(low, wide):
+        return F.when((low + wide <= F.size(cuts)) & (F.get(cuts, low + wide - 1) < order), low + wide).otherwise(low)
+
+    return F.when(cuts.isNotNull(), F.aggregate(steps, F.lit(0), step)).otherwise(0)
+
+
+def _starts(cut: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows before each range of a group that is cut, as ``_start``."""
+    counts = cut.groupBy(*groups, "_piece").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    return stored(counts.select(*groups, "_piece", start.alias("_start")))

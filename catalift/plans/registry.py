@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalift.operators.ranking import SPAN, number_within
+from catalift.functions.frames import stored
+from catalift.operators.ranking import SPAN, number_stored
 
 # The alias that replaces each stage. Other stages have none.
 STAGE_ALIASES = {"Production": "Champion", "Staging": "Challenger"}
@@ -72,6 +73,8 @@ def upgrade_plan(
     without any. Versions that are READY take the next destination versions of their model in
     numeric order. The others do not stop them.
 
+    The versions are read once, when this is called, and judged into the scratch folder.
+
     With `upgrade_versions` off only the models move: one row for each, of `models` and
     `versions` together, with status READY, EXISTS or INVALID_NAME and no version.
     """
@@ -139,7 +142,8 @@ def upgrade_plan(
         # text that is no number is spread by its hash; such rows take no number
         F.coalesce("version", F.crc32("_text"), F.lit(0)).cast("bigint").alias("_order"),
     )
-    plan = number_within(judged, ["name", "_ready"], "_order", "_number", span, after=latest).select(
+    judged = stored(judged)
+    plan = number_stored(judged, ["name", "_ready"], "_order", "_number", span, after=latest).select(
         "name",
         "version",
         "dest_name",
@@ -149,7 +153,7 @@ def upgrade_plan(
     )
     if told is None:
         return _described(plan, None)
-    named = versions.select(F.col("name").alias("_has")).distinct()
+    named = judged.select(F.col("name").alias("_has")).distinct()
     without = told.join(named, F.col("name").eqNullSafe(F.col("_has")), "left_anti").select(
         "name",
         *_nulls(("version", "bigint")),

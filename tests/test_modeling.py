@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.ml import PipelineModel
@@ -111,13 +112,32 @@ def test_score_by_alias_per_row(data, aliases, models):
         "alias", F.when(F.col("id") == 5, "Champion").otherwise("Challenger")
     )
     found = ops.score_by_alias(rows, aliases, models, ["id"])
-    # a model meets the rows of its version only, and models without an alias none
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("UDF(") == 4  # to assemble and to predict, for two models of three
-    assert plan.count("Range (0, 2000") == 3
+    # rows and aliases were joined once, before; a model meets the rows of its version only
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "Join" not in plan
+    assert plan.count("UDF(") == 6  # to assemble and to predict, for three models with an alias
+    assert len(re.findall(r"PartitionFilters: \[isnotnull\(_model#\d+\), \(_model#\d+ = -?\d+\)\]", plan)) == 4
+    assert len(found.inputFiles()) == 2
     assert scored_by_name(found) == {5: (1, 20.0), 6: (2, 1.0)}
 
 
+def test_rows_are_read_once_for_any_number_of_versions(spark, data, models):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(value):
+        seen.add(1)
+        return value
+
+    many = {(f"m{n}", 1): models["a", 1 + n % 2] for n in range(12)}
+    aliases = spark.createDataFrame([(name, "Champion", 1) for name, _ in many], "name STRING, alias STRING, version INT")
+    rows = data.withColumn("model", noted(F.concat(F.lit("m"), F.col("id") % 13)))
+    found = ops.score_by_alias(rows, aliases, many, ["id", "x"], "Champion").collect()
+    assert len(found) == seen.value == data.count()
+    assert all((r.prediction is None) == (r.id % 13 == 12) for r in found)
+    assert all(r.id % 13 % 2 or r.prediction is None or abs(r.prediction - ops.score(models["a", 1], data.where(f"id = {r.id}"), []).first()[0]) < 1e-9 for r in found[:5])
+
+
 def test_promotion_is_a_change_of_alias(spark, data, aliases, models):
     rows = data.where("id < 10").withColumn("model", F.lit("a"))
     keys = ["id", "y"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalift.operators import number_within
+from catalift.operators import number_within, ranking
 
 
 @pytest.fixture(scope="module")
@@ -18,12 +18,12 @@ def skewed(spark):
     ).repartition(7)
 
 
-@pytest.mark.parametrize("span, ranges", [(10, 1 << 30), (300, 1 << 12), (1 << 20, 1 << 22)])
+@pytest.mark.parametrize("span", [10, 300, 1 << 20])
 @pytest.mark.parametrize("groups", [["g"], []])
-def test_equals_a_window(skewed, rows, groups, span, ranges):
+def test_equals_a_window(skewed, rows, groups, span):
     plain = F.row_number().over(Window.partitionBy(*groups).orderBy("k")).cast("bigint")
     expected = skewed.withColumn("n", plain)
-    found = number_within(skewed, groups, "k", "n", span, ranges)
+    found = number_within(skewed, groups, "k", "n", span)
     assert found.schema == expected.schema or found.dtypes == expected.dtypes
     assert rows(found) == rows(expected)
 
@@ -45,33 +45,53 @@ def test_sparse_order(spark, rows):
     low = -(1 << 63)
     keys = [low + rng.getrandbits(64) for _ in range(500)] + [low, -low - 1]
     df = spark.createDataFrame([(k,) for k in keys], "k BIGINT").repartition(4)
-    found = number_within(df, [], "k", "n", span=100, ranges=1 << 22)
+    found = number_within(df, [], "k", "n", span=100)
     assert rows(found) == [(k, i) for i, k in enumerate(sorted(keys), start=1)]
 
 
-def plan_of(df):
-    return df._jdf.queryExecution().optimizedPlan().toString()
+def test_null_groups_and_no_rows(spark, rows):
+    df = spark.createDataFrame([(None, k) for k in range(500)] + [("a", 1)], "g STRING, k INT").repartition(3)
+    found = number_within(df, ["g"], "k", "n", span=40)
+    assert rows(found) == rows(df.withColumn("n", F.when(F.col("g") == "a", 1).otherwise(F.col("k") + 1)))
+    assert number_within(df.where("k < 0"), ["g"], "k", span=1).count() == 0
 
 
-def test_narrow_orders_need_no_blocks(skewed):
-    def joins(**options):
-        return plan_of(number_within(skewed, [], "k", "n", 100, **options)).count("Join")
+def test_orders_need_not_be_integers(spark, rows):
+    df = spark.range(2000).select(F.expr("timestamp_seconds(id * 7)").alias("t"), "id", F.lit(None).alias("void"))
+    found = number_within(df, [], "t", "n", span=90)
+    assert found.columns == ["t", "id", "void", "n"]
+    assert found.where("n <> id + 1 OR n IS NULL OR void IS NOT NULL").count() == 0
 
-    assert (joins(values=1 << 20), joins(values=1 << 50), joins()) == (1, 2, 3)
 
+def test_the_input_is_evaluated_once(spark, skewed):
+    seen = spark.sparkContext.accumulator(0)
 
-def test_no_window_sees_a_whole_large_group(skewed):
-    """Rows are shuffled by group and range; only counts are shuffled by group."""
+    @F.udf("string")
+    def noted(value):
+        seen.add(1)
+        return value
+
+    counted = skewed.withColumn("payload", noted("payload"))
+    found = number_within(counted, ["g"], "k", "n", 300)
+    assert found.count() == found.agg(F.count("payload")).first()[0] == 3000
+    assert seen.value == 3000
+
+
+def test_whole_rows_are_shuffled_once_and_large_groups_cut(skewed):
     found = number_within(skewed, ["g"], "k", "n", 300)
-    windows = [line for line in plan_of(found).splitlines() if "Window [row_number()" in line]
-    assert windows and all("_range" in line.split("windowspecdefinition")[1] for line in windows)
-
-
-def test_nothing_runs_while_the_plan_is_built(spark, skewed):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("ranking", "")
-    try:
-        number_within(skewed, ["g"], "k", "n", 300)
-        assert list(tracker.getJobIdsForGroup("ranking")) == []
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if " Exchange " in line]
+    assert len(exchanges) == 1 and "hashpartitioning(g#" in exchanges[0] and "_piece" in exchanges[0]
+    whole = number_within(skewed, ["g"], "k", "n")._jdf.queryExecution().executedPlan().toString()
+    assert whole.count(" Exchange ") == 1 and "_piece" not in whole
+
+
+def test_pieces_are_even(skewed):
+    pieces = []
+    for bound in (100, 700):
+        cuts = ranking._cuts(skewed, ["g"], "k", bound)
+        cut = ranking._joined(skewed, cuts, ["g"], "_cuts").where("_cuts IS NOT NULL")
+        sizes = cut.groupBy("g", ranking._piece(F.col("_cuts"), F.col("k"))).count()
+        pieces.append([r["count"] for r in sizes.collect()])
+    assert len(pieces[0]) > 25 and max(pieces[0]) <= 250
+    assert {r.g for r in ranking._cuts(skewed, ["g"], "k", 700).collect()} == {"hot"}
