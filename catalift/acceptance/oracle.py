@@ -47,6 +47,33 @@ SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0
     "sync_options": """
 SELECT t AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS matches
 FROM nation, (VALUES ('placed'), ('kept')) AS v(t) GROUP BY t
+""",
+    "sync_resume": """
+SELECT 'customer' AS table_name, 'RESUMED' AS action, 'EXISTS' AS status, count(*) AS source_rows, count(*) AS target_rows, true AS matches FROM customer
+UNION ALL SELECT 'orders', 'RESUMED', 'EXISTS', count(*), count(*), true FROM orders
+UNION ALL SELECT 'supplier', 'COPIED', 'EXISTS', n, n, true FROM (SELECT count(*) + count(*) FILTER (s_suppkey % 10 = 0) AS n FROM supplier)
+""",
+    "reconcile_differences": """
+WITH t AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 89 = 7 THEN 1 ELSE 0 END AS o_totalprice,
+         o_orderdate, o_orderpriority
+  FROM orders, (VALUES (1), (2)) AS v(n) WHERE o_orderkey % 97 <> 5 AND (n = 1 OR o_orderkey % 101 = 3)
+  UNION ALL
+  SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 103 = 9),
+a AS (SELECT o_orderkey, count(*) AS n FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM t) GROUP BY 1),
+b AS (SELECT o_orderkey, count(*) AS n FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM orders) GROUP BY 1)
+SELECT o_orderkey, CASE WHEN b.n IS NULL THEN 'REMOVED' WHEN a.n IS NULL THEN 'ADDED' ELSE 'CHANGED' END AS change,
+       coalesce(a.n, 0) AS source_rows, coalesce(b.n, 0) AS target_rows
+FROM a FULL JOIN b USING (o_orderkey)
+""",
+    "registry_applied": """
+WITH v AS (SELECT 'm' || (o_custkey % 50) AS model, o_orderstatus AS st, o_orderpriority <> '5-LOW' AS signed,
+                  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS BIGINT) AS version FROM orders),
+s AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY version) AS dest_version FROM v WHERE signed),
+a AS (SELECT model, CASE st WHEN 'P' THEN 'Champion' ELSE 'Challenger' END AS alias, max(version) AS version
+      FROM s WHERE st IN ('P', 'O') GROUP BY 1, 2)
+SELECT 'main.models.' || s.model AS dest_name, s.dest_version AS version, s.version AS source_version, a.alias, 'EXISTS' AS again
+FROM s LEFT JOIN a ON s.model = a.model AND s.version = a.version
 """,
     "plan_catalogs": """
 WITH p AS (

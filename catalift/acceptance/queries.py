@@ -313,6 +313,39 @@ def sync_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _moved(spark, source)
 
 
+def sync_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables are copied by a run that does not put them in place; one changes; the next run takes
+    up the copies that are still right."""
+    source, target, location = _new_database(spark), _new_database(spark), scratch_dir(spark)
+    for name in ("customer", "orders", "supplier"):
+        sources.save_table(_read(spark, sf_dir, name), f"{source}.{name}")
+    inventory = sources.table_inventory(spark, source)
+
+    def run(register):
+        plan = plans.plan_sync(inventory, sources.table_inventory(spark, target), source, target)
+        return plans.run_sync(spark, plan, location, allow_managed=True, register=register)
+
+    run(False)
+    _read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").write.insertInto(f"{source}.supplier")
+    done = run(True)
+    pairs = [(r["source_name"], r["target_name"]) for r in done.collect()]
+    checked = plans.reconcile(spark, pairs).select("source_name", "source_rows", "target_rows", "matches")
+    return done.join(checked, "source_name").select(
+        F.substring_index("source_name", ".", -1).alias("table_name"), "action", "status", "source_rows", "target_rows", "matches"
+    )
+
+
+def reconcile_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy with some left out, changed, doubled and added."""
+    orders, key = _read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    price = F.col("o_totalprice") + F.when(key % 89 == 7, 1).otherwise(0)
+    times = F.when(key % 101 == 3, 2).otherwise(1)
+    copy = orders.where(key % 97 != 5).withColumn("o_totalprice", price).withColumn("n", F.explode(F.sequence(F.lit(1), times)))
+    added = orders.where(key % 103 == 9).withColumn("o_orderkey", -key)
+    copy = stored(copy.drop("n").unionAll(added))
+    return plans.differences(orders, copy, ["o_orderkey"], bucket_rows=1_000)
+
+
 def plan_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two catalogues with tables of one name: planned one by one, and without naming one."""
     key = F.col("p_partkey")
@@ -617,6 +650,25 @@ def upgrade_plan_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planned(plan)
 
 
+def registry_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty versions of every model are moved, then all that have a signature; aliases
+    follow; a further plan finds them all."""
+    path = scratch_dir(spark)
+    versions = stored(_versions(spark, sf_dir).where("has_signature"))
+    for part in (versions.where("CAST(version AS INT) <= 20"), versions):
+        state = plans.read_registry(spark, path)
+        plan = plans.upgrade_plan(part, "main", "models", existing=state.existing(), migrated=state.migrated())
+        state = plans.apply_plan(spark, plan, path, plans.stage_alias(part))
+    again = plans.upgrade_plan(versions, "main", "models", existing=state.existing(), migrated=state.migrated())
+    again = again.select("dest_name", F.col("version").alias("source_version"), F.col("status").alias("again"))
+    aliases = state.aliases.withColumnRenamed("name", "dest_name")
+    return (
+        state.versions.select("dest_name", "version", "source_version")
+        .join(aliases, ["dest_name", "version"], "left")
+        .join(again, ["dest_name", "source_version"], "full")
+    )
+
+
 def preview_top_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_n(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name")
 
@@ -641,6 +693,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_overwrite": table_overwrite,
     "sync_reconcile": sync_reconcile,
     "sync_options": sync_options,
+    "sync_resume": sync_resume,
+    "reconcile_differences": reconcile_differences,
     "plan_catalogs": plan_catalogs,
     "slice_inclusive": time_split,
     "read_series": read_series,
@@ -663,5 +717,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upgrade_plan": upgrade_plan,
     "upgrade_plan_again": upgrade_plan_again,
     "upgrade_carried": upgrade_carried,
+    "registry_applied": registry_applied,
     "preview_top_name": preview_top_name,
 }

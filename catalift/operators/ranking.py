@@ -65,9 +65,9 @@ def number_stored(
     number = F.row_number().over(Window.partitionBy(*groups, *(["_piece"] if cuts else [])).orderBy(order))
     number = number.cast("bigint")
     if cuts:
-        rows = _joined(rows, cuts, groups, "_cuts").withColumn("_piece", _piece(F.col("_cuts"), F.col(order)))
+        rows = with_few(rows, cuts, groups, "_cuts").withColumn("_piece", piece_of(F.col("_cuts"), F.col(order)))
         starts = _starts(rows.where(F.col("_cuts").isNotNull()), groups)
-        numbered = _joined(rows.withColumn("_number", number), starts, [*groups, "_piece"], "_start")
+        numbered = with_few(rows.withColumn("_number", number), starts, [*groups, "_piece"], "_start")
         number = F.col("_number") + F.coalesce("_start", F.lit(0))
     else:
         numbered = rows
@@ -82,7 +82,7 @@ def number_stored(
     )
 
 
-def _joined(rows: DataFrame, few: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def with_few(rows: DataFrame, few: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add a value of the keys from a frame whose rows number :data:`PIECES` twice at most."""
     renamed = few.select(*(F.col(k).alias(f"_few_{k}") for k in keys), value)
     same = F.lit(True)
@@ -103,14 +103,14 @@ def _cuts(rows: DataFrame, groups: Sequence[str], order: str, limit: int) -> Dat
         return None
     share = min(1.0, SAMPLES / limit)
     every = max(1, round(share * limit))
-    seen = _joined(rows.select(*groups, order).sample(share, seed=1), large, groups, "_rows")
+    seen = with_few(rows.select(*groups, order).sample(share, seed=1), large, groups, "_rows")
     seen = seen.where(F.col("_rows").isNotNull()).groupBy(*groups)
     seen = seen.agg(F.sort_array(F.collect_list(order)).alias("_seen"))
     cuts = F.filter("_seen", lambda value, place: (place + 1) % every == 0)
     return stored(seen.select(*groups, cuts.alias("_cuts")))
 
 
-def _piece(cuts: Column, order: Column) -> Column:
+def piece_of(cuts: Column, order: Column) -> Column:
     """Number of cuts below a value, found by halving; 0 without cuts."""
     steps = F.array(*(F.lit(1 << k) for k in reversed(range((2 * PIECES).bit_length()))))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
@@ -166,18 +167,19 @@ def _register(spark: SparkSession, row: Row, path: str, fmt: str) -> None:
         register_like(spark, row["source_name"], row["target_name"], path, fmt)
 
 
-def _copy(spark: SparkSession, row: Row, location: str, fmt: str) -> None:
-    """Copy into a folder of its own and register that last: a copy that died half way was
-    never registered, and the next run starts a new folder. Files of the same format are
-    written with the table's options, as they will be read with them."""
-    source = row["source_name"]
-    path = f"{location.rstrip('/')}/{row['target_name']}/{uuid.uuid4().hex}"
-    parts = partition_columns(spark, source)
-    same = fmt.lower() == (row["format"] or "").lower()
-    options = table_details(spark, source).get("storage_properties") or {} if same else {}
-    options = {k: v for k, v in options.items() if k.lower() not in ("path", "serialization.format")}
+def _file_options(spark: SparkSession, source: str, fmt: str) -> dict[str, str]:
+    """Options of a table, with which files of its own format are written and read."""
+    details = table_details(spark, source)
+    if fmt.lower() != (details.get("provider") or "").lower():
+        return {}
+    options = details.get("storage_properties") or {}
+    return {k: v for k, v in options.items() if k.lower() not in ("path", "serialization.format")}
+
+
+def _copy(spark: SparkSession, source: str, path: str, fmt: str) -> None:
+    """Copy into a folder of its own."""
+    parts, options = partition_columns(spark, source), _file_options(spark, source, fmt)
     write_path(spark.table(quoted(source)), path, fmt, partition_by=parts, options=options)
-    _register(spark, row, path, fmt)
 
 
 def run_sync(
@@ -187,6 +189,7 @@ def run_sync(
     fmt: str | None = None,
     allow_managed: bool = False,
     threads: int = 4,
+    register: bool = True,
 ) -> DataFrame:
     """Carry out a plan: ``source_name, target_name, action, status, message``.
 
@@ -195,23 +198,52 @@ def run_sync(
     ones only with `allow_managed`. Both end as EXISTS and may be run again. A table that
     fails ends as ERROR and the others go on. Up to `threads` tables move at once; only
     their names pass through the driver.
+
+    Every copy is told to the journal of `location` (:func:`sync_journal`) when it begins, when
+    its files are complete and when it is registered. A run that finds a complete copy in
+    another run's record, of the same rows as the source holds now, registers that: its action
+    is RESUMED. A copy that was begun and not completed, or that is out of date, stays where it
+    is; the table is copied anew and the message names the folder. With `register` off tables
+    are copied only, and a later run puts them in place.
     """
     made: set[str] = set()
+    known = {
+        (row["source_name"], row["target_name"]): row for row in sync_journal(spark, location).collect()
+    }  # a row for each table that was ever copied there
+
+    def copied(row, form):
+        """A complete copy, the action that made it, and what was found on the way."""
+        pair = row["source_name"], row["target_name"]
+        before = known.get(pair)
+        left = before["folder"] if before and before["state"] != REGISTERED else None
+        if left and before["state"] == COMPLETE and before["format"] == form:
+            if _same_rows(spark.table(quoted(pair[0])), read_copy(spark, pair[0], left, form)):
+                return left, "RESUMED", None
+        path = f"{location.rstrip('/')}/{pair[1]}/{uuid.uuid4().hex}"
+        _note(spark, location, pair, BEGUN, path, form)
+        _copy(spark, pair[0], path, form)
+        _note(spark, location, pair, COMPLETE, path, form)
+        return path, "COPIED", f"left behind: {left}" if left else None
 
     def moved(row):
-        status, action = row["status"], None
+        pair = row["source_name"], row["target_name"]
+        status, action, message = row["status"], None, None
         if status == "NEEDS_COPY" and row["type"] == "MANAGED" and not allow_managed:
-            return row["source_name"], row["target_name"], None, status, "managed tables not allowed"
+            return *pair, None, status, "managed tables not allowed"
         try:
-            if status == "READY":
+            if status == "READY" and register:
                 _register(spark, row, row["location"], row["format"])
                 status, action = "EXISTS", "REGISTERED"
             elif status == "NEEDS_COPY":
-                _copy(spark, row, location, fmt or row["format"])
-                status, action = "EXISTS", "COPIED"
+                form = fmt or row["format"]
+                path, action, message = copied(row, form)
+                if register:
+                    _register(spark, row, path, form)
+                    _note(spark, location, pair, REGISTERED, path, form)
+                    status = "EXISTS"
         except Exception as error:  # whatever a table raises, the others count
-            return row["source_name"], row["target_name"], None, "ERROR", str(error)
-        return row["source_name"], row["target_name"], action, status, None
+            return *pair, None, "ERROR", str(error)
+        return *pair, action, status, message
 
     def rows():
         for row in plan.toLocalIterator():
@@ -228,6 +260,54 @@ def run_sync(
     )
 
 
+# States of a copy in the journal, in the order in which they are reached.
+BEGUN, COMPLETE, REGISTERED = "BEGUN", "COMPLETE", "REGISTERED"
+
+_EVENT = "source_name STRING, target_name STRING, state STRING, folder STRING, format STRING, at TIMESTAMP"
+
+
+def _note(spark: SparkSession, location: str, pair: tuple[str, str], state: str, folder: str, form: str) -> None:
+    """Append an event to the journal: a folder of its own that appears whole or not at all, so
+    that threads and runs do not get into each other's way."""
+    event = spark.createDataFrame([(*pair, state, folder, form)], _EVENT.rpartition(",")[0])
+    path = f"{location.rstrip('/')}/{JOURNAL}/{uuid.uuid4().hex}"
+    event.withColumn("at", F.current_timestamp()).coalesce(1).write.json(path)
+
+
+# The folder of the journal, next to those of the copies.
+JOURNAL = "sync-journal"
+
+
+def sync_journal(spark: SparkSession, location: str) -> DataFrame:
+    """The latest copy of every table that runs have made at a location: ``source_name,
+    target_name, state, folder, format, at``, and ``half_made``, the folders of earlier copies that
+    were begun and neither completed nor registered, this one included. Nothing is deleted."""
+    try:
+        events = spark.read.schema(_EVENT).json(f"{location.rstrip('/')}/{JOURNAL}/*")
+    except AnalysisException:  # no run has copied anything
+        events = spark.createDataFrame([], _EVENT)
+    rank = F.array_position(F.array(F.lit(BEGUN), F.lit(COMPLETE), F.lit(REGISTERED)), F.col("state"))
+    copies = events.groupBy("source_name", "target_name", "folder").agg(
+        F.max(F.struct(rank.alias("rank"), "state", "format", "at")).alias("last"), F.min("at").alias("begun")
+    )
+    return copies.groupBy("source_name", "target_name").agg(
+        F.max(F.struct("begun", "last", "folder")).alias("latest"),
+        F.array_sort(F.collect_list(F.when(F.col("last.state") == BEGUN, F.col("folder")))).alias("half_made"),
+    ).select(
+        "source_name", "target_name", "latest.last.state", "latest.folder", "latest.last.format", "latest.last.at", "half_made"
+    )
+
+
+def read_copy(spark: SparkSession, source: str, path: str, fmt: str) -> DataFrame:
+    """The files of a copy with the columns of its source."""
+    reader = spark.read.format(fmt).options(**_file_options(spark, source, fmt))
+    return reader.load(path) if fmt.lower() == "delta" else reader.schema(spark.table(quoted(source)).schema).load(path)
+
+
+def _same_rows(a: DataFrame, b: DataFrame) -> bool:
+    return a.agg(*content_hash(a)).first() == b.agg(*content_hash(b)).first()
+
+
 # Width of the pieces of a 64-bit hash that are summed apart. A sum of 16-bit numbers in a
 # BIGINT overflows only beyond 2^47 rows, and needs no wide decimal.
 _PIECE = 16
@@ -265,17 +345,24 @@ def content_hash(df: DataFrame) -> list[Column]:
     """
     fields = sorted(df.schema.fields, key=lambda field: field.name.lower())
     schema = ",".join(f"{field.name.lower()}:{field.dataType.simpleString()}" for field in fields)
-    parts = [p for f in fields for p in _parts(F.col(quoted_parts(f.name)), f.dataType)]
-    row_hash = F.xxhash64(*parts)
-    pieces = [
-        F.sum(F.shiftrightunsigned(row_hash, shift).bitwiseAND(F.lit((1 << _PIECE) - 1)))
-        for shift in range(0, 64, _PIECE)
-    ]
     return [
         F.count("*").alias("rows"),
-        F.concat_ws("-", F.md5(F.lit(schema)), *(F.coalesce(p, F.lit(0)) for p in pieces)).alias(
-            "hash"
-        ),
+        F.concat_ws("-", F.md5(F.lit(schema)), *(F.coalesce(p, F.lit(0)) for p in hash_sums(df))).alias("hash"),
+    ]
+
+
+def row_hash(df: DataFrame, seed: int | None = None) -> Column:
+    """64 bits of a whole row, columns in the order of their names; other seeds give other bits."""
+    fields = sorted(df.schema.fields, key=lambda field: field.name.lower())
+    parts = [p for f in fields for p in _parts(F.col(quoted_parts(f.name)), f.dataType)]
+    return F.xxhash64(*([] if seed is None else [F.lit(seed)]), *parts)
+
+
+def hash_sums(df: DataFrame) -> list[Column]:
+    """Sums of the pieces of row hashes: those of parts of a frame add up to those of the whole."""
+    return [
+        F.sum(F.shiftrightunsigned(row_hash(df), shift).bitwiseAND(F.lit((1 << _PIECE) - 1)))
+        for shift in range(0, 64, _PIECE)
     ]
 
 

@@ -299,6 +299,69 @@ def test_a_copy_that_died_is_not_registered(spark, populated, tmp_path, monkeypa
     assert plans.reconcile(spark, [(f"{source}.managed", f"{target}.managed")]).first().matches
 
 
+def test_a_run_killed_before_registration_is_taken_up(spark, populated, tmp_path, monkeypatch):
+    source, target = populated
+    location = str(tmp_path / "copies")
+    assert plans.sync_journal(spark, location).count() == 0
+
+    def killed(*_):
+        raise SystemExit  # nothing in the run catches it
+
+    with monkeypatch.context() as m:
+        m.setattr(migrate, "_register", killed)
+        with pytest.raises(SystemExit):
+            plans.run_sync(spark, sync_plan(spark, source, target, tables=["managed"]), location, allow_managed=True)
+    (left,) = plans.sync_journal(spark, location).collect()
+    assert (left.state, left.half_made) == ("COMPLETE", []) and left.target_name == f"{target}.managed"
+    assert not spark.catalog.tableExists(f"{target}.managed")
+
+    files = sorted((tmp_path / "copies" / f"{target}.managed").rglob("*.parquet"))
+    done = plans.run_sync(spark, sync_plan(spark, source, target, tables=["managed"]), location, allow_managed=True)
+    assert [(r.action, r.status, r.message) for r in done.collect()] == [("RESUMED", "EXISTS", None)]
+    assert sorted((tmp_path / "copies" / f"{target}.managed").rglob("*.parquet")) == files
+    assert plans.reconcile(spark, [(f"{source}.managed", f"{target}.managed")]).first().matches
+    assert plans.sync_journal(spark, location).first().state == "REGISTERED"
+
+
+def test_a_run_killed_while_copying_leaves_a_folder_that_is_told(spark, populated, tmp_path, monkeypatch):
+    source, target = populated
+    location = str(tmp_path / "copies")
+
+    def killed(df, path, fmt="parquet", mode="errorifexists", partition_by=(), options=None):
+        sources.write_path(df.limit(3), path, fmt, mode, partition_by)
+        raise SystemExit
+
+    with monkeypatch.context() as m:
+        m.setattr(migrate, "write_path", killed)
+        with pytest.raises(SystemExit):
+            plans.run_sync(spark, sync_plan(spark, source, target, tables=["managed"]), location, allow_managed=True)
+    (left,) = plans.sync_journal(spark, location).collect()
+    assert (left.state, left.half_made) == ("BEGUN", [left.folder])
+    done = plans.run_sync(spark, sync_plan(spark, source, target, tables=["managed"]), location, allow_managed=True)
+    assert [(r.action, r.message) for r in done.collect()] == [("COPIED", f"left behind: {left.folder}")]
+    (now,) = plans.sync_journal(spark, location).collect()
+    assert (now.state, now.half_made) == ("REGISTERED", [left.folder]) and now.folder != left.folder
+    assert spark.table(f"{target}.managed").count() == 100
+
+
+def test_copies_ahead_are_put_in_place_unless_the_source_changed(spark, populated, tmp_path):
+    source, target = populated
+    location = str(tmp_path / "copies")
+    ahead = plans.run_sync(spark, sync_plan(spark, source, target), location, allow_managed=True, register=False)
+    actions = {r.target_name.rpartition(".")[2]: (r.action, r.status) for r in ahead.collect()}
+    assert actions["managed"] == actions["managed_parts"] == ("COPIED", "NEEDS_COPY") and actions["ext"] == (None, "READY")
+    assert not spark.catalog.listTables(target)
+    spark.range(5).select("id", F.lit(1).cast("bigint").alias("part")).write.insertInto(f"{source}.managed")
+    done = plans.run_sync(spark, sync_plan(spark, source, target), location, allow_managed=True)
+    actions = {r.target_name.rpartition(".")[2]: r.action for r in done.collect()}
+    assert actions == {"managed": "COPIED", "managed_parts": "RESUMED", "ext": "REGISTERED", "seen": None}
+    pairs = [(f"{source}.{t}", f"{target}.{t}") for t in ("managed", "managed_parts", "ext")]
+    assert all(r.matches for r in plans.reconcile(spark, pairs).collect())
+    # in another format the copy does not serve
+    (row,) = plans.sync_journal(spark, location).where(F.col("source_name") == f"{source}.managed").collect()
+    assert (row.state, row.format) == ("REGISTERED", "parquet")
+
+
 def saved(spark, database, name, data, schema):
     sources.save_table(spark.createDataFrame(data, schema).coalesce(1), f"{database}.{name}")
     return f"{database}.{name}"

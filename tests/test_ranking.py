@@ -90,8 +90,8 @@ def test_pieces_are_even(skewed):
     pieces = []
     for bound in (100, 700):
         cuts = ranking._cuts(skewed, ["g"], "k", bound)
-        cut = ranking._joined(skewed, cuts, ["g"], "_cuts").where("_cuts IS NOT NULL")
-        sizes = cut.groupBy("g", ranking._piece(F.col("_cuts"), F.col("k"))).count()
+        cut = ranking.with_few(skewed, cuts, ["g"], "_cuts").where("_cuts IS NOT NULL")
+        sizes = cut.groupBy("g", ranking.piece_of(F.col("_cuts"), F.col("k"))).count()
         pieces.append([r["count"] for r in sizes.collect()])
     assert len(pieces[0]) > 25 and max(pieces[0]) <= 250
     assert {r.g for r in ranking._cuts(skewed, ["g"], "k", 700).collect()} == {"hot"}
