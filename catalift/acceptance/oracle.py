@@ -202,6 +202,13 @@ WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l
            FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-01-01')
 SELECT l_orderkey, l_linenumber, round(a * l_quantity + b, 4) AS prediction
 FROM lineitem, f WHERE l_shipdate BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-01-01'
+""",
+    "network_challenger": """
+WITH l AS (SELECT l_shipdate, l_quantity, abs(l_quantity - 25) AS bent FROM lineitem),
+f AS (SELECT regr_slope(bent, l_quantity) AS a, regr_intercept(bent, l_quantity) AS b FROM l
+      WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-01-01')
+SELECT round(avg(power(bent - (a * l_quantity + b), 2)), 4) AS line, true AS network_better, CAST(0 AS BIGINT) AS unscored
+FROM l, f WHERE l_shipdate BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-01-01'
 """,
     "score_segments": """
 WITH f AS (SELECT l_linenumber, regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b

@@ -504,6 +504,28 @@ def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, stages).select("stage", "version", F.round("mse", 2).alias("mse"), "unscored")
 
 
+def network_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line and a network, versions 1 and 2, on a label that bends: the errors of the line, and
+    whether the network's are below a twentieth of them."""
+    bent = F.abs(F.col("l_quantity") - 25).alias("bent")
+    training, validation = (
+        _lineitem(spark, sf_dir, span).select("l_orderkey", "l_linenumber", "l_quantity", bent) for span in (TRAINING, VALIDATION)
+    )
+    keys = ["l_orderkey", "l_linenumber"]
+    models = {
+        (MODEL, 1): ops.fit_linear(training, ["l_quantity"], "bent"),
+        (MODEL, 2): ops.fit_network(training, ["l_quantity"], "bent", epochs=40, key=keys),
+    }
+    kind = "name STRING, alias STRING, version INT"
+    aliases = spark.createDataFrame([(MODEL, "Champion", 1), (MODEL, "Challenger", 2)], kind)
+    names = F.explode(F.array(F.lit("Champion"), F.lit("Challenger"))).alias("alias")
+    rows = validation.select("*", F.lit(MODEL).alias("model"), names)
+    scored = ops.score_by_alias(rows, aliases, models, [*keys, "bent"])
+    compared = ops.compare_versions(scored, "bent")
+    of = lambda version: F.max(F.when(F.col("version") == version, F.col("mse")))
+    return compared.agg(F.round(of(1), 4).alias("line"), (of(2) * 20 < of(1)).alias("network_better"), F.sum("unscored").alias("unscored"))
+
+
 def score_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model for each line number, fitted on its lines; all lines are scored at once, but for
     those of a number whose alias points at a version that is not there."""
@@ -705,6 +727,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_rows": score_rows,
     "compare_versions": compare_versions,
     "champion_challenger": champion_challenger,
+    "network_challenger": network_challenger,
     "score_segments": score_segments,
     "forest_score": forest_score,
     "forest_exact": forest_exact,

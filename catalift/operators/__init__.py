@@ -12,6 +12,7 @@ from catalift.operators.modeling import (
     score,
     score_by_alias,
 )
+from catalift.operators.network import fit_network
 from catalift.operators.profile import inventory_profile, sample_head, top_n
 from catalift.operators.ranking import number_within
 from catalift.operators.series import (
@@ -28,6 +29,7 @@ __all__ = [
     "conform",
     "fit_forest",
     "fit_linear",
+    "fit_network",
     "forecast_vs_actual",
     "forecast_window",
     "holdout",
