@@ -8,7 +8,7 @@ import duckdb
 import corpus_pipeline
 from catalift.llm.common import store
 from catalift.llm.oracle import OP10
-from tests.llm.plain import matches, simhash_components
+from tests.llm.plain import jaccard_components, matches
 from tests.llm.test_sharding import _check
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,7 +52,7 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
     assert len(rows) == len(docs) - 3
 
     frame = run("near_dedup", frame)
-    group = simhash_components([d[1] for d in rows])
+    group = jaccard_components([d[1] for d in rows])
     rows = [d for i, d in enumerate(rows) if group[i] == i]
     assert Counter(map(tuple, frame.collect())) == Counter(rows) and len(rows) < len(group)
 
