@@ -147,13 +147,14 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     leave it. Shingles are compared by 64-bit hashes.
     """
     rows = store(shingled(docs))
-    nodes = store(rows.where("node <> 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys")))
-    keys = nodes.select("node", F.explode("keys").alias("key"))
+    nodes = store(rows.where("node <> 0").groupBy("node").agg(F.min("text_key").alias("text_key")))
+    keys = rows.select("node", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     least = store(least.where("least <> most").select("key", "least"))
     near = components(keys.join(least, "key").select("node", "least"), "node", "least")
-    near = store(near.join(nodes.select("node", "text_key"), "node"))
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(near, "text_key").dropDuplicates(["node"])
+    near = store(near.join(nodes, "node"))
+    # candidates grow with the texts: by sort and merge at every size
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(near.hint("merge"), "text_key").dropDuplicates(["node"])
     pairs = block_pairs(store(texts.select("component", "node", "text")), "component", "node", BLOCK)
     found = store(components(_links(pairs.select("component", "lo", "hi", "block", "node", "text")), "a", "b"))
     group = F.coalesce("component", rows["node"]).alias("group")

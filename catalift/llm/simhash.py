@@ -213,4 +213,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("_text"),
     )
     on = ["_doc", "_no_id", "_text"]
-    return own.join(best, on, "left_semi").dropDuplicates(on).select("row.*")
+    # what is kept grows with the rows: by sort and merge at every size; rows are dealt once for both steps
+    return own.join(best.hint("merge"), on, "left_semi").dropDuplicates(on).select("row.*")
