@@ -108,17 +108,26 @@ def plan_sync(
     `source` and `target` are table inventories; databases are named ``db`` or
     ``catalog.db``, the second if the inventory has a column ``catalog``. Status: ERROR for a
     table that could not be described or has no files, for two sources that would share a
-    target, and where the target's name is taken by something else (a view, or for tables
+    target or two targets of one name, and where the target's name is taken by something else (a view, or for tables
     registered in place files elsewhere or of another format); VIEW_SKIPPED; EXISTS at the
     target; NEEDS_COPY; READY to be registered in place. ``message`` tells the error.
     """
     source = _place(source, source_db)
     if tables is not None:
         source = source.where(F.col("table").isin(*tables))
-    there = _place(target, target_db).groupBy("table").agg(
-        F.max(F.rtrim(F.col("table_location"), F.lit("/"))).alias("_location"),
-        F.max(F.lower("format")).alias("_format"),
-        F.max("type").alias("_type"),
+    # one target of each name, but for inventories of several catalogues; its facts stay together
+    facts = F.struct(
+        F.rtrim(F.col("table_location"), F.lit("/")).alias("location"),
+        F.lower("format").alias("format"),
+        "type",
+    )
+    there = _place(target, target_db).groupBy("table").agg(F.max(facts).alias("_there"), (F.min(facts) != F.max(facts)).alias("_several"))
+    there = there.select(
+        "table",
+        "_several",
+        F.col("_there.location").alias("_location"),
+        F.col("_there.format").alias("_format"),
+        F.col("_there.type").alias("_type"),
     )
     copy = should_copy(F.col("table_location"), F.col("type") == "MANAGED")
     elsewhere = ~F.col("_location").eqNullSafe(F.rtrim(F.col("table_location"), F.lit("/"))) | ~F.col(
@@ -129,6 +138,7 @@ def plan_sync(
         F.when(failed(source), "not described")
         .when(F.col("type") == "VIEW", None)
         .when(F.col("_sources") > 1, "two sources have this target")
+        .when(F.col("_several"), "two targets have this name")
         .when(F.col("_type").isNotNull() & F.coalesce(taken, F.lit(False)), "the target is another table")
         .when(F.col("_type").isNull() & F.col("table_location").isNull(), "no files")
     )

@@ -199,6 +199,23 @@ def test_names_of_three_parts(spark):
     assert sorted((r.target_name, r.status) for r in other) == [("c4.s.t", "READY"), ("c4.s.u", "ERROR")]
 
 
+def test_two_targets_of_one_name_are_told(spark):
+    kind = "catalog STRING, db STRING, table STRING, format STRING, type STRING, table_location STRING"
+    source = spark.createDataFrame([("a", "d", "t", "parquet", "EXTERNAL", "s3:/z/loc"), ("a", "d", "u", "csv", "EXTERNAL", "s3:/z/u")], kind)
+    target = spark.createDataFrame(
+        [
+            ("m", "s", "t", "parquet", "EXTERNAL", "s3:/a/other"),
+            ("n", "s", "t", "csv", "EXTERNAL", "s3:/z/loc"),
+            ("m", "s", "u", "csv", "EXTERNAL", "s3:/z/u/"),
+        ],
+        kind,
+    )
+    found = {r.source_name: (r.status, r.message) for r in plans.plan_sync(source, target, "d", "s").collect()}
+    assert found == {"d.t": ("ERROR", "two targets have this name"), "d.u": ("EXISTS", None)}
+    (alone,) = plans.plan_sync(source, target, "d", "m.s", tables=["t"]).collect()
+    assert (alone.status, alone.message) == ("ERROR", "the target is another table")
+
+
 def test_registration_keeps_the_table(spark, databases, tmp_path):
     """Options, declared types, comments and properties; the same for a copy."""
     source, target = databases
