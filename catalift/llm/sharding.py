@@ -10,6 +10,8 @@ from .common import n_words, store, whole
 SIZES = ("bytes", "tokens", "n")
 #: A group of equal texts with over 1 / (shards * PIECES) of any size is cut.
 PIECES = 4
+#: Repeated rows of one doc_id that are so many are cut into so many times more pieces.
+FINER = 16
 #: Groups with over 1 / LARGE of any size are placed first; at most 3 * LARGE exist.
 LARGE = 2048
 #: Groups that one task packs at a time.
@@ -46,7 +48,8 @@ def shard_plan(docs: DataFrame, shards: int = 8) -> DataFrame:
     """A shard and a slot for every row of ``docs``.
 
     Groups of equal texts stay together unless they are over a quarter of a shard; larger
-    ones are cut by doc_id into pieces of at most that. The few groups that are large against
+    ones are cut by doc_id into pieces of about that, and repeated rows of one doc_id that are
+    over a quarter of a shard themselves by a number of their own. The few groups that are large against
     the whole (at most 3 * ``LARGE``) are placed by the driver; all others by tasks that each
     take an even slice of the groups and fill the same part of every shard's remaining
     capacity. Each group goes, largest first, where the dot product of its (bytes, tokens,
@@ -58,7 +61,7 @@ def shard_plan(docs: DataFrame, shards: int = 8) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = store(docs.select("doc_id", *_size(F.col("text"))))
+    rows = store(docs.select("doc_id", *_size(F.col("text")), F.monotonically_increasing_id().alias("own")))
     sums = [F.sum(c).alias(c) for c in ("bytes", "tokens")]
     groups = rows.groupBy("text_key").agg(*sums, F.count("*").alias("n"))
     total = groups.agg(*[F.sum(c).alias(c) for c in SIZES], F.count("*").alias("groups")).first()
@@ -67,8 +70,15 @@ def shard_plan(docs: DataFrame, shards: int = 8) -> DataFrame:
     parts = F.greatest(*[share(c, t, shards * PIECES) for c, t in zip(SIZES, totals)]).cast("int")
     # at most 3 * shards * PIECES groups are above the bound, so this side may be broadcast
     cut = groups.where((F.col("n") > 1) & (parts > 1)).select("text_key", parts.alias("parts"))
-    piece = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
-    rows = rows.join(F.broadcast(cut), "text_key", "left").withColumn("piece", piece).drop("parts")
+    # nor are more keys of repeated rows; what rows of one key differ in is their number only
+    keys = rows.join(F.broadcast(cut.drop("parts")), "text_key").groupBy("text_key", "doc_id").agg(*sums, F.count("*").alias("n"))
+    again = keys.where((F.col("n") > 1) & (parts > 1)).select(F.col("text_key").alias("_text"), F.col("doc_id").alias("_doc"), F.lit(True).alias("_again"))
+    rows = rows.join(F.broadcast(cut), "text_key", "left")
+    rows = rows.join(F.broadcast(again), (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    rows = rows.withColumn("own", F.when(F.col("_again"), F.col("own"))).drop("_text", "_doc", "_again")
+    pieces = F.when(F.col("own").isNull(), F.col("parts")).otherwise(F.col("parts") * FINER)
+    piece = F.pmod(F.coalesce("own", F.xxhash64(F.lit(3), "doc_id")), F.coalesce(pieces, F.lit(1))).cast("int")
+    rows = rows.withColumn("piece", piece).drop("parts")
     units = store(rows.groupBy("text_key", "piece").agg(*sums, F.count("*").alias("n")))
 
     over = F.greatest(*[F.col(c) / t for c, t in zip(SIZES, totals)]) > 1.0 / LARGE
@@ -98,7 +108,7 @@ def shard_plan(docs: DataFrame, shards: int = 8) -> DataFrame:
     where = small.union(spark.createDataFrame(placed, schema))
 
     chunks = max(64, -(-(total["n"] or 0) // CHUNK_ROWS))
-    chunk = F.pmod(F.xxhash64(F.lit(9), "text_key", "doc_id"), F.lit(chunks)).cast("int")
+    chunk = F.pmod(F.xxhash64(F.lit(9), "text_key", "doc_id", "own"), F.lit(chunks)).cast("int")
     put = store(rows.join(where, ["text_key", "piece"]).withColumn("chunk", chunk))
     counts = put.groupBy("shard", "chunk").count()
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from catalift.llm.sharding import pack, shard_plan
 
 SCHEMA = "doc_id long, text string, shard string, size string, n string, piece int"
@@ -45,6 +47,13 @@ def test_a_hot_group_is_cut(spark):
     _check(rows, docs, 0.1)
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_repeated_rows_of_one_id_are_cut(spark, doc_id):
+    docs = [(doc_id, "the same row " * 8)] * 3000 + [(i, f"text number {i}") for i in range(1000)]
+    rows = shard_plan(_frame(spark, docs).repartition(6)).collect()
+    _check(rows, docs, 0.01)
+
+
 def test_nulls_repeats_and_long_texts(spark):
     docs = [(None, None), (1, None), (2, ""), (3, "x " * 200_000), (4, "é"), (4, "é"), (None, "z")] * 2
     rows = shard_plan(_frame(spark, docs)).collect()
