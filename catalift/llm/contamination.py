@@ -30,6 +30,16 @@ def shingle_set(words: list[bytes], n: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def pieces(texts: list[bytes]):
+    """Bounds of stretches of texts with about ``PIECE`` bytes together."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PIECE or i == len(texts) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
+
+
 class Shingler:
     """Hashes of all shingles of a batch of texts by prefix sums over their bytes."""
 

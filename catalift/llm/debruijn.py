@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
-from .contamination import _BASE, Shingler
-from .jaccard import _pieces
+from .contamination import _BASE, Shingler, pieces
 
 #: Words of an edge: two documents that share so many in a row share an edge.
 EDGE = 50
@@ -95,7 +94,7 @@ def stretches(docs: DataFrame, edge: int = EDGE, seed: int = SEED) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             docs, parts = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
-            for start, stop in _pieces(texts):
+            for start, stop in pieces(texts):
                 h, text = words.hashes(texts[start:stop])
                 at = _edges(text, edge)
                 if not len(at):
@@ -129,7 +128,7 @@ def _single(docs: DataFrame, edge: int) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             spans = batch.column("spans").to_pylist()
             docs, parts = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
-            for start, stop in _pieces(texts):
+            for start, stop in pieces(texts):
                 h, text = words.hashes(texts[start:stop])
                 begin = np.searchsorted(text, np.arange(stop - start))
                 own = np.concatenate([np.full(len(s), i) for i, s in enumerate(spans[start:stop])])

@@ -170,6 +170,17 @@ def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
     return dealt.mapInArrow(link, "a long, b long")
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, component, least, best) of every fingerprint: component names its class, also where
+    no row has a doc_id; least is its smallest doc_id, best its smallest (no id, doc_id, text)."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(key).alias("best")))
+    found = components(near_links(nodes.select("fp")), "a", "b")
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), "least", "best"
+    )
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, fp, component_id) of every row.
 
@@ -180,11 +191,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     rows = store(fingerprints(docs))
-    nodes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(near_links(nodes.select("fp")), "a", "b")
-    groups = nodes.join(found, nodes["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    groups = _classes(rows)
     ids = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     named = store(groups.join(ids, "component").select("fp", "component_id"))
     return rows.join(named, "fp")
@@ -197,15 +204,13 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of ``jaccard_groups``, all columns kept: that of the smallest
-    (doc_id, text), rows without doc_id last; of repeated rows any one."""
-    from .jaccard import jaccard_groups
-
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    best = jaccard_groups(docs).groupBy("group").agg(F.min(key).alias("k")).select(
-        F.coalesce("k.doc_id", F.lit(0)).alias("_doc"), "k.no_id", F.col("k.text_key").alias("_text")
+    """One row of each class of ``simhash_groups``, all columns kept: that of the smallest
+    (doc_id, text), rows without doc_id last; of repeated rows any one. Texts of any length are
+    one fingerprint, null and empty ones share a class; an empty table gives no rows."""
+    best = _classes(store(fingerprints(docs))).groupBy("component").agg(F.min("best").alias("k")).select(
+        F.coalesce("k.doc_id", F.lit(0)).alias("_doc"), F.col("k.no_id").alias("_no_id"), F.col("k.text_key").alias("_text")
     )
-    best = store(best.withColumnRenamed("no_id", "_no_id"))
+    best = store(best)
     own = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_doc"),

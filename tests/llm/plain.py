@@ -58,13 +58,6 @@ def matches(docs, items, contained=0.8):
     return found
 
 
-def jaccard_components(texts, similar=0.8):
-    """Component, as the smallest position, of texts linked by their distinct five-word shingles."""
-    sets = [shingles(t) for t in texts]
-    near = lambda a, b: len(a & b) >= similar * len(a | b) - 1e-9
-    return component_of(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
-
-
 def text_grams(text, orders=3):
     run = " " + "".join(c.lower()[0] if c.isalpha() else " " for c in text) + " "
     out = Counter()

@@ -76,6 +76,19 @@ def test_one_row_of_each_group_stays_whole(spark):
     assert got == sorted([(2, "A b c d e"), (9, "else where"), (None, "lost one"), (7, None)], key=str)
 
 
+def test_kept_rows_equal_all_pairs(spark):
+    docs = _docs()
+    want = simhash_components([t for _, t in docs])
+    kept = simhash.keep_one(_frame(spark, docs).repartition(3)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want))
+
+
+def test_groups_without_ids_keep_one_row_each(spark):
+    base = [f"w{i}" for i in range(100)]
+    docs = [(None, " ".join(base)), (None, "  ".join(base).upper()), (None, "else where")]
+    assert simhash.keep_one(_frame(spark, docs)).count() == 2
+
+
 def test_empty(spark):
     assert simhash.simhash_report(_frame(spark, [])).count() == 0
     assert simhash.keep_one(_frame(spark, [])).count() == 0
