@@ -130,11 +130,27 @@ SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN first ON p.d = first.d AND p.n = first.n
 """
 
+_FILL = """, c@ AS (
+  SELECT *, sum(size) FILTER (size <= gap AND place > last) OVER (PARTITION BY source ORDER BY place) AS cum FROM k@
+), g@ AS (
+  SELECT *, coalesce(size <= gap AND place > last AND cum <= gap, false) AS now FROM c@
+), k# AS (
+  SELECT * EXCLUDE (cum, now) REPLACE (
+    CASE WHEN now THEN 1 ELSE fill END AS fill,
+    gap - coalesce(max(cum) FILTER (now) OVER (PARTITION BY source), 0) AS gap,
+    coalesce(max(place) FILTER (now) OVER (PARTITION BY source), last) AS last
+  ) FROM g@
+)"""
+
 OP10 = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS draw
+    ('0x' || substr(md5(coalesce(text, '')), 1, 13))::BIGINT AS tie
   FROM documents
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, tie) - 1 AS number FROM d
+), r AS (
+  SELECT *, ('0x' || substr(md5(concat('17|', coalesce(doc_id::VARCHAR, 'null'), '|', tie, '|', number)), 1, 13))::BIGINT AS draw FROM m
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
@@ -154,14 +170,35 @@ WITH d AS (
 ), p AS (
   SELECT source, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS copies
   FROM t
-), c AS (
-  SELECT d.*, p.source_size, p.target, p.copies, p.target - p.copies * p.source_size AS rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS cum
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), q AS (
+  -- limits of sizes: the least that the remainder can be met with
+  SELECT source, copies, rest, lim, sum(least(size, lim))::BIGINT AS limited
+  FROM (
+    SELECT p.*, d.size, ceil(rest * (pow(2, j) / 128))::BIGINT AS lim
+    FROM (SELECT *, target - copies * source_size AS rest FROM p) p
+    JOIN d ON d.source IS NOT DISTINCT FROM p.source, range(8) g(j) WHERE rest > 0
+  ) GROUP BY ALL HAVING limited >= rest
+), l AS (
+  SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY source ORDER BY lim) = 1
+), i AS (
+  SELECT r.*, l.rest,
+    CASE WHEN size > lim THEN rest / limited * (lim::DOUBLE / size) ELSE rest / limited END AS inclusion,
+    (draw + 0.5::DOUBLE) / (4503599627370496::DOUBLE - (draw + 0.5::DOUBLE)) AS odds
+  FROM r JOIN l ON r.source IS NOT DISTINCT FROM l.source
+), k0 AS (
+  SELECT *, rest AS gap, 0 AS fill, row_number() OVER (PARTITION BY source ORDER BY
+    CASE WHEN inclusion < 1 THEN odds / (inclusion / (1 - inclusion)) ELSE 0 END, draw, tie, number, doc_id NULLS FIRST) AS place,
+    0::BIGINT AS last
+  FROM i
+){"".join(_FILL.replace("@", str(n)).replace("#", str(n + 1)) for n in range(3))}, b AS (
+  SELECT source, place FROM k3 WHERE fill = 0 AND abs(size - gap) < gap
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), place) = 1
+), e AS (
+  SELECT doc_id, source, tie, number, 1 AS more FROM k3 WHERE fill = 1 OR (coalesce(source, ''), source IS NULL, place) IN (SELECT (coalesce(source, ''), source IS NULL, place) FROM b)
 )
-SELECT doc_id, size, source_size, target,
-  (size * (copies + CASE WHEN rest > 0 AND (cum <= rest OR cum - rest <= rest - (cum - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM c
+SELECT r.doc_id, r.size, p.source_size, p.target, (r.size * (p.copies + coalesce(e.more, 0)))::BIGINT AS taken
+FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source
+LEFT JOIN e ON r.doc_id IS NOT DISTINCT FROM e.doc_id AND r.source IS NOT DISTINCT FROM e.source AND r.tie = e.tie AND r.number = e.number
 """
 
 # a reflected CRC by bits: each byte is mixed in, then eight steps
