@@ -23,6 +23,10 @@ REVISIT_BYTES = 1000
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle ends.
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 8 << 20
+#: Tasks that bundles are read in at most.
+READ_TASKS = 20_000
+#: Bytes that the number of frames and the magic number take at the end of a bundle.
+FOOTER = 9
 
 INDEX = "page_id long, record_id string, record_type string, file string, frame int, offset int, length long"
 RECORDS = (
@@ -103,7 +107,8 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
 
 
 def frames_of(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(start, compressed, plain) of each frame, read from the footer."""
+    """(start, compressed, plain) of each frame, read from the footer; the end of a bundle from
+    its seek table on will do."""
     n, flags, magic = struct.unpack("<IBI", bundle[-9:])
     if magic != SEEKABLE_MAGIC or flags & 0x80:
         raise ValueError("no seek table without checksums at the end of the bundle")
@@ -186,7 +191,8 @@ def write_archives(
     response, the others revisit it. Rows that share that page_id are all responses; rows
     without page_id are responses too and are named by a random id. A null html is an empty
     payload, a null url leaves its field out, other columns are ignored, an empty table
-    writes nothing. ``folder`` must be shared by all executors (any store pyarrow can write).
+    writes nothing. Frames have 32-bit sizes, so a record of 4 GB or more is an error; Spark's
+    own rows end at 2 GB. ``folder`` must be shared by all executors (any store pyarrow can write).
     """
     page = pages.select("page_id", "url", _payload(F.col("html")).alias("payload"))
     page = page.withColumns({"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
@@ -221,60 +227,89 @@ def write_archives(
     return store(page.mapInArrow(write, INDEX))
 
 
-def _bundles(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
-    """The bundles that the index names: one name per ``BUNDLE_BYTES`` of data."""
-    names = [r.file for r in index.select("file").distinct().collect()]
-    paths = [f"{folder}/{name}" for name in sorted(names)]
-    if not paths:
-        return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
+def _dealt(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows of an index dealt by bundle to about a task for each bundle, at most ``READ_TASKS``."""
+    n = rows.agg(F.approx_count_distinct("file")).first()[0]
+    return rows.repartition(max(1, min(READ_TASKS, n)), "file")
+
+
+class _Bundle:
+    """A bundle read by ranges: the footer first, then single frames."""
+
+    def __init__(self, folder: str, name: str):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        self.file = store.open_input_file(f"{root}/{name}")
+        size = self.file.size()
+        tail = self._range(max(0, size - FOOTER), size)
+        n = struct.unpack("<I", tail[-9:-5])[0]
+        self.frames = frames_of(self._range(max(0, size - 9 - 8 * n), size))
+
+    def _range(self, start: int, stop: int) -> bytes:
+        self.file.seek(start)
+        return self.file.read(stop - start)
+
+    def frame(self, k: int) -> bytes:
+        start, packed, plain = self.frames[k]
+        return read_frame(self._range(start, start + packed), (0, packed, plain))
+
+    def close(self):
+        self.file.close()
+
+
+def _records(rows: list[dict]):
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in RECORDS.split(", ")]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, types))))
 
 
 def read_archives(spark: SparkSession, index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Every record of the bundles of an index, checked against its digest; without
-    ``payloads`` they are read and checked but not returned."""
+    ``payloads`` they are read and checked but not returned.
 
-    def parse(batches):
-        import pyarrow as pa
+    Tasks open the bundles that the index names and read them frame by frame: a task holds one
+    frame at a time, and no name reaches the driver. Files that no index names are not opened,
+    so what a lost task left behind does no harm. An empty index gives no rows.
+    """
+    target = _uri(folder)
 
-        schema = pa.schema(
-            [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string())]
-            + [("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
-            + [("payload", pa.binary())]
-        )
+    def parse(batches):
         for batch in batches:
-            for content in batch.column("content"):
-                bundle = content.as_py()
-                for frame in frames_of(bundle):
-                    data, at, rows = read_frame(bundle, frame), 0, []
+            for name in batch.column("file").to_pylist():
+                bundle = _Bundle(target, name)
+                for k in range(len(bundle.frames)):
+                    data, at, rows = bundle.frame(k), 0, []
                     while at < len(data):
                         row, at = decode_record(data, at)
                         rows.append(row if payloads else row | {"payload": None})
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield _records(rows)
+                bundle.close()
 
-    return _bundles(spark, index, folder).mapInArrow(parse, RECORDS)
+    return _dealt(spark, index.select("file").distinct()).mapInArrow(parse, RECORDS)
 
 
 def fetch(spark: SparkSession, index: DataFrame, folder: str, record_ids: list[str]) -> DataFrame:
-    """Single records by id: only the frames that hold them are unpacked."""
-    wanted = index.where(F.col("record_id").isin(record_ids))
-    places = wanted.select(F.col("file").alias("name"), "frame", "offset")
-    bundles = _bundles(spark, wanted, folder).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    places = places.groupBy("name").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))
+    """Single records by id: of their bundles only the footer and the frames that hold them are
+    read. An id that the index lacks gives no row; an id asked for twice gives one."""
+    target = _uri(folder)
+    wanted = index.where(F.col("record_id").isin(record_ids)).select("file", "frame", "offset")
 
     def seek(batches):
-        import pyarrow as pa
+        from itertools import groupby
 
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                frames = frames_of(r["content"])
-                rows += [decode_record(read_frame(r["content"], frames[p["frame"]]), p["offset"])[0] for p in r["places"]]
-            names = [f.split()[0] for f in RECORDS.split(", ")]
-            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, types))))
-
-    return bundles.join(places, "name").select("content", "places").mapInArrow(seek, RECORDS)
+            places = sorted((r["file"], r["frame"], r["offset"]) for r in batch.to_pylist())
+            for name, own in groupby(places, lambda p: p[0]):
+                bundle = _Bundle(target, name)
+                for k, inside in groupby(own, lambda p: p[1]):
+                    data = bundle.frame(k)
+                    yield _records([decode_record(data, at)[0] for _, _, at in inside])
+                bundle.close()
+
+    return _dealt(spark, wanted).mapInArrow(seek, RECORDS)
 
 
 def roundtrip(pages: DataFrame, folder: str | None = None) -> DataFrame:
