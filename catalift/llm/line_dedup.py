@@ -60,6 +60,27 @@ def _eligible(chunk: Column) -> Column:
     return (chunk["lines"] > 1) | chunk["long"]
 
 
+def _flags(places: Column) -> Column:
+    """Of sorted places from 0 on: an array that is true at each and false between them, so
+    that a look at one takes the same time however many there are."""
+
+    def run(place, k):
+        last = F.when(k == 0, -1).otherwise(F.element_at(places, F.greatest(k, F.lit(1))))
+        return F.concat(F.array_repeat(F.lit(False), place - last - 1), F.array(F.lit(True)))
+
+    return F.flatten(F.transform(places, run))
+
+
+def _split(chunks: Column, places: Column) -> Column:
+    """``chunks`` as a struct of those at the places (``at``) and the others (``rest``)."""
+    set_ = lambda p, i: F.coalesce(F.get(p["flags"], i), F.lit(False))
+    part = lambda p: F.struct(
+        F.filter(p["chunks"], lambda c, i: set_(p, i)).alias("at"), F.filter(p["chunks"], lambda c, i: ~set_(p, i)).alias("rest")
+    )
+    # a one-row array binds both, so that each is computed once
+    return F.transform(F.array(F.struct(chunks.alias("chunks"), _flags(places).alias("flags"))), part)[0]
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Remove chunks of lines that occur before: doc_id, text, n_lines, removed_lines, removed_chunks.
 
@@ -85,11 +106,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         _eligible(c).alias("ok"), F.xxhash64(c["text"]).alias("key")))).alias("no", "c"))
     seen = store(cut.where("c.ok").select(*on, "no", F.col("c.key").alias("key")))
     twice = seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = store(seen.join(twice, "key").groupBy(*on).agg(F.collect_set("no").alias("nos")))
+    wanted = store(seen.join(twice, "key").groupBy(*on).agg(F.sort_array(F.collect_set("no")).alias("nos")))
 
     # bytes of the chunks whose hash repeats
     part = F.transform(_chunks(F.col("text")), lambda c, i: F.struct(i.alias("no"), c["text"].alias("bytes")))
-    part = F.filter(part, lambda c: F.array_contains(F.col("nos"), c["no"]))
+    part = _split(part, F.col("nos"))["at"]
     part = full.join(wanted.hint("merge"), on).select(*on, F.explode(part).alias("c")).select(*on, "c.no", "c.bytes")
     part = store(part.withColumn("key", F.xxhash64("bytes")))
     place = F.min(F.struct("k_doc", "k_text", "no")).alias("first")
@@ -100,14 +121,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     clash = part.join(ends.where("not same").select("key"), "key")
     own = clash.groupBy("key", "bytes").agg(place)
     gone = gone.union(clash.join(own, ["key", "bytes"]).where(other).select(*on, "no"))
-    drop = store(gone.groupBy(*on).agg(F.collect_set("no").alias("drop")))
+    drop = store(gone.groupBy(*on).agg(F.sort_array(F.collect_set("no")).alias("drop")))
 
     # the texts again, without what goes
     marked = texts.join(drop.hint("merge"), on, "left")
-    chunks = F.when(F.col("drop").isNotNull(), _chunks(F.col("text")))
-    rows = marked.select("doc_id", "text", "drop", chunks.alias("chunks"))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains("drop", i))
-    lost = F.filter("chunks", lambda c, i: F.array_contains("drop", i))
+    parts = F.when(F.col("drop").isNotNull(), _split(_chunks(F.col("text")), F.col("drop")))
+    rows = marked.select("doc_id", "text", "drop", parts.alias("parts"))
+    kept, lost = F.col("parts.rest"), F.col("parts.at")
     lines = lambda cs: F.aggregate(cs, F.lit(0).cast("long"), lambda a, c: a + c["lines"])
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return rows.select(
