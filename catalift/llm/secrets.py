@@ -42,6 +42,8 @@ RULES = (
 )
 #: Ways to match beyond which a part of a pattern counts as anything.
 MOST_WAYS = 64
+#: Hits of a text that are placed together.
+BLOCK = 256
 _GAP = "\n\n"
 
 
@@ -115,6 +117,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)).alias("part"),
     )
     span = "struct<start:int,order:int,end:int,kind:string>"
+    state = lambda at, out, type_: F.struct(at.alias("at"), F.coalesce(out, F.array().cast(type_)).alias("out"))
     start = lambda acc, x: acc["at"] + F.char_length(x["gap"])
 
     def step(acc, x):
@@ -125,8 +128,16 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         more = F.struct(end.alias("at"), out.alias("out"))
         return F.when(x["hit"].isNull(), acc).otherwise(more)
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
-    return F.aggregate(found, none, step, lambda acc: acc["out"])
+    def leap(acc, block):
+        inner = F.aggregate(block, state(acc["at"], F.lit(None), f"array<{span}>"), step)
+        both = lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out"))
+        return F.transform(F.array(inner), both)[0]
+
+    # an array that grows hit by hit is copied for each: blocks of hits keep such arrays short
+    n_blocks = lambda hits: F.ceil(F.size(hits) / BLOCK).cast("int")
+    cut = lambda hits: F.transform(F.sequence(F.lit(1), n_blocks(hits)), lambda b: F.slice(hits, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
+    blocks = F.transform(F.array(found), cut)[0]
+    return F.aggregate(blocks, state(F.lit(0), F.lit(None), f"array<array<{span}>>"), leap, lambda acc: F.flatten(acc["out"]))
 
 
 def _text_of(spans: Column) -> Column:
