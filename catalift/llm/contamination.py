@@ -11,7 +11,8 @@ from .common import store
 SHINGLE = 5
 CONTAINED = 0.8
 #: Benchmark text that one pass over the documents searches for; more text takes more passes.
-PASS_BYTES = 64 << 20
+#: Its shingles take about 17 times as much memory in the driver and in each task.
+PASS_BYTES = 8 << 20
 #: Bytes of documents worked on at a time; a longer document is a piece of its own.
 PIECE = 1 << 21
 
@@ -102,8 +103,8 @@ class Shingler:
         return h, text
 
 
-def sketches(items: list[tuple[int, set[bytes]]], contained: float = CONTAINED):
-    """MinHash sketches of a set of items, by size: (sorted hashes, item of each).
+def sketches(items: list[tuple], contained: float = CONTAINED):
+    """MinHash sketches of a list of items (id, shingles, ...), by size: (sorted hashes, item of each).
 
     Items are partitioned by the power of two that their number of shingles reaches. In a
     partition whose largest item has u shingles the sketch holds the k = u - ceil(contained *
@@ -115,14 +116,18 @@ def sketches(items: list[tuple[int, set[bytes]]], contained: float = CONTAINED):
     import numpy as np
 
     shingler, partitions = Shingler(), {}
-    for i, (_, own) in enumerate(items):
-        partitions.setdefault(len(own).bit_length(), []).append(i)
+    for i, item in enumerate(items):
+        partitions.setdefault(len(item[1]).bit_length(), []).append(i)
     hashes, owner = [], []
     for members in partitions.values():
         u = max(len(items[i][1]) for i in members)
         k = u - math.ceil(contained * u - 1e-9) + 1
-        for i in members:
-            h = np.unique([shingler.hashes([s])[0][0] for s in items[i][1]])[:k]
+        flat = [s for i in members for s in items[i][1]]
+        # a shingle has no more words than the hasher takes, so it has one hash
+        all_ = np.concatenate([shingler.hashes(flat[a:b])[0] for a, b in pieces(flat)])
+        stops = np.cumsum([len(items[i][1]) for i in members])
+        for i, own in zip(members, np.split(all_, stops[:-1])):
+            h = np.unique(own)[:k]
             hashes.append(h)
             owner.append(np.full(len(h), i))
     if not hashes:
@@ -132,7 +137,8 @@ def sketches(items: list[tuple[int, set[bytes]]], contained: float = CONTAINED):
     return hashes[order], owner[order]
 
 
-def _search(docs: DataFrame, items: list, contained: float) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[int, set[bytes], int, int]], contained: float) -> DataFrame:
+    """Matches of items (id, shingles, words of a shingle, copies) in ``docs``."""
     spark = docs.sparkSession
     sketch, owner = sketches(items, contained)
     # at most PASS_BYTES of text and one sketch hash for about five shingles of it
@@ -143,28 +149,29 @@ def _search(docs: DataFrame, items: list, contained: float) -> DataFrame:
         import pyarrow as pa
 
         sketch, owner, items = shared.value
-        shingler = Shingler()
+        shinglers = [Shingler(n) for n in sorted({words for _, _, words, _ in items})]
         mask = np.uint64((1 << max(16, (16 * len(sketch)).bit_length())) - 1)
         may = np.zeros(int(mask) + 1, dtype=bool)
         may[sketch & mask] = True
 
         def look(ids, texts):
-            h, text = shingler.hashes(texts)
-            at = np.flatnonzero(may[h & mask])
-            h, text = h[at], text[at]
-            lo, hi = np.searchsorted(sketch, h, "left"), np.searchsorted(sketch, h, "right")
-            hit = hi > lo
             pairs = set()
-            for t, a, b in zip(text[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                pairs.update((t, int(i)) for i in owner[a:b])
-            shingles, rows = {}, []
-            for t, i in sorted(pairs):
-                if t not in shingles:
-                    shingles = {t: shingle_set(texts[t].lower().split())}  # sorted: one text at a time
-                item, own = items[i]
-                shared_ = len(own & shingles[t])
+            for shingler in shinglers:
+                h, text = shingler.hashes(texts)
+                at = np.flatnonzero(may[h & mask])
+                h, text = h[at], text[at]
+                lo, hi = np.searchsorted(sketch, h, "left"), np.searchsorted(sketch, h, "right")
+                hit = hi > lo
+                for t, a, b in zip(text[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+                    pairs.update((t, items[i][2], int(i)) for i in owner[a:b])
+            last, shingles, rows = None, set(), []
+            for t, n, i in sorted(pairs):
+                if last != (t, n):
+                    last, shingles = (t, n), shingle_set(texts[t].lower().split(), n)  # sorted: one set at a time
+                item, own, _, copies = items[i]
+                shared_ = len(own & shingles)
                 if shared_ >= contained * len(own) - 1e-9:
-                    rows.append((ids[t], item, shared_, len(own), shared_ / len(own)))
+                    rows += [(ids[t], item, shared_, len(own), shared_ / len(own))] * copies
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.int64()] * 4 + [pa.float64()]
             names = ["doc_id", "item_id", "shared", "shingles", "containment"]
@@ -185,24 +192,30 @@ def _search(docs: DataFrame, items: list, contained: float) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """(doc_id, item_id, shared, shingles, containment) for every item of which a document
-    holds at least ``contained`` of the distinct five-word shingles.
+    holds at least ``contained`` of the distinct five-word shingles. An item of one to four
+    words is a shingle of that many words, and is looked for among such shingles of the documents.
 
     Sketches find candidates while the documents are read once; the shingles themselves are
-    then compared. Documents never travel. The benchmark goes to the tasks in passes of at
-    most ``PASS_BYTES`` of text each. Null and empty items and documents match nothing; texts of
-    fewer words than a shingle are one shingle as a whole; rows repeat their matches; a null
-    doc_id or item_id stays null in the match; other columns are ignored.
+    then compared. Documents never travel. The benchmark goes to the tasks in passes of about
+    ``PASS_BYTES`` of text each, equal rows of it as one with a count. Null and empty items and
+    documents match nothing; repeated rows of either side repeat their matches; a null doc_id or
+    item_id stays null in the match; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    items = store(items.groupBy("item_id", "text").agg(F.count("*").alias("copies")))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-total // PASS_BYTES)
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for p in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-        sets = [(r.item_id, shingle_set(words_of(r.text))) for r in part.collect()]
-        own = _search(rows, [s for s in sets if s[1]], contained)
+        sets = []
+        for r in part.toLocalIterator():
+            words = words_of(r.text)
+            if words:
+                sets.append((r.item_id, shingle_set(words), min(len(words), SHINGLE), r.copies))
+        own = _search(rows, sets, contained)
         found = own if found is None else found.union(own)
     empty = "doc_id long, item_id long, shared long, shingles long, containment double"
     return found if found is not None else spark.createDataFrame([], empty)
@@ -210,7 +223,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, contained: float = CONTA
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """``docs`` without the rows that hold an item, all columns kept. Rows of one doc_id go
-    together; rows without doc_id are judged by their text."""
+    together, repeated ones too; rows without doc_id are judged by their text. Null and empty
+    texts stay, long ones are searched whole; an empty benchmark leaves all rows, an empty
+    ``docs`` none."""
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
     named = docs.where(F.col("doc_id").isNotNull())
     bad = store(contaminated(named, benchmark, contained).select(F.col("doc_id").alias("_doc")).distinct())

@@ -74,10 +74,11 @@ WITH w AS (
   SELECT 'b', item_id, list_filter(string_split_regex(translate(text,
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')
   FROM benchmark WHERE text IS NOT NULL
+), k AS (
+  SELECT DISTINCT least(len(words), 5) AS k FROM w WHERE side = 'b' AND len(words) > 0
 ), s AS (
-  SELECT DISTINCT side, id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
-  FROM w WHERE len(words) > 0
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS shingle
+  FROM w JOIN k ON k <= len(words) AND (side = 'd' OR k = least(len(words), 5))
 ), n AS (
   SELECT id AS item_id, count(*) AS shingles FROM s WHERE side = 'b' GROUP BY id
 ), m AS (

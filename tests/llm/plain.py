@@ -47,13 +47,14 @@ def shingles(text, n=5):
 
 
 def matches(docs, items, contained=0.8):
-    """(doc_id, item_id) of every item that a document holds."""
-    sets = [(i, shingles(t)) for i, t in items]
+    """(doc_id, item_id) of every item that a document holds; an item of fewer than five words
+    is looked for among the runs of as many words."""
+    sets = [(i, shingles(t), min(5, len(words(t)))) for i, t in items]
     found = Counter()
     for doc_id, text in docs:
-        own = shingles(text)
-        for item, s in sets:
-            if s and len(s & own) >= contained * len(s) - 1e-9:
+        runs = {n: shingles(text, n) for n in {n for _, _, n in sets} - {0}}
+        for item, s, n in sets:
+            if s and len(s & runs[n]) >= contained * len(s) - 1e-9:
                 found[doc_id, item] += 1
     return found
 

@@ -16,6 +16,7 @@ def _data():
     word = lambda: "".join(rng.choices("abcdeé", k=4))
     items = [(i, " ".join(word() for _ in range(rng.randint(5, 60)))) for i in range(40)]
     items += [(100, None), (101, ""), (102, "only three words"), (103, items[0][1]), (None, items[1][1])]
+    items += [(104, "Two words"), (104, "Two words"), (105, "solitary")]
     docs = []
     for i in range(150):
         w = [word() for _ in range(rng.choice([0, 3, 200, 3000]))]
@@ -27,6 +28,7 @@ def _data():
             w[len(w) // 2 : len(w) // 2] = part
         docs.append((i, rng.choice([" ", "\n", " \t "]).join(w).upper().replace("É", "é") if i % 2 else " ".join(w)))
     docs += [(200, None), (201, "Only THREE words"), (202, "only three words more"), (None, items[2][1]), (3, docs[3][1]), (203, items[3][1] + " x" * 100_000)]
+    docs += [(204, "x " * 50 + "two WORDS y"), (205, "words two"), (206, "a solitary\tword"), (207, "solitary")]
     return docs, items
 
 
@@ -40,6 +42,7 @@ def test_matches_equal_all_pairs(spark, monkeypatch, pass_bytes):
     rows = contamination.contaminated(df, bench).collect()
     want = matches(docs, items)
     assert Counter((r.doc_id, r.item_id) for r in rows) == want and len(want) > 30
+    assert want[204, 104] == 2 and want[206, 105] == want[207, 105] == want[202, 102] == 1 and not want[205, 104]
     assert all(r.containment == r.shared / r.shingles >= 0.8 for r in rows)
     bad = {d for d, _ in want}
     kept = contamination.decontaminate(df, bench)
