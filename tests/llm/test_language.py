@@ -61,3 +61,13 @@ def test_documents_with_letters_stay_if_nothing_was_learned(spark):
     docs = [(1, "the house", None), (2, "123 !!", None), (3, None, None), (4, "über", None)]
     kept = language.keep_known(_frame(spark, docs)).collect()
     assert sorted(map(tuple, kept)) == [(1, "the house", None, "a", 1), (4, "über", None, "a", 1)]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    clean = [(i, f"the house number {i} stands in the old town and the garden is green", "en") for i in range(60)]
+    clean += [(100 + i, f"das haus nummer {i} steht in der alten stadt und der garten ist grün", "de") for i in range(60)]
+    clean += [(200, "the garden", None), (201, "das haus", None), (202, "12 the 34", "en")]
+    foreign = [(300, "これは日本語の文章です。今日は天気がいいですね。", None), (301, "Это русский текст о погоде", None), (302, "ふ" * 200_000, None)]
+    kept = language.keep_known(_frame(spark, clean + foreign * 2 + [(303, "77", "en"), (304, "", None)]))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, _ in clean)
+    assert language.keep_known(_frame(spark, [])).count() == 0
