@@ -35,8 +35,9 @@ FROM part, (VALUES (false), (true)) AS modes(inferred)
 SELECT DISTINCT c_mktsegment AS segment, 'spark_catalog' AS catalog FROM customer
 """,
     "describe_databases": """
-SELECT r_name AS region, CAST(3 AS BIGINT) AS facts, CAST(0 AS BIGINT) AS errors FROM region
-UNION ALL SELECT 'none', 0, 1
+SELECT CAST(o_orderkey // 5000 AS BIGINT) AS batch, CAST(3 AS BIGINT) AS facts, CAST(0 AS BIGINT) AS errors, count(*) AS n_orders
+FROM orders GROUP BY 1
+UNION ALL SELECT -1, 0, 1, 0
 """,
     "catalog_cleanup": """
 SELECT DISTINCT p_type AS db FROM part WHERE contains(p_type, 'ECO') UNION ALL SELECT 'spark_catalog'

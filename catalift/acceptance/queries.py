@@ -140,19 +140,22 @@ def database_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A described database for each region, and one that is not there."""
-    regions = [r[0] for r in _read(spark, sf_dir, "region").select("r_name").collect()]
-    names = {f"catalift_{uuid.uuid4().hex}": region for region in regions}
+    """A described database for every 5,000 order keys, and one that is not there, beside the
+    orders of these keys."""
+    batch = F.floor(F.col("o_orderkey") / 5000).alias("batch")
+    orders = _read(spark, sf_dir, "orders").groupBy(batch).agg(F.count("*").alias("n_orders"))
+    names = {f"catalift_{uuid.uuid4().hex}": r.batch for r in orders.toLocalIterator()}
     for name in names:
         sources.create_database(spark, name, scratch_dir(spark))
     told = sources.describe_databases(spark, [*names, f"catalift_{uuid.uuid4().hex}"])
-    known = spark.createDataFrame(list(names.items()), "db STRING, region STRING")
+    known = spark.createDataFrame(list(names.items()), "db STRING, batch LONG")
     facts = F.count_if(F.col("info_name").isin("Catalog Name", "Namespace Name", "Location"))
-    return (
+    described = (
         told.join(known, "db", "left")
-        .groupBy(F.coalesce("region", F.lit("none")).alias("region"))
+        .groupBy(F.coalesce("batch", F.lit(-1).cast("long")).alias("batch"))
         .agg(facts.alias("facts"), F.count_if(F.col("info_name") == "# Error").alias("errors"))
     )
+    return described.join(orders, "batch", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0).cast("long")))
 
 
 def catalog_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
