@@ -57,6 +57,9 @@ def test_frames_stand_alone_and_records_are_found(spark):
         reader = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
         assert reader.read() == plain
     assert frames > len(files)
+    # what a lost task left behind is not opened
+    with open(f"{folder}/lost.warc.zst", "wb") as f:
+        f.write(b"cut short")
     read = {r.record_id: r for r in warc.read_archives(spark, index, folder).collect()}
     texts = {p: html for p, _, html in rows}
     for p in (7, 119, 302):
@@ -65,6 +68,7 @@ def test_frames_stand_alone_and_records_are_found(spark):
     assert read["urn:page:300"].url == "http://a%0D%0Ab"
     some = warc.fetch(spark, index, folder, ["urn:page:7", "urn:page:100", "urn:page:none"]).collect()
     assert {r.page_id: r.payload for r in some} == {7: texts[7].encode(), 100: None}
+    assert warc.fetch(spark, index, folder, ["urn:page:none"]).count() == 0
 
 
 def test_empty(spark):
