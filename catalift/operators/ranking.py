@@ -20,6 +20,9 @@ PIECES = 10_000
 # Rows looked at for each piece to find where to cut.
 SAMPLES = 64
 
+# Cuts that lie together: a row meets the last of each such block, and then one block of them.
+BLOCK = 142
+
 # The group of a frame that is numbered as a whole.
 _ALL = "_all"
 
@@ -65,8 +68,8 @@ def number_stored(
     number = F.row_number().over(Window.partitionBy(*groups, *(["_piece"] if cuts else [])).orderBy(order))
     number = number.cast("bigint")
     if cuts:
-        rows = with_few(rows, cuts, groups, "_cuts").withColumn("_piece", piece_of(F.col("_cuts"), F.col(order)))
-        starts = _starts(rows.where(F.col("_cuts").isNotNull()), groups)
+        rows = with_piece(rows, cuts, groups, F.col(order), "_piece")
+        starts = _starts(rows.where(F.col("_tops").isNotNull()), groups)
         numbered = with_few(rows.withColumn("_number", number), starts, [*groups, "_piece"], "_start")
         number = F.col("_number") + F.coalesce("_start", F.lit(0))
     else:
@@ -110,9 +113,27 @@ def _cuts(rows: DataFrame, groups: Sequence[str], order: str, limit: int) -> Dat
     return stored(seen.select(*groups, cuts.alias("_cuts")))
 
 
-def piece_of(cuts: Column, order: Column) -> Column:
-    """Number of cuts below a value, found by halving; 0 without cuts."""
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range((2 * PIECES).bit_length()))))
+def with_piece(rows: DataFrame, cuts: DataFrame, keys: Sequence[str], order: Column, out: str) -> DataFrame:
+    """Add the number of cuts of the keys below a value, and ``_tops``, NULL for keys without cuts.
+
+    An array that is joined is copied into every row, so a row meets two short arrays instead of all
+    cuts: what it costs does not grow with their number.
+    """
+    tops = F.filter("_cuts", lambda value, place: (place + 1) % BLOCK == 0)
+    rows = with_few(rows, cuts.select(*keys, tops.alias("_tops")), keys, "_tops")
+    rows = rows.withColumn("_block", piece_of(F.col("_tops"), order, 2 * BLOCK))
+    numbers = F.sequence(F.lit(0), F.floor(F.size("_cuts") / BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda number: F.slice("_cuts", number * BLOCK + 1, BLOCK))
+    blocks = cuts.select(*keys, F.posexplode(blocks).alias("_block", "_within"))
+    rows = with_few(rows, blocks, [*keys, "_block"], "_within")
+    below = F.col("_block") * BLOCK + piece_of(F.col("_within"), order, BLOCK)
+    # never NULL, which a join by it would else find out first
+    return rows.withColumn(out, F.coalesce(below, F.lit(0))).drop("_block", "_within")
+
+
+def piece_of(cuts: Column, order: Column, most: int = 2 * PIECES) -> Column:
+    """Number of cuts, `most` at most, below a value, found by halving; 0 without cuts."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
 
     def step(low, wide):
         return F.when((low + wide <= F.size(cuts)) & (F.get(cuts, low + wide - 1) < order), low + wide).otherwise(low)

@@ -12,7 +12,7 @@ from pyspark.sql.types import DateType, DecimalType, IntegralType, StringType, T
 
 from catalift.functions.frames import stored
 from catalift.functions.names import quoted_parts
-from catalift.operators.ranking import PIECES, SAMPLES, piece_of, with_few
+from catalift.operators.ranking import PIECES, SAMPLES, with_piece
 from catalift.plans.migrate import hash_sums, row_hash
 
 # Rows of a range of keys that has a hash of its own, if there are not too many ranges.
@@ -84,8 +84,9 @@ def _cuts(source: DataFrame, keys: Sequence[str], bucket_rows: int) -> DataFrame
     limit = max(bucket_rows, -(-total // PIECES))
     share = min(1.0, SAMPLES / limit)
     every = max(1, round(share * limit))
-    seen = source.select(_key(keys).alias("_key")).sample(share, seed=1)
-    seen = seen.agg(F.array_sort(F.array_distinct(F.collect_list("_key"))).alias("_seen"))
+    # equal keys go before they are gathered: within an array of structs each would meet all others
+    seen = source.select(_key(keys).alias("_key")).sample(share, seed=1).distinct()
+    seen = seen.agg(F.sort_array(F.collect_list("_key")).alias("_seen"))
     cuts = F.filter("_seen", lambda value, place: (place + 1) % every == 0)
     return stored(seen.select(cuts.alias("_cuts")))
 
@@ -93,8 +94,7 @@ def _cuts(source: DataFrame, keys: Sequence[str], bucket_rows: int) -> DataFrame
 def _bucketed(rows: DataFrame, keys: Sequence[str], cuts: DataFrame) -> DataFrame:
     """Add the number of the range that a key lies in."""
     rows = rows.withColumn("_of", F.lit(0))  # all rows look into the one row of cuts
-    rows = with_few(rows, cuts.withColumn("_of", F.lit(0)), ["_of"], "_cuts")
-    return rows.withColumn("bucket", piece_of(F.col("_cuts"), _key(keys))).drop("_of", "_cuts")
+    return with_piece(rows, cuts.withColumn("_of", F.lit(0)), ["_of"], _key(keys), "bucket").drop("_of", "_tops")
 
 
 def _leaves(side: DataFrame, keys: Sequence[str], cuts: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import bisect
 import random
 
 import pytest
@@ -95,3 +96,20 @@ def test_pieces_are_even(skewed):
         pieces.append([r["count"] for r in sizes.collect()])
     assert len(pieces[0]) > 25 and max(pieces[0]) <= 250
     assert {r.g for r in ranking._cuts(skewed, ["g"], "k", 700).collect()} == {"hot"}
+
+
+def test_a_row_meets_short_arrays_however_many_cuts(spark, monkeypatch):
+    """A joined array is copied into every row: 3,000 cuts of one group and 10 of another."""
+    bounds = {"a": [7 * i for i in range(3_000)], "b": list(range(10)), "c": []}
+    cuts = spark.createDataFrame([*bounds.items()], "g STRING, _cuts ARRAY<BIGINT>")
+    rows = spark.createDataFrame([(g, k) for g in "abcd" for k in (-1, *range(0, 22_000, 3), None)], "g STRING, k BIGINT")
+    longest, with_few = [], ranking.with_few
+
+    def noted(rows, few, keys, value):
+        longest.append(few.agg(F.max(F.size(value))).first()[0])
+        return with_few(rows, few, keys, value)
+
+    monkeypatch.setattr(ranking, "with_few", noted)
+    found = ranking.with_piece(rows, cuts, ["g"], F.col("k"), "n")
+    assert all(r.n == (0 if r.k is None else bisect.bisect_left(bounds.get(r.g, []), r.k)) for r in found.collect())
+    assert found.count() == rows.count() and max(longest) <= ranking.BLOCK
