@@ -27,8 +27,10 @@ HELD_BACK = 0.2
 # for a group of so many trees, against 1.2 kB for a forest at once.
 TREES_PER_FIT = 100
 
-# Partitions that rows are dealt to by their key before a fit.
+# Partitions that rows are dealt to by their key before a fit, at least, and rows that one takes on
+# average at most: more rows make more partitions.
 FIT_PARTITIONS = 32
+FIT_ROWS = 500_000
 
 # Number of the rows that no model scores.
 UNSCORED = -1
@@ -50,21 +52,25 @@ def fit_forest(
     max_depth: int = 5,
     seed: int = 0,
     key: Sequence[str] = (),
-    partitions: int = FIT_PARTITIONS,
+    partitions: int | None = None,
     trees_per_fit: int = TREES_PER_FIT,
 ) -> PipelineModel:
     """Random forest; every split of every tree looks at all features.
 
     A forest depends on how rows are spread over partitions and on their order. Naming a
     unique `key` fixes both, for one shuffle of the key, the features and the label: the
-    same seed, key and `partitions` then give the same forest, whatever the session's
-    settings. Take more partitions for more rows: about a million rows each.
+    same rows, seed, key and `partitions` then give the same forest, whatever the session's
+    settings. By default the rows are counted, and there are :data:`FIT_PARTITIONS` partitions or as
+    many as leave :data:`FIT_ROWS` rows for each, so that what a task reads does not grow with them.
+    Without a key the rows stay in the partitions they come in.
 
     The trees are always fitted in groups of `trees_per_fit`, each with a seed of its own. The
     forest predicts the mean over all trees.
     """
     data = df.select(*dict.fromkeys([*key, *features, label]))
     if key:
+        if partitions is None:
+            partitions = max(FIT_PARTITIONS, -(-df.count() // FIT_ROWS))
         by_key = [F.col(name) for name in key]
         data = data.repartition(partitions, *by_key).sortWithinPartitions(*by_key)
     assembler = _assembler(features)
@@ -82,7 +88,8 @@ def fit_forest(
                 maxDepth=max_depth,
                 featureSubsetStrategy="all",
                 seed=seed + number,
-                cacheNodeIds=True,
+                # walking down a few levels costs less than a stored place per row and tree
+                cacheNodeIds=False,
             ).fit(data)
             for number, size in enumerate(sizes)
         ]

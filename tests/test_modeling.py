@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from catalift import operators as ops
+from catalift.operators import modeling
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,19 @@ def test_forest_repeats_with_a_key(data, rows):
     assert rows(other) != rows(first)
 
 
+def test_more_rows_make_more_partitions(data, rows, monkeypatch):
+    """What a task reads of the rows does not grow with them, and no place is stored per tree."""
+    dealt, fit = [], modeling.RandomForestRegressor.fit
+    monkeypatch.setattr(modeling.RandomForestRegressor, "fit", lambda self, df: dealt.append((df.rdd.getNumPartitions(), self.getCacheNodeIds())) or fit(self, df))
+    few = ops.fit_forest(data, ["x", "z"], "y", trees=2, key=["id"])
+    assert dealt == [(modeling.FIT_PARTITIONS, False)]
+    fixed = ops.fit_forest(data, ["x", "z"], "y", trees=2, key=["id"], partitions=modeling.FIT_PARTITIONS)
+    assert rows(ops.score(few, data, ["id"])) == rows(ops.score(fixed, data, ["id"]))
+    monkeypatch.setattr(modeling, "FIT_ROWS", 33)
+    ops.fit_forest(data, ["x", "z"], "y", trees=2, key=["id"])
+    assert dealt[-1] == (-(-2_000 // 33), False)
+
+
 def test_forest_learns(data):
     forest = ops.fit_forest(data, ["x", "z"], "y", trees=20, key=["id"])
     scored = ops.score(forest, data, ["y"])
