@@ -40,14 +40,15 @@ def first_weights(features: int, hidden: int, seed: int) -> list:
     return [layers[0], np.zeros(hidden), layers[1][:, 0], np.zeros(1)]
 
 
-def gradient(weights: list, x, y) -> list:
-    """Sums over rows of the derivatives of the squared error, one array for each of the weights."""
+def gradient(weights: list, x, y, times=1) -> list:
+    """Sums over rows, each taken so many times, of the derivatives of the squared error, one array
+    for each of the weights."""
     import numpy as np
 
     w, b, v, c = weights
     inner = x @ w + b
     units = np.maximum(inner, 0)
-    error = 2 * (units @ v + c - y)
+    error = 2 * (units @ v + c - y) * times
     back = np.outer(error, v) * (inner > 0)
     return [x.T @ back, back.sum(axis=0), units.T @ error, np.array([error.sum()])]
 
@@ -62,7 +63,7 @@ def _epoch(matrix: DataFrame, weights: list) -> list:
         total = [np.zeros_like(part) for part in weights]
         for batch in batches:
             values = np.column_stack([batch.column(i).to_numpy() for i in range(batch.num_columns)])
-            for part, more in zip(total, gradient(weights, values[:, :-1], values[:, -1])):
+            for part, more in zip(total, gradient(weights, values[:, :-2], values[:, -2], values[:, -1])):
                 part += more
         flat = np.concatenate([part.ravel() for part in total])
         yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], ["sums"])
@@ -91,7 +92,9 @@ def fit_network(
 ) -> PipelineModel:
     """Least squares by a network of one hidden layer of rectified units.
 
-    The columns are standardised and stored once, dealt by the `key` if one is named. In each
+    Equal rows of features and label are one row with their number, which the gradient takes so
+    many times. These rows are standardised and stored once, dealt and sorted by their values, so
+    that a `key` is not needed to fix their order. In each
     epoch every partition sums the gradient over its rows; their sum moves the weights, by
     steps that adapt to each of them (Adam). What reaches the driver in an epoch is an array
     of about (features + 2) * hidden numbers for each partition, however many rows there are.
@@ -113,12 +116,12 @@ def fit_network(
     mean = [facts[f"mean{i}"] for i in range(len(columns))]
     spread = [facts[f"spread{i}"] or 1.0 for i in range(len(columns))]
 
-    scaled = [((c - m) / s).alias(f"_{i}") for i, (c, m, s) in enumerate(zip(columns, mean, spread))]
-    by = [F.col(quoted_parts(k)) for k in key]
-    matrix = df.select(*scaled, *(k.alias(f"_key{i}") for i, k in enumerate(by)))
-    names = [f"_key{i}" for i in range(len(by))]
-    matrix = matrix.repartition(partitions, *names)
-    matrix = stored((matrix.sortWithinPartitions(*names) if names else matrix).drop(*names))
+    names = [f"_{i}" for i in range(len(columns))]
+    matrix = df.select(*(c.alias(name) for c, name in zip(columns, names)))
+    matrix = matrix.groupBy(*names).agg(F.count("*").cast("double").alias("_times"))
+    matrix = matrix.repartition(partitions, *names).sortWithinPartitions(*names)
+    scaled = [((F.col(name) - m) / s).alias(name) for name, m, s in zip(names, mean, spread)]
+    matrix = stored(matrix.select(*scaled, "_times"))
 
     weights = first_weights(len(features), hidden, seed)
     slow, squares = ([np.zeros_like(part) for part in weights] for _ in range(2))

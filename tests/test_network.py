@@ -86,3 +86,17 @@ def test_gradient_is_the_slope():
             moved = [p.copy() for p in weights]
             moved[i][at] += 1e-6
             assert slope[at] == pytest.approx((loss(moved) - loss(weights)) / 1e-6, rel=1e-3, abs=1e-3)
+
+
+def test_equal_rows_are_one_row_of_the_matrix(spark, data, monkeypatch):
+    """An epoch costs what the different rows cost, and the network is that of all rows."""
+    sizes, epoch = [], network._epoch
+    monkeypatch.setattr(network, "_epoch", lambda matrix, weights: sizes.append(matrix.count()) or epoch(matrix, weights))
+    some = data.where("id < 300").select("x", "y")
+    often = some.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("x") % 5 + 1)))
+    model = ops.fit_network(often, ["x"], "y", hidden=10, epochs=6, seed=2, partitions=2)
+    rows = often.orderBy("x", "y").collect()
+    want = plain_fit(np.array([[r.x] for r in rows], float), np.array([r.y for r in rows], float), 10, 6, 2, network.RATE)
+    got = [r.prediction for r in ops.score(model, often, ["x", "y"]).orderBy("x", "y").collect()]
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+    assert set(sizes) == {some.distinct().count()} and some.distinct().count() < often.count()
