@@ -10,11 +10,12 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, NumericType, StructType
 
 from catalift.functions.frames import stored
 from catalift.functions.names import quoted_parts
 from catalift.functions.sizes import broadcast_if_small
+from catalift.operators.forest import fit_by_cells
 from catalift.operators.ranking import SPAN, number_stored
 
 # Fixed value: trees of the forest.
@@ -32,6 +33,10 @@ TREES_PER_FIT = 100
 FIT_PARTITIONS = 32
 FIT_ROWS = 500_000
 
+# Rows that Spark's own fit is given at most, if the features have few enough bins for sums by cell: it
+# visits every row for every tree and level.
+SPARK_FIT_ROWS = 1_000_000
+
 # Number of the rows that no model scores.
 UNSCORED = -1
 
@@ -44,6 +49,12 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=_FEATURES)
 
 
+def _cut_in_bins(df: DataFrame, features: Sequence[str]) -> bool:
+    """Whether Spark cuts all features between bins: they are numbers, and not marked as categories."""
+    fields = [df.select(name).schema[0] for name in features]
+    return all(isinstance(f.dataType, (NumericType, BooleanType)) and "ml_attr" not in f.metadata for f in fields)
+
+
 def fit_forest(
     df: DataFrame,
     features: Sequence[str],
@@ -66,19 +77,32 @@ def fit_forest(
 
     The trees are always fitted in groups of `trees_per_fit`, each with a seed of its own. The
     forest predicts the mean over all trees.
+
+    Above :data:`SPARK_FIT_ROWS` rows, trees are grown from sums by cell (:mod:`.forest`) unless the
+    features have too many bins for it or are no plain numbers: the same method with other random draws.
     """
     data = df.select(*dict.fromkeys([*key, *features, label]))
+    rows = df.count()
+    by_key = [F.col(name) for name in key]
     if key:
         if partitions is None:
-            partitions = max(FIT_PARTITIONS, -(-df.count() // FIT_ROWS))
-        by_key = [F.col(name) for name in key]
-        data = data.repartition(partitions, *by_key).sortWithinPartitions(*by_key)
+            partitions = max(FIT_PARTITIONS, -(-rows // FIT_ROWS))
+        data = data.repartition(partitions, *by_key)
     assembler = _assembler(features)
+    sizes = [min(trees_per_fit, trees - done) for done in range(0, trees, trees_per_fit)]
+    if rows > SPARK_FIT_ROWS and _cut_in_bins(df, features):
+        # rows of one key in a fixed order too
+        ordered = data.sortWithinPartitions(*dict.fromkeys([*key, *features, label])) if key else data
+        seeded = [(size, seed + number) for number, size in enumerate(sizes)]
+        stages = fit_by_cells(ordered, rows, features, label, seeded, max_depth, _FEATURES, _PREDICTION)
+        if stages is not None:
+            return PipelineModel([assembler, *stages])
+
+    data = data.sortWithinPartitions(*by_key) if key else data
     data = assembler.transform(data).select(_FEATURES, label)
 
     data = data.persist()
     try:
-        sizes = [min(trees_per_fit, trees - done) for done in range(0, trees, trees_per_fit)]
         groups = [
             RandomForestRegressor(
                 featuresCol=_FEATURES,

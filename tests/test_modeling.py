@@ -1,12 +1,14 @@
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from catalift import operators as ops
+from catalift.operators import forest as cells
 from catalift.operators import modeling
 
 
@@ -85,6 +87,118 @@ def test_forest_looks_at_all_features(data):
     assert forest.stages[1].getFeatureSubsetStrategy() == "all"
 
 
+def test_trees_from_sums_are_those_of_spark(data):
+    """Where no row is drawn at random, splits and predictions equal those of Spark's fit."""
+    noisy = data.withColumn("y", F.col("y") + F.col("z") * F.col("z") + F.pmod(F.xxhash64("id"), F.lit(50))).repartition(3)
+    assembler = modeling._assembler(["x", "z"])
+    spark_own = modeling.RandomForestRegressor(featuresCol="_features", labelCol="y", numTrees=2, featureSubsetStrategy="all", bootstrap=False)
+    expected = spark_own.fit(assembler.transform(noisy))
+    found = cells.fit_by_cells(noisy, 2_000, ["x", "z"], "y", [(2, 0)], 5, "_features", "_prediction", bootstrap=False)[0]
+    nodes = lambda model: [line for line in model.toDebugString.split("\n")[1:] if "Predict" not in line]
+    leaves = lambda model: [float(line.split(":")[1]) for line in model.toDebugString.split("\n") if "Predict" in line]
+    assert len(leaves(expected)) > 40
+    assert nodes(found) == nodes(expected)
+    assert leaves(found) == pytest.approx(leaves(expected), rel=1e-9)
+    assert list(found.featureImportances) == pytest.approx(list(expected.featureImportances))
+
+
+def test_bounds_of_a_feature():
+    assert cells.bounds([3.0] * 9) == []
+    assert cells.bounds([1.0, 4.0, 4.0, 2.0]) == [1.5, 3.0]
+    assert cells.bounds(range(64)) == [2 * i + 1.5 for i in range(31)]
+    # after a value of most rows the next ones are parted
+    hot = cells.bounds([0.0] * 900 + list(range(1, 101)))
+    assert len(hot) <= 31 and hot[:3] == [0.5, 1.5, 2.5]
+
+
+def test_draws_are_poisson_and_follow_from_row_and_seed():
+    rows = np.arange(20_000)
+    times = cells.draws(rows, 7, 3)
+    assert (cells.draws(rows[5_000:6_000], 7, 3) == times[5_000:6_000]).all()
+    assert (cells.draws(rows, 7, 4) != times).any()
+    assert np.abs(np.corrcoef(times.T) - np.eye(7)).max() < 0.04
+    for n in range(5):
+        assert (times == n).mean() == pytest.approx(math.exp(-1) / math.factorial(n), abs=0.005)
+    assert times.mean() == pytest.approx(1, abs=0.01) and times.var() == pytest.approx(1, abs=0.03)
+
+
+@pytest.fixture
+def by_cells(monkeypatch):
+    """Forests of the small tables here are grown from sums, as those of many rows are."""
+    monkeypatch.setattr(modeling, "SPARK_FIT_ROWS", 1_000)
+    monkeypatch.setattr(cells, "ROWS_PER_CELL", 1)
+
+    def refused(self, df):
+        raise AssertionError("a pass for every level")
+
+    monkeypatch.setattr(modeling.RandomForestRegressor, "fit", refused)
+
+
+def test_many_rows_are_read_once_for_all_levels(by_cells, spark, data, tmp_path):
+    noisy = data.withColumn("y", F.col("y") + F.pmod(F.xxhash64("id"), F.lit(50)))
+    forest = ops.fit_forest(noisy, ["x", "z"], "y", trees=20, key=["id"], trees_per_fit=8)
+    groups = forest.stages[1:-1]
+    assert [g.getNumTrees for g in groups] == [8, 8, 4]
+    scored = forest.transform(noisy)
+    mean = (F.col("_prediction_0") * 8 + F.col("_prediction_1") * 8 + F.col("_prediction_2") * 4) / 20
+    assert scored.where(F.abs(F.col("_prediction") - mean) > 1e-9).count() == 0
+    assert len({tree.toDebugString for group in groups for tree in group.trees}) == 20
+    # every tree drew about as many rows as there are
+    roots = [spark.read.parquet(f"{path}/data").where("nodeData.id = 0") for path in saved(groups, tmp_path)]
+    drawn = [row[0] for df in roots for row in df.select("nodeData.rawCount").collect()]
+    assert len(set(drawn)) > 10 and all(abs(n - 2_000) < 250 for n in drawn)
+    variance = noisy.agg(F.var_pop("y")).first()[0]
+    result = ops.score(forest, noisy, ["id", "y"])
+    assert ops.mse(result, "y").first().mse < 0.05 * variance
+    # the trees are not walked for a score
+    assert result._jdf.queryExecution().optimizedPlan().toString().count("UDF(") == 0
+    forest.save(f"{tmp_path}/forest")
+    again = PipelineModel.load(f"{tmp_path}/forest")
+    row = noisy.where("id = 42")
+    assert ops.score(again, row, []).first() == ops.score(forest, row, []).first()
+
+
+def saved(groups, tmp_path):
+    for number, group in enumerate(groups):
+        group.save(f"{tmp_path}/{number}")
+        yield f"{tmp_path}/{number}"
+
+
+def test_forest_from_sums_repeats(by_cells, data, rows):
+    """Also where keys come twice, or are NULL."""
+    twice = data.withColumn("id", F.when(F.col("id") > 100, F.col("id") % 50))
+    fit = dict(features=["x", "z"], label="y", trees=5, key=["id"], partitions=6)
+    first = ops.score(ops.fit_forest(twice, **fit), data, ["id"])
+    second = ops.score(ops.fit_forest(twice.repartition(5), **fit), data, ["id"])
+    assert rows(first) == rows(second)
+    assert rows(ops.score(ops.fit_forest(twice, seed=9, **fit), data, ["id"])) != rows(first)
+
+
+def test_forest_from_sums_refuses_what_it_does_not_know(by_cells, data):
+    for value in (None, float("nan")):
+        for name in ("x", "y"):
+            holed = data.withColumn(name, F.when(F.col("id") != 7, F.col(name)).otherwise(F.lit(value).cast("double")))
+            with pytest.raises(Exception, match="without a NULL"):
+                ops.fit_forest(holed, ["x", "z"], "y", trees=2, key=["id"])
+        forest = ops.fit_forest(data, ["x", "z"], "y", trees=2, key=["id"])
+        with pytest.raises(Exception, match="without a NULL"):
+            ops.score(forest, data.limit(1).withColumn("z", F.lit(value).cast("double")), ["id"]).collect()
+
+
+def test_forest_of_one_value(by_cells, data):
+    forest = ops.fit_forest(data.withColumn("x", F.lit(1.0)), ["x"], "y", trees=2, key=["id"])
+    assert ops.score(forest, data, ["x"]).distinct().count() == 100
+    assert ops.score(forest, data, []).distinct().count() == 1
+
+
+def test_too_many_cells_are_left_to_spark(data, rows, monkeypatch):
+    fit = dict(features=["x", "z"], label="y", trees=3, key=["id"], partitions=3)
+    expected = rows(ops.score(ops.fit_forest(data, **fit), data, ["id"]))
+    monkeypatch.setattr(modeling, "SPARK_FIT_ROWS", 1_000)
+    monkeypatch.setattr(cells, "MAX_CELLS", 32 * 13 - 1)
+    assert rows(ops.score(ops.fit_forest(data, **fit), data, ["id"])) == expected
+
+
 @pytest.fixture(scope="module")
 def models(data):
     return {
