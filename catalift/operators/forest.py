@@ -1,10 +1,11 @@
-"""A random forest from sums over cells of binned features: one pass over the rows for all trees and levels."""
+"""A random forest from sums over cells of binned features: no pass over the rows for each level."""
 
 from __future__ import annotations
 
 import json
 import sys
 from collections.abc import Sequence
+from functools import reduce
 from math import exp, factorial, prod
 
 from pyspark import cloudpickle
@@ -23,11 +24,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BINS = 32
 SAMPLE_ROWS = 10_000
 
-# Cells at most: a task holds three sums for each cell and tree, 236 MB for 300 trees.
+# Cells at most, and cells times trees in the sums of a task: 79 MB. More take more passes.
 MAX_CELLS = 2**15
+HELD_SUMS = 100 * MAX_CELLS
 
 # Rows for each cell that a task takes at least on average, so that the sums it hands on are small
-# beside what it read: up to 28 bytes a row for each 300 trees.
+# beside what it read: up to about 33 bytes a row for 300 trees.
 ROWS_PER_CELL = 256
 
 # Rows sorted by cell at once, rows weighted at once, and cells in a row of sums.
@@ -128,9 +130,22 @@ def _add_block(total, cells, rows, labels, groups: Sequence[tuple[int, int]], bo
             done += size
 
 
-def cell_sums(data: DataFrame, cuts: list[list[float]], groups: Sequence[tuple[int, int]], bootstrap: bool) -> DataFrame:
-    """Rows of sums by tree and cell, several from every task. `data` has the number of a row, its
-    features and its label."""
+def passes(groups: Sequence[tuple[int, int]], cells: int) -> list[list[tuple[int, int]]]:
+    """The groups in lists whose sums a task can hold, one group at least in each."""
+    found: list[list[tuple[int, int]]] = []
+    for group in groups:
+        if found and cells * sum(size for size, _ in (*found[-1], group)) <= HELD_SUMS:
+            found[-1].append(group)
+        else:
+            found.append([group])
+    return found
+
+
+def cell_sums(
+    data: DataFrame, cuts: list[list[float]], groups: Sequence[tuple[int, int]], bootstrap: bool, first: int = 0
+) -> DataFrame:
+    """Rows of sums by tree and cell, several from every task; the trees are numbered from `first`. `data`
+    has the number of a row, its features and its label."""
     shape = [len(cut) + 1 for cut in cuts]
     trees = sum(size for size, _ in groups)
 
@@ -163,7 +178,7 @@ def cell_sums(data: DataFrame, cuts: list[list[float]], groups: Sequence[tuple[i
         slices = [present[a : a + _SLICE_CELLS] for a in range(0, len(present), _SLICE_CELLS)]
         for tree in range(trees if slices else 0):
             columns = [
-                pa.array([tree] * len(slices), pa.int32()),
+                pa.array([first + tree] * len(slices), pa.int32()),
                 pa.array([cells.tobytes() for cells in slices], pa.binary()),
                 pa.array([total[cells, :, tree].tobytes() for cells in slices], pa.binary()),
             ]
@@ -337,8 +352,9 @@ def fit_by_cells(
 
     Every tree draws every row as often as the row's place and the seed say, by a Poisson distribution
     of mean 1. As trees cut features between bins only, all that decides a tree are the sums of its draws
-    by cell, a cell being a bin of each feature. Tasks add them up in one pass, and those of a tree
-    meet in one task, which grows it. What a task holds depends on cells and trees alone.
+    by cell, a cell being a bin of each feature. Tasks add them up in one pass (or a few side by side, see
+    :func:`passes`), and those of a tree meet in one task, which grows it. What a task holds depends on
+    cells and trees alone.
 
     The groups become models of Spark. The mean of all trees is a table by cell, which the last stage
     looks predictions up in; the columns of the groups are there, but cost nothing if nobody reads them.
@@ -362,8 +378,11 @@ def fit_by_cells(
         if prod(shape) > MAX_CELLS:
             return None
         tasks = max(1, rows // (ROWS_PER_CELL * prod(shape)))
-        sums = cell_sums(numbered.coalesce(tasks), cuts, groups, bootstrap)
-        count = sum(size for size, _ in groups)
+        parts, count = [], 0
+        for some in passes(groups, prod(shape)):
+            parts.append(cell_sums(numbered.coalesce(tasks), cuts, some, bootstrap, count))
+            count += sum(size for size, _ in some)
+        sums = reduce(DataFrame.unionAll, parts)
         found = grown(sums, count, shape, max_depth).collect()  # at most 2^(depth + 1) nodes a tree
     finally:
         numbered.unpersist()

@@ -174,6 +174,18 @@ def test_forest_from_sums_repeats(by_cells, data, rows):
     assert rows(ops.score(ops.fit_forest(twice, seed=9, **fit), data, ["id"])) != rows(first)
 
 
+def test_trees_do_not_depend_on_passes(by_cells, data, rows, monkeypatch):
+    """What a task holds is bounded; more trees or cells take more passes."""
+    groups = [(3, 0), (3, 1), (3, 2), (1, 3)]
+    assert cells.passes(groups, 2**15) == [groups]
+    fit = dict(features=["x", "z"], label="y", trees=10, key=["id"], partitions=6, trees_per_fit=3)
+    expected = rows(ops.score(ops.fit_forest(data, **fit), data, ["id"]))
+    monkeypatch.setattr(cells, "HELD_SUMS", 32 * 13 * 6)
+    assert cells.passes(groups, 32 * 13) == [groups[:2], groups[2:]]
+    assert cells.passes(groups, 2**15) == [[group] for group in groups]
+    assert rows(ops.score(ops.fit_forest(data, **fit), data, ["id"])) == expected
+
+
 def test_forest_from_sums_refuses_what_it_does_not_know(by_cells, data):
     for value in (None, float("nan")):
         for name in ("x", "y"):
